@@ -16,7 +16,7 @@ PATTERNS = {
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?![\d])",
     "phone": r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){1,2}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![0-9A-Za-z])(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,}(?![0-9A-Za-z])|(?<=password=)[0-9A-Za-z_-]{6,}|(?<![A-Za-z0-9])(?:gh[pousr]_|sk-)[0-9A-Za-z]{16,}",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![0-9A-Za-z])(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,}(?![0-9A-Za-z])|(?<![A-Za-z0-9])password=[0-9A-Za-z_-]{6,}|(?<![A-Za-z0-9])(?:gh[pousr]_|sk-)[0-9A-Za-z]{16,}",
 }
 #: Dates are permuted among so many days squared, from this one on: 1600-01-01 to 2110-12-17.
 DAY_BASE, FIRST_DAY = 432, "1600-01-01"
@@ -105,7 +105,7 @@ def replacement(key: str) -> str:
     card = _let(body, "w", _refill("m", f"concat(w, cast((10 - {luhn_sum('w', 1)} % 10) % 10 as string))"))
     iban = _let("regexp_replace(m, ' ', '')", "u", _let(_let("substr(u, 5)", "v", cipher.text("v", "iban")), "w", _let(mod97("concat(left(u, 2), '00', w)"), "r", _refill("m", "concat(left(u, 2), lpad(cast(98 - r as string), 2, '0'), w)", "A-Z0-9"))))
     phone = _let("regexp_extract(m, '^[+][0-9]{1,3}(?![0-9])', 0)", "c", _let("substr(m, length(c) + 1)", "t", _let(_digits("t"), "v", f"concat(c, {_let(cipher.text('v', 'phone'), 'w', _refill('t', 'w'))})")))
-    secret = _let("case when m rlike '^AKIA' then 'AKIA' else regexp_extract(m, '^(gh[pousr]_|sk-)', 0) end", "c", _let("substr(m, length(c) + 1)", "v", f"concat(c, case when v rlike '^[0-9a-f]+$' then {cipher.text('v', 'secret', True)} else {cipher.text('v', 'secret')} end)"))
+    secret = _let("case when m rlike '^AKIA' then 'AKIA' else regexp_extract(m, '^(password=|gh[pousr]_|sk-)', 0) end", "c", _let("substr(m, length(c) + 1)", "v", f"concat(c, case when v rlike '^[0-9a-f]+$' then {cipher.text('v', 'secret', True)} else {cipher.text('v', 'secret')} end)"))
     ssn = _let(_digits("m"), "v", _let(cipher.text("v", "ssn"), "w", _refill("m", "w")))
     return (
         f"case when {whole('email')} then named_struct('kind', 'email', 'to', {email}) "
