@@ -114,7 +114,7 @@ def signed(v: int) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
-def fingerprint_links(prints: DataFrame, radius: int = 2, bands: int = 3, block: int = 1024) -> DataFrame:
+def fingerprint_links(prints: DataFrame, radius: int = 2, bands: int = 3, block: int = 192) -> DataFrame:
     """Edges (a, b) that join every two distinct fingerprints (column fp, long) within the radius through a path of such links.
 
     A shard holds the fingerprints that agree on the bits of one mask; by the pigeonhole principle
@@ -161,7 +161,7 @@ def fingerprint_links(prints: DataFrame, radius: int = 2, bands: int = 3, block:
     return met.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(search, "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, bands: int = 3, block: int = 1024) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, bands: int = 3, block: int = 192) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits) and component_id, the least id reachable by links.
 
     Documents link when their fingerprints differ in at most `radius` bits. Null, empty and blank
