@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarazu.llm.common import materialise
+
 
 def boilerplate_lines(docs: DataFrame, site_col: str = "source", text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
     """(site, pages, lines): for each site with boilerplate its page count and the hashes of its boilerplate lines.
@@ -30,7 +32,8 @@ def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str =
     if the sites' arrays are too large to broadcast (Spark decides by their size); a hot site is then a skewed join
     side that AQE splits.
     """
-    bad = boilerplate_lines(docs, site_col, text_col, max_ratio, min_pages).select(F.col("site").alias("__site"), F.col("lines").alias("__bad"))
+    bad, _ = materialise(boilerplate_lines(docs, site_col, text_col, max_ratio, min_pages), "boilerplate")  # so that its size is known to the join
+    bad = bad.select(F.col("site").alias("__site"), F.col("lines").alias("__bad"))
     d = docs.join(bad, docs[site_col].eqNullSafe(F.col("__site")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.when(F.col("__bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__bad", F.xxhash64(F.trim(x))), F.lit(False)) | (F.trim(x) == "")))
