@@ -187,9 +187,9 @@ def m_by_slice(d: Data):
 # logs
 
 
-@query("SELECT run_id, max(date) AS date, arg_max(headline, event_id) AS headline FROM (SELECT user_id AS run_id, ts AS date, round(value, 2) AS headline, event_id FROM events) GROUP BY 1")
+@query("SELECT run_id, max(date) AS date, arg_max(headline, event_id) AS headline FROM (SELECT user_id AS run_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS date, round(value, 2) AS headline, event_id FROM events) GROUP BY 1")
 def run_registry(d: Data):
-    return C.run_registry(d.events.select(F.col("user_id").alias("run_id"), F.col("ts").alias("date"), F.round("value", 2).alias("headline")))
+    return C.run_registry(d.events.select(F.col("user_id").alias("run_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("date"), F.round("value", 2).alias("headline")))
 
 
 @query("""WITH s AS (SELECT l_returnflag AS run_id, concat('k', cast(l_linenumber AS varchar)) AS key, cast(max(l_quantity) + count(*) % 3 AS varchar) AS value FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_linenumber = 2) GROUP BY 1, 2)
@@ -236,10 +236,10 @@ def error_tags(d: Data):
 _KINDS = "['checkpoint', 'tokenizer', 'temperature', 'mix_version', 'card']"
 
 
-@query(f"SELECT run_id, kind FROM (SELECT DISTINCT user_id AS run_id, unnest({_KINDS}) AS kind FROM events) EXCEPT SELECT user_id, {_KINDS}[1 + event_id % 5] FROM events")
+@query(f"SELECT run_id, kind FROM (SELECT DISTINCT user_id AS run_id, unnest({_KINDS}) AS kind FROM events) EXCEPT SELECT user_id, {_KINDS}[1 + (event_id * user_id) % 5] FROM events")
 def artifact_check(d: Data):
     kinds = F.array(*[F.lit(k) for k in ("checkpoint", "tokenizer", "temperature", "mix_version", "card")])
-    have = d.events.select(F.col("user_id").alias("run_id"), F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int")).alias("kind"))
+    have = d.events.select(F.col("user_id").alias("run_id"), F.element_at(kinds, (F.col("event_id") * F.col("user_id") % 5 + 1).cast("int")).alias("kind"))
     return C.artifact_check(d.events.select(F.col("user_id").alias("run_id")).distinct(), have)
 
 

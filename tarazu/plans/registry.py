@@ -47,7 +47,7 @@ FIXTURES: dict[str, str] = {
     "fx_curve": """SELECT source AS run_id, 'loss' AS metric, doc_id AS step, CASE WHEN doc_id % 97 = 5 THEN cast('nan' AS double) ELSE cast(5 AS double) / (1 + doc_id % 50) + cast(n_chars % 100 AS double) / 200 END AS value FROM documents
         UNION ALL SELECT source, 'runtime', 0, cast(sum(n_chars) AS double) FROM documents GROUP BY source""",
     "fx_events": """SELECT user_id % 20 AS run_id, event_id, ts, event_type, value FROM events""",
-    "fx_templates": """SELECT event_type AS task, concat(event_type, '-', cast(user_id % 8 AS string)) AS template_id, concat('{who} did {what} ', cast(user_id % 8 AS string)) AS pattern FROM events GROUP BY event_type, user_id % 8""",
+    "fx_templates": """SELECT event_type AS task, concat(event_type, '-', cast(user_id % 8 AS string)) AS template_id, concat(chr(123), 'who', chr(125), ' did ', chr(123), 'what', chr(125), ' ', cast(user_id % 8 AS string)) AS pattern FROM events GROUP BY event_type, user_id % 8""",
 }
 
 
