@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
-OPTION = "struct<id:string,text:string>"
-RECORD = StructType.fromDDL(
-    "id string not null, source_id string not null, source string, revision string, license string, split string, origin string, "
-    "state_lang string, question_lang string, state string, question_type string, question_text string, "
-    f"options array<{OPTION}>, gold map<string,double>, flags struct<auto_ok:boolean,meaning_flag:boolean,reviewed:boolean>"
-)
+_TEXT = ("source", "revision", "license", "split", "origin", "state_lang", "question_lang", "state", "question_type", "question_text")
+OPTION = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType())])
+RECORD = T.StructType([
+    T.StructField("id", T.StringType(), False), T.StructField("source_id", T.StringType(), False), *[T.StructField(c, T.StringType()) for c in _TEXT],
+    T.StructField("options", T.ArrayType(OPTION)), T.StructField("gold", T.MapType(T.StringType(), T.DoubleType())),
+    T.StructField("flags", T.StructType([T.StructField(c, T.BooleanType()) for c in ("auto_ok", "meaning_flag", "reviewed")])),
+])
 COLUMNS = RECORD.names
 #: The domains of the coded fields.
 ORIGINS = ("translated", "native", "synthetic")
