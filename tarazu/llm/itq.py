@@ -26,35 +26,36 @@ def learn_rotation(x: np.ndarray, bits: int, rounds: int = 30, seed: int = 0) ->
     return mean, axes @ r
 
 
-def unit_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
-    """(id, v): vectors of the right length, finite and not zero, scaled to length 1 in double precision."""
-    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    top = F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    ok = df.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim)).where(~bad).select(F.col(id_col).alias("id"), v.alias("v"), top.alias("top")).where("top > 0 and id is not null")
-    ok = ok.select("id", F.transform("v", lambda x: x / F.col("top")).alias("v"))  # so that squares neither overflow nor vanish
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return ok.withColumn("norm", norm).select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
+    """(id, v): the vector, null unless it has the right length, finite components, not all of them 0, and an id. Adding 0 makes -0 equal to 0."""
+    bad = F.exists(vec_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    ok = F.col(vec_col).isNotNull() & (F.size(vec_col) == dim) & ~bad & F.exists(vec_col, lambda x: x != 0) & F.col(id_col).isNotNull()
+    plain = F.transform(vec_col, lambda x: x + F.lit(0).cast(df.schema[vec_col].dataType.elementType))
+    return df.select(F.col(id_col).alias("id"), F.when(ok, plain).alias("v"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def unit_rows(column: pa.Array) -> np.ndarray:
+    """The vectors scaled to length 1 in double precision, first by their largest component, so that squares neither overflow nor vanish."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def codes_map(rotations, table_bits: int):
-    """(uid, id, v) to (uid, id, v, keys): one table key for each table_bits bits of each rotation's code."""
+    """Rows with v to the same rows with keys: one table key for each table_bits bits of each rotation's code."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column("v")) if b.num_rows else np.zeros((0, len(rotations[0][0])))
-            keys = []
+            if not b.num_rows:
+                continue
+            x, keys = unit_rows(b.column("v")), []
             for mean, turn in rotations:
                 signs = (x - mean) @ turn >= 0
                 for at in range(0, signs.shape[1] - table_bits + 1, table_bits):
                     keys.append(signs[:, at : at + table_bits] @ (1 << np.arange(table_bits)))
-            keys = np.stack(keys, 1).astype(np.int32) if keys else np.zeros((len(x), 0), np.int32)
+            keys = np.stack(keys, 1).astype(np.int32)
             offsets = np.arange(len(x) + 1, dtype=np.int32) * keys.shape[1]
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("id"), b.column("v"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], ["uid", "id", "v", "keys"])
+            yield b.append_column("keys", pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())))
 
     return code
 
@@ -72,40 +73,58 @@ def block_links(x: np.ndarray, keys: np.ndarray, table: int, y: np.ndarray | Non
     return linked
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, rotations: int = 2, table_bits: int = 16, sample: int = 4096, block: int = 256, seed: int = 0) -> DataFrame:
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each column of a link matrix the first row of its component, -1 without a link."""
+    rows, cols = np.full(linked.shape[0], -1), np.full(linked.shape[1], -1)
+    for k in np.flatnonzero(linked.any(1)):
+        new = np.array([k]) if rows[k] < 0 else np.array([], int)
+        while len(new):
+            rows[new] = k
+            reached = linked[new].any(0) & (cols < 0)
+            cols[reached] = k
+            new = np.flatnonzero(linked[:, reached].any(1) & (rows < 0))
+    return rows, cols
+
+
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, rotations: int = 8, table_bits: int = 16, sample: int = 4096, block: int = 256, seed: int = 0) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept.
 
-    Two vectors link if they share a key in one of the Hamming tables and their cosine in double precision is
-    at least `threshold`; n_links counts such others, component_id is the least id reachable (the own id
-    without a link). A table holds `table_bits` bits of a learned code; pairs that agree on them are compared
-    by their original vectors, block against block, and count in the first table where they meet. A bucket
-    over `block` vectors is cut into blocks that meet pairwise in tasks of their own, and only each vector's
-    number of links and a spanning forest leave a task, so a large group of copies costs no list of pairs.
+    Two vectors link if they are equal, or share a key in one of the Hamming tables and their cosine in double
+    precision is at least `threshold`; n_links counts such others, component_id is the least id reachable (the
+    own id without a link). Equal vectors are one class with a count, so exact copies cost nothing from there
+    on. A table holds `table_bits` bits of a learned code; classes that agree on them are compared by their
+    original vectors, block against block, and count in the first table where they meet. A bucket over `block`
+    classes is cut into blocks that meet pairwise in tasks of their own, and only each class's number of links
+    and a spanning forest leave a task, so a large group of near copies costs no list of pairs.
 
-    The rotations are learned on about `sample` vectors drawn by a hash of the id (what reaches the driver);
+    A bit of two vectors at cosine 0.9 differs with a chance of about arccos(0.9) / pi = 0.14, so they share a
+    key of 16 bits with a chance of 0.084: 8 rotations of 64 bits, 32 tables, find about 0.94 of the pairs at
+    the threshold itself, and nearly all above 0.93. Fewer rotations shuffle less, more find more.
+
+    The rotations are learned on about `sample` distinct vectors drawn by a hash (what reaches the driver);
     every vector is indexed. Null vectors, zero vectors, vectors with null or non-finite components, of another
-    length than the most frequent, or with a null id have no link. Rows with equal ids are one vector each and
-    share their id's links: n_links is that of all rows of the id. An empty table gives no rows; other columns
-    are neither read nor returned.
+    length than the most frequent, or with a null id have no link. Rows are vectors of their own, also where
+    ids or whole rows repeat. An empty table gives no rows; other columns are neither read nor returned.
     """
-    ids = df.select(F.col(id_col).alias("id"))
     lengths = df.groupBy(F.size(vec_col).alias("n")).count().where("n > 0").orderBy(F.desc("count"), "n").first()
-    kind = df.schema[id_col].dataType.simpleString()
-    alone = lambda: ids.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    alone = lambda: df.select(F.col(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
     if lengths is None:
         return alone()
-    unit = unit_vectors(df, id_col, vec_col, lengths["n"])
-    n = df.count()
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))
-    rows = unit.where(drawn).collect() or unit.limit(sample).collect()
+    unlike = [F.xxhash64("v"), F.xxhash64(F.lit(seed), "v")]  # 128 bits name a vector
+    vectors = usable(df, id_col, vec_col, lengths["n"])
+    distinct = vectors.where("v is not null").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes, _ = materialise(distinct.select(F.monotonically_increasing_id().alias("uid"), "least", "copies", unlike[0].alias("h1"), unlike[1].alias("h2"), "v"), "classes")
+    n = classes.count()
+    drawn = F.pmod(F.col("h1"), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))
+    rows = classes.where(drawn).select("h1", "h2", "v").collect() or classes.orderBy("h1", "h2").select("h1", "h2", "v").limit(sample).collect()
     if not rows:
         return alone()
-    x = np.array([r.v for r in sorted(rows, key=lambda r: r.id)])
+    x = unit_rows(pa.array([r.v for r in sorted(rows)]))
     bits = min(64, x.shape[1]) // table_bits * table_bits or min(x.shape[1], table_bits)
     width = min(table_bits, bits)
     turns = [learn_rotation(x, bits, seed=seed + k) for k in range(rotations)]
-    numbered = unit.select(F.monotonically_increasing_id().alias("uid"), "id", "v")  # written once, so the numbers stay
-    coded, _ = materialise(numbered.mapInArrow(codes_map(turns, width), f"uid long, id {kind}, v array<double>, keys array<int>"), "codes")
+    item = df.schema[vec_col].dataType.elementType.simpleString()
+    coded, _ = materialise(classes.select("uid", "copies", "v").mapInArrow(codes_map(turns, width), f"uid long, copies long, v array<{item}>, keys array<int>"), "codes")
 
     keyed = coded.select("uid", F.posexplode("keys").alias("t", "key"))
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -113,42 +132,31 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     met = met.join(coded, "uid").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "uid"), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     by = ["t", "key", "lo", "hi"]
-    met = met.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "v", "keys")
+    met = met.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "uid", "copies", "v", "keys")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(group: list[pa.RecordBatch], out: tuple[list, list, list]) -> None:
             g = pa.Table.from_batches(group)
-            lo, own = g.column("lo")[0].as_py(), g.column("own").to_numpy()
-            v, keys = _matrix(g.column("v").combine_chunks()), _matrix(g.column("keys").combine_chunks())
-            name, t = g.column("id").to_pylist(), g.column("t")[0].as_py()
-            if lo == g.column("hi")[0].as_py():
-                one, two = np.arange(len(own)), np.arange(len(own))
+            lo, hi, t = (g.column(c)[0].as_py() for c in ("lo", "hi", "t"))
+            own, uid, copies = (g.column(c).to_numpy() for c in ("own", "uid", "copies"))
+            v, keys = unit_rows(g.column("v").combine_chunks()), np.stack(g.column("keys").combine_chunks().to_numpy(zero_copy_only=False))
+            one = np.flatnonzero(own == lo)
+            if lo == hi:
                 linked = block_links(v, keys, t, None, None, threshold)
+                degree, (first, _) = linked @ copies, forest(linked | np.eye(len(linked), dtype=bool))
             else:
-                one, two = np.flatnonzero(own == lo), np.flatnonzero(own != lo)
+                two = np.flatnonzero(own != lo)
                 linked = block_links(v[one], keys[one], t, v[two], keys[two], threshold)
-            degree = np.zeros(len(own), np.int64)
-            degree[one] += linked.sum(1)
-            if one is not two and lo != g.column("hi")[0].as_py():
-                degree[two] += linked.sum(0)
-            parent = list(range(len(own)))
-
-            def root(k: int) -> int:
-                while parent[k] != k:
-                    parent[k] = k = parent[parent[k]]
-                return k
-
-            for a in range(len(one)):
-                for b in np.flatnonzero(linked[a]):
-                    p, q = root(one[a]), root(two[b])
-                    if p != q:
-                        parent[q] = p
-            for k in np.flatnonzero(degree):
-                out[0].append(name[k])
-                out[1].append(int(degree[k]))
-                out[2].append(name[root(k)])
-
-        kinds = pa.schema([("id", met_type), ("n", pa.int64()), ("to", met_type)])
+                degree, first = np.zeros(len(own), np.int64), np.full(len(own), -1)
+                degree[one], degree[two] = linked @ copies[two], copies[one] @ linked
+                first[one], first[two] = forest(linked)
+            have = np.flatnonzero(degree)
+            for o, found in zip(out, (uid[have], degree[have], uid[one[first[have]]])):
+                o.append(found)
+
+        def batch(out: tuple[list, list, list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *o]).astype(np.int64)) for o in out], ["uid", "n", "to"])
+
         group, mark, out = [], None, ([], [], [])
         for b in batches:
             if not b.num_rows:
@@ -161,21 +169,21 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
                     group = []
                 mark = tuple(marks[s])
                 group.append(b.slice(s, e - s))
-            yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, kinds)], schema=kinds)
+            yield batch(out)
             out = ([], [], [])
         if group:
             done(group, out)
-        yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, kinds)], schema=kinds)
-
-    from pyspark.sql.pandas.types import to_arrow_type
+        yield batch(out)
 
-    met_type = to_arrow_type(df.schema[id_col].dataType)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = met.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(compare, f"id {kind}, n long, to {kind}")
+    links = met.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(compare, "uid long, n long, to long")
     links, _ = materialise(links, "links")
-    found = components(links.select(F.col("id").alias("a"), F.col("to").alias("b")))
-    degrees = links.groupBy("id").agg(F.sum("n").alias("n"))
-    known = degrees.join(found, degrees.id == found.node).select(degrees.id.alias("k"), "n", "root")
-    out = ids.join(known, ids.id == known.k, "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    found = components(links.select(F.col("uid").alias("a"), F.col("to").alias("b")))
+    degrees = links.groupBy("uid").agg(F.sum("n").alias("n"))
+    known = classes.drop("v").join(degrees, "uid", "left").join(found, F.col("uid") == found.node, "left").withColumn("root", F.coalesce("root", "uid"))
+    least = known.groupBy("root").agg(F.min("least").alias("component"))
+    known = known.join(least, "root").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), "component")
+
+    named = vectors.select("id", *[F.when(F.col("v").isNotNull(), h).alias(f"h{k}") for k, h in enumerate(unlike, 1)])
+    out = named.join(known, ["h1", "h2"], "left").select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

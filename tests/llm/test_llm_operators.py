@@ -375,10 +375,34 @@ def test_itq_recall_and_precision(spark):
         assert r.kept == (r.vec_id == r.component_id) and (r.n_links > 0 or r.kept)
 
 
+def test_itq_recall_at_the_threshold(spark):
+    """Pairs planted at cosines of 0.9 to 0.94, where they are hardest to find."""
+    rng = np.random.default_rng(5)
+    rows = [(r.vec_id, np.array(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    for k in range(300):
+        x = rows[k][1] / np.linalg.norm(rows[k][1])
+        side = rng.standard_normal(64)
+        side -= side @ x * x
+        cosine = rng.uniform(0.9, 0.94)
+        rows.append((10_000 + k, cosine * x + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)))
+    x = np.array([v.astype(np.float32) for _, v in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = x @ x.T >= 0.9
+    np.fill_diagonal(links, False)
+    out = itq.near_vectors(spark.createDataFrame([(k, [float(c) for c in v]) for k, v in rows], "vec_id long, embedding array<float>")).collect()
+    got = {r.vec_id: r.n_links for r in out}
+    assert all(got[k] <= n for (k, _), n in zip(rows, links.sum(1)))
+    hard = [(got[k], n) for (k, _), n in zip(rows, links.sum(1)) if k >= 10_000]
+    assert sum(g for g, _ in hard) >= 0.9 * sum(n for _, n in hard) > 250
+
+
 def test_itq_edges(spark):
     base = [float(k % 5 - 2) for k in range(64)]
     rows = [(1, base), (2, base), (3, [2 * x for x in base]), (4, None), (5, [0.0] * 64), (6, [None, *base[1:]]), (7, [float("nan"), *base[1:]]), (8, [1.0, 2.0]), (None, base), (9, [-x for x in base]), (10, [1e-30 * x for x in base])]
     d = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    rows = [(1, base), (2, base), (3, [2 * x for x in base]), (3, [2 * x for x in base]), (7, [-x for x in base]), (4, [-0.0 if x == 0 else -x for x in base])]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (3, 3, 1, False), (4, 1, 4, True), (7, 1, 4, False)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in itq.near_vectors(d).collect()}
     assert got == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False), 10: (3, 1, False), None: (0, None, True)} | {k: (0, k, True) for k in (4, 5, 6, 7, 8, 9)}
     assert itq.near_vectors(d.limit(0)).count() == 0
