@@ -103,13 +103,14 @@ def replacement(key: str) -> str:
     valid = lambda form: f"try_to_timestamp(m, '{form}') is not null and to_date(try_to_timestamp(m, '{form}')) < date_add(date'{FIRST_DAY}', {DAY_BASE**2})"
     body = _let(f"left({_digits('m')}, cast(length({_digits('m')}) - 1 as int))", "v", cipher.text("v", "card"))
     card = _let(body, "w", _refill("m", f"concat(w, cast((10 - {luhn_sum('w', 1)} % 10) % 10 as string))"))
-    iban = _let("regexp_replace(m, ' ', '')", "u", _let(_let("substr(u, 5)", "v", cipher.text("v", "iban")), "w", _let(mod97("concat(left(u, 2), '00', w)"), "r", _refill("m", "concat(left(u, 2), lpad(cast(98 - r as string), 2, '0'), w)", "A-Z0-9"))))
+    unspaced = "regexp_replace(m, ' ', '')"
+    iban = _let(unspaced, "u", _let(_let("substr(u, 5)", "v", cipher.text("v", "iban")), "w", _let(mod97("concat(left(u, 2), '00', w)"), "r", _refill("m", "concat(left(u, 2), lpad(cast(98 - r as string), 2, '0'), w)", "A-Z0-9"))))
     phone = _let("regexp_extract(m, '^[+][0-9]{1,3}(?![0-9])', 0)", "c", _let("substr(m, length(c) + 1)", "t", _let(_digits("t"), "v", f"concat(c, {_let(cipher.text('v', 'phone'), 'w', _refill('t', 'w'))})")))
     secret = _let("case when m rlike '^AKIA' then 'AKIA' else regexp_extract(m, '^(password=|gh[pousr]_|sk-)', 0) end", "c", _let("substr(m, length(c) + 1)", "v", f"concat(c, case when v rlike '^[0-9a-f]+$' then {cipher.text('v', 'secret', True)} else {cipher.text('v', 'secret')} end)"))
     ssn = _let(_digits("m"), "v", _let(cipher.text("v", "ssn"), "w", _refill("m", "w")))
     return (
         f"case when {whole('email')} then named_struct('kind', 'email', 'to', {email}) "
-        f"when {whole('iban')} and {_let(chr(114) + 'egexp_replace(m, ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + chr(39) + ')', 'u', mod97('u'))} = 1 then named_struct('kind', 'iban', 'to', {iban}) "
+        f"when {whole('iban')} and {_let(unspaced, 'u', mod97('u'))} = 1 then named_struct('kind', 'iban', 'to', {iban}) "
         f"when {whole('ip')} then named_struct('kind', 'ip', 'to', {ip}) "
         f"when {whole('isodate')} and {valid('yyyy-MM-dd')} then named_struct('kind', 'date', 'to', {date('yyyy-MM-dd')}) "
         f"when {whole('daydate')} and {valid('dd/MM/yyyy')} then named_struct('kind', 'date', 'to', {date('dd/MM/yyyy')}) "
