@@ -60,30 +60,59 @@ def codes_map(rotations, table_bits: int):
     return code
 
 
-def block_links(x: np.ndarray, keys: np.ndarray, table: int, y: np.ndarray | None, other: np.ndarray | None, threshold: float) -> np.ndarray:
-    """Which rows of x link with which of y (None: with each other), leaving out pairs that met in an earlier table."""
-    inner = y is None
-    y, other = (x, keys) if inner else (y, other)
-    linked = x @ y.T >= threshold
-    a, b = np.nonzero(linked)
-    met = (keys[a, :table] == other[b, :table]).any(1) if table else np.zeros(len(a), bool)
-    linked[a[met], b[met]] = False
-    if inner:
-        np.fill_diagonal(linked, False)
+def group_links(x: np.ndarray, y: np.ndarray, x_keys: np.ndarray, y_keys: np.ndarray, tables: np.ndarray, threshold: float) -> np.ndarray:
+    """In each of some groups of equal shape (first axis), which rows of x link with which of y, leaving out pairs that met in a table before the group's."""
+    linked = x @ y.swapaxes(1, 2) >= threshold
+    g, a, b = np.nonzero(linked)
+    met = ((x_keys[g, a] == y_keys[g, b]) & (np.arange(x_keys.shape[2]) < tables[g, None])).any(1)
+    linked[g[met], a[met], b[met]] = False
     return linked
 
 
 def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row and each column of a link matrix the first row of its component, -1 without a link."""
-    rows, cols = np.full(linked.shape[0], -1), np.full(linked.shape[1], -1)
-    for k in np.flatnonzero(linked.any(1)):
-        new = np.array([k]) if rows[k] < 0 else np.array([], int)
-        while len(new):
-            rows[new] = k
-            reached = linked[new].any(0) & (cols < 0)
-            cols[reached] = k
-            new = np.flatnonzero(linked[:, reached].any(1) & (rows < 0))
-    return rows, cols
+    """In each group, for each row and each column the first row of its component; a column without a link gets the number of rows."""
+    groups, n, _ = linked.shape
+    rows = np.tile(np.arange(n), (groups, 1))
+    while True:
+        cols = np.where(linked, rows[:, :, None], n).min(1)
+        new = np.minimum(rows, np.where(linked, cols[:, None, :], n).min(2))
+        if (new == rows).all():
+            return rows, cols
+        rows = new
+
+
+def compare_groups(t: pa.Table, by: list[str], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(uid, links, uid of its component's first row) of all linked rows of whole groups, sorted by `by`. Groups of one size are compared together, as most are tiny."""
+    t = t.combine_chunks()
+    own, uid, copies, lo, hi, table = (t.column(c).to_numpy() for c in ("own", "uid", "copies", "lo", "hi", "t"))
+    x, keys = unit_rows(t.column("v").chunk(0)), t.column("keys").chunk(0).flatten().to_numpy().reshape(len(t), -1)
+    starts = group_starts(t, by)
+    sizes = np.diff([*starts, len(t)])
+    inner = lo[starts] == hi[starts]
+    for size in np.unique(sizes[inner & (sizes > 1)]):
+        whole = starts[inner & (sizes == size)]
+        step = max(1, (1 << 20) // int(size * size))
+        for k in range(0, len(whole), step):
+            at = whole[k : k + step, None] + np.arange(size)
+            linked = group_links(x[at], x[at], keys[at], keys[at], table[at[:, 0]], threshold)
+            linked[:, np.arange(size), np.arange(size)] = False
+            degree = (linked * copies[at][:, None, :]).sum(2)
+            first = np.take_along_axis(uid[at], forest(linked | np.eye(size, dtype=bool))[0], 1)
+            yield uid[at][degree > 0], degree[degree > 0], first[degree > 0]
+    for start, size in zip(starts[~inner], sizes[~inner]):
+        at = np.arange(start, start + size)
+        one, two = at[own[at] == lo[start]], at[own[at] != lo[start]]
+        if len(one) and len(two):
+            linked = group_links(x[one][None], x[two][None], keys[one][None], keys[two][None], table[start : start + 1], threshold)
+            rows, cols = (f[0] for f in forest(linked))
+            for some, first, degree in ((one, rows, linked[0] @ copies[two]), (two, cols, copies[one] @ linked[0])):
+                have = degree > 0
+                yield uid[some][have], degree[have], uid[one[first[have]]]
+
+
+def group_starts(t: pa.Table, by: list[str]) -> np.ndarray:
+    marks = np.stack([t.column(c).to_numpy() for c in by], 1)
+    return np.flatnonzero(np.r_[True, (marks[1:] != marks[:-1]).any(1)]) if len(marks) else np.zeros(0, int)
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, rotations: int = 8, table_bits: int = 16, sample: int = 4096, block: int = 256, seed: int = 0) -> DataFrame:
@@ -135,45 +164,20 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     met = met.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "uid", "copies", "v", "keys")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(group: list[pa.RecordBatch], out: tuple[list, list, list]) -> None:
-            g = pa.Table.from_batches(group)
-            lo, hi, t = (g.column(c)[0].as_py() for c in ("lo", "hi", "t"))
-            own, uid, copies = (g.column(c).to_numpy() for c in ("own", "uid", "copies"))
-            v, keys = unit_rows(g.column("v").combine_chunks()), np.stack(g.column("keys").combine_chunks().to_numpy(zero_copy_only=False))
-            one = np.flatnonzero(own == lo)
-            if lo == hi:
-                linked = block_links(v, keys, t, None, None, threshold)
-                degree, (first, _) = linked @ copies, forest(linked | np.eye(len(linked), dtype=bool))
-            else:
-                two = np.flatnonzero(own != lo)
-                linked = block_links(v[one], keys[one], t, v[two], keys[two], threshold)
-                degree, first = np.zeros(len(own), np.int64), np.full(len(own), -1)
-                degree[one], degree[two] = linked @ copies[two], copies[one] @ linked
-                first[one], first[two] = forest(linked)
-            have = np.flatnonzero(degree)
-            for o, found in zip(out, (uid[have], degree[have], uid[one[first[have]]])):
-                o.append(found)
-
-        def batch(out: tuple[list, list, list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *o]).astype(np.int64)) for o in out], ["uid", "n", "to"])
-
-        group, mark, out = [], None, ([], [], [])
+        def done(t: pa.Table) -> pa.RecordBatch:
+            found = [(np.zeros(0, np.int64),) * 3, *(compare_groups(t, by, threshold) if len(t) else ())]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found)], ["uid", "n", "to"])
+
+        open_group = None  # the last group of the batches so far, which may go on in the next
         for b in batches:
-            if not b.num_rows:
-                continue
-            marks = np.stack([b.column(c).to_numpy() for c in by], 1)
-            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1), len(marks)]
-            for s, e in zip(cuts, cuts[1:]):
-                if group and mark != tuple(marks[s]):
-                    done(group, out)
-                    group = []
-                mark = tuple(marks[s])
-                group.append(b.slice(s, e - s))
-            yield batch(out)
-            out = ([], [], [])
-        if group:
-            done(group, out)
-        yield batch(out)
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([open_group, t]) if open_group is not None else t
+            starts = group_starts(t, by)
+            last = starts[-1] if len(starts) else 0
+            yield done(t.slice(0, last))
+            open_group = t.slice(last)
+        if open_group is not None:
+            yield done(open_group)
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = met.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(compare, "uid long, n long, to long")

@@ -373,6 +373,31 @@ def test_itq_recall_and_precision(spark):
     assert sum(r.n_links for r in got.values()) >= 0.9 * sum(want.values())
     for r in got.values():
         assert r.kept == (r.vec_id == r.component_id) and (r.n_links > 0 or r.kept)
+    if all(got[k].n_links == n for k, n in want.items()):  # no link is missing: components are known too
+        least = np.array([r.vec_id for r in ok])
+        while (new := np.minimum(least, np.where(s, least[None, :], least[:, None]).min(1))).tolist() != least.tolist():
+            least = new
+        assert {r.vec_id: int(x) for r, x in zip(ok, least)} == {r.vec_id: got[r.vec_id].component_id for r in ok}
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (7, 7), (5, 9), (30, 4)])
+def test_itq_forest(shape):
+    rng = np.random.default_rng(shape[0])
+    linked = rng.random((20, *shape)) < 0.15
+    rows, cols = itq.forest(linked)
+    for k in range(20):
+        parent = list(range(sum(shape)))
+
+        def root(v, parent=parent):
+            while parent[v] != v:
+                v = parent[v]
+            return v
+
+        for a, b in zip(*np.nonzero(linked[k])):
+            x, y = root(a), root(shape[0] + b)
+            parent[max(x, y)] = min(x, y)
+        assert rows[k].tolist() == [root(v) for v in range(shape[0])]
+        assert all((c == root(shape[0] + v)) if linked[k][:, v].any() else c == shape[0] for v, c in enumerate(cols[k]))
 
 
 def test_itq_recall_at_the_threshold(spark):
