@@ -18,8 +18,10 @@ PATTERNS = {
     "phone": r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){1,2}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![0-9A-Za-z])(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,}(?![0-9A-Za-z])|(?<![A-Za-z0-9])password=[0-9A-Za-z_-]{6,}|(?<![A-Za-z0-9])(?:gh[pousr]_|sk-)[0-9A-Za-z]{16,}",
 }
-#: Dates are permuted among so many days squared, from this one on: 1600-01-01 to 2110-12-17.
-DAY_BASE, FIRST_DAY = 432, "1600-01-01"
+#: Dates are permuted among the days that the patterns let through, 66 * 2767 of them: 1600-01-01 to 2099-12-31.
+FIRST_DAY, DAYS = "1600-01-01", (66, 2767)
+#: Social security numbers are permuted among those that the pattern lets through: 898 areas times 99 groups, and 9,999 serials.
+SSNS = (898 * 99, 9999)
 
 
 def _quote(s: str) -> str:
@@ -32,12 +34,12 @@ class Cipher:
     def __init__(self, key: str):
         self.key = _quote(key)
 
-    def number(self, value: str, base: int, tweak: str) -> str:
-        """A permutation of 0 .. base^2 - 1: Feistel rounds over two halves to the base."""
-        prf = f"cast(conv(substr(sha2(concat({self.key}, '|{tweak}|', i, '|', acc.b), 256), 1, 12), 16, 10) as bigint)"
+    def number(self, value: str, left: int, right: int, tweak: str) -> str:
+        """A permutation of 0 .. left * right - 1: Feistel rounds that shift the two mixed-radix halves in turn, so none falls outside."""
+        prf = f"cast(conv(substr(sha2(concat({self.key}, '|{tweak}|', i, '|', if(i % 2 = 1, acc.b, acc.a)), 256), 1, 12), 16, 10) as bigint)"
         return (
-            f"aggregate(sequence(1, {ROUNDS}), named_struct('a', {value} div {base}, 'b', {value} % {base}), "
-            f"(acc, i) -> named_struct('a', acc.b, 'b', (acc.a + {prf}) % {base}), acc -> acc.a * {base} + acc.b)"
+            f"aggregate(sequence(1, {ROUNDS}), named_struct('a', {value} div {right}, 'b', {value} % {right}), "
+            f"(acc, i) -> if(i % 2 = 1, named_struct('a', (acc.a + {prf}) % {left}, 'b', acc.b), named_struct('a', acc.a, 'b', (acc.b + {prf}) % {right})), acc -> acc.a * {right} + acc.b)"
         )
 
     def text(self, value: str, tweak: str, hexadecimal: bool = False) -> str:
@@ -94,20 +96,24 @@ def replacement(key: str) -> str:
         return f"m rlike {_quote('^(?:' + PATTERNS[kind] + ')$')}"
 
     email = _let("regexp_extract(m, '@.*$', 0)", "host", f"concat({_let(f'left(m, cast(length(m) - length(host) as int))', 'v', cipher.text('v', 'email'))}, host)")
-    ip = _let("split(m, '[.]')", "o", _let(cipher.number(_let("transform(o, z -> cast(z as bigint))", "y", "((y[0] * 256 + y[1]) * 256 + y[2]) * 256 + y[3]"), 65536, "ip"), "n", "concat_ws('.', cast(n div 16777216 as string), cast((n div 65536) % 256 as string), cast((n div 256) % 256 as string), cast(n % 256 as string))"))
+    ip = _let("split(m, '[.]')", "o", _let(cipher.number(_let("transform(o, z -> cast(z as bigint))", "y", "((y[0] * 256 + y[1]) * 256 + y[2]) * 256 + y[3]"), 65536, 65536, "ip"), "n", "concat_ws('.', cast(n div 16777216 as string), cast((n div 65536) % 256 as string), cast((n div 256) % 256 as string), cast(n % 256 as string))"))
 
     def date(form: str) -> str:
         day = f"cast(datediff(to_date(try_to_timestamp(m, '{form}')), date'{FIRST_DAY}') as bigint)"
-        return f"date_format(date_add(date'{FIRST_DAY}', cast({_let(day, 'n', cipher.number('n', DAY_BASE, 'date'))} as int)), '{form}')"
+        return f"date_format(date_add(date'{FIRST_DAY}', cast({_let(day, 'n', cipher.number('n', *DAYS, 'date'))} as int)), '{form}')"
 
-    valid = lambda form: f"try_to_timestamp(m, '{form}') is not null and to_date(try_to_timestamp(m, '{form}')) < date_add(date'{FIRST_DAY}', {DAY_BASE**2})"
+    valid = lambda form: f"try_to_timestamp(m, '{form}') is not null"
     body = _let(f"left({_digits('m')}, cast(length({_digits('m')}) - 1 as int))", "v", cipher.text("v", "card"))
     card = _let(body, "w", _refill("m", f"concat(w, cast((10 - {luhn_sum('w', 1)} % 10) % 10 as string))"))
     unspaced = "regexp_replace(m, ' ', '')"
     iban = _let(unspaced, "u", _let(_let("substr(u, 5)", "v", cipher.text("v", "iban")), "w", _let(mod97("concat(left(u, 2), '00', w)"), "r", _refill("m", "concat(left(u, 2), lpad(cast(98 - r as string), 2, '0'), w)", "A-Z0-9"))))
     phone = _let("regexp_extract(m, '^[+][0-9]{1,3}(?![0-9])', 0)", "c", _let("substr(m, length(c) + 1)", "t", _let(_digits("t"), "v", f"concat(c, {_let(cipher.text('v', 'phone'), 'w', _refill('t', 'w'))})")))
     secret = _let("case when m rlike '^AKIA' then 'AKIA' else regexp_extract(m, '^(password=|gh[pousr]_|sk-)', 0) end", "c", _let("substr(m, length(c) + 1)", "v", f"concat(c, case when v rlike '^[0-9a-f]+$' then {cipher.text('v', 'secret', True)} else {cipher.text('v', 'secret')} end)"))
-    ssn = _let(_digits("m"), "v", _let(cipher.text("v", "ssn"), "w", _refill("m", "w")))
+    part = lambda at, n: f"cast(substr(m, {at}, {n}) as bigint)"
+    place = f"((({part(1, 3)} - 1 - if({part(1, 3)} > 666, 1, 0)) * 99 + {part(5, 2)} - 1) * 9999 + {part(8, 4)} - 1)"  # areas 000, 666 and 900 up, group 00 and serial 0000 have none
+    padded = lambda x, n: f"lpad(cast({x} as string), {n}, '0')"
+    area = _let("n div (99 * 9999)", "z", padded("z + 1 + if(z >= 665, 1, 0)", 3))
+    ssn = _let(place, "u", _let(cipher.number("u", *SSNS, "ssn"), "n", f"concat_ws('-', {area}, {padded('(n div 9999) % 99 + 1', 2)}, {padded('n % 9999 + 1', 4)})"))
     return (
         f"case when {whole('email')} then named_struct('kind', 'email', 'to', {email}) "
         f"when {whole('iban')} and {_let(unspaced, 'u', mod97('u'))} = 1 then named_struct('kind', 'iban', 'to', {iban}) "
@@ -126,8 +132,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """docs with the text's personal data replaced, and pii_found (values replaced) and pii_kinds (their kinds in order) added.
 
     Cards (Luhn), IBANs (modulo 97), calendar dates, IPv4 addresses, US social security and phone numbers are
-    checked and permuted within their format: check digits, country codes and punctuation stay right, so an
-    equal value gets an equal pseudonym in every document, and two values never share one. The local part of
+    checked and permuted within their format: check digits, country codes and punctuation stay right, dates stay
+    dates that a pattern finds and social security numbers ones that could be issued, so an equal value gets
+    an equal pseudonym in every document, and two values never share one. The local part of
     e-mail addresses and the body of access keys, tokens and passwords are permuted by kind of character.
     Digits that are not valid for any kind stay. The key alone gives the permutations; keep it secret.
 
