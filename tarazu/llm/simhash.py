@@ -110,6 +110,14 @@ def band_masks(bands: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(band, bands - radius)]
 
 
+def enough_bands(n: int, radius: int, block: int) -> int:
+    """The fewest bands with which n evenly spread fingerprints make shards of a block at most, on average."""
+    bands = radius + 1
+    while n > block << (64 * (bands - radius) // bands) and bands < 3 * radius + 3:
+        bands += 1
+    return bands
+
+
 def signed(v: int) -> int:
     return v - (1 << 64) if v >> 63 else v
 
@@ -121,8 +129,9 @@ def fingerprint_links(prints: DataFrame, radius: int = 2, bands: int = 3, block:
     every pair within the radius meets in some shard. A shard of over `block` fingerprints is cut
     into blocks and each two blocks meet in a task of their own, so no task holds a whole hot shard.
     In a task one block becomes a BK-tree and the other is searched in it. Trees travel by the
-    shuffle, not as broadcasts, as together they grow with the corpus. Take more bands for a larger
-    corpus: 3 give 3 shards per fingerprint of 2^21 keys, 4 give 6 of 2^32, 5 give 10 of 2^38.
+    shuffle, not as broadcasts, as together they grow with the corpus. More bands suit a larger corpus
+    (see enough_bands) and find the same: at radius 2, 3 give 3 shards per fingerprint of 2^21 keys,
+    4 give 6 of 2^32, 5 give 10 of 2^38.
     """
     masks = [signed(m) for m in band_masks(bands, radius)]
     keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
@@ -161,18 +170,20 @@ def fingerprint_links(prints: DataFrame, radius: int = 2, bands: int = 3, block:
     return met.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(search, "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, bands: int = 3, block: int = 192) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, bands: int | None = None, block: int = 192) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits) and component_id, the least id reachable by links.
 
     Documents link when their fingerprints differ in at most `radius` bits. Null, empty and blank
     texts have fingerprint zero and link like any other. Rows with a null id are kept and linked;
     a component in which all ids are null has a null component_id. Repeated rows stay repeated. An
     empty table gives no rows. Other columns of the input are neither read nor returned. Only ids
-    and fingerprints are shuffled; copies meet as one fingerprint.
+    and fingerprints are shuffled; copies meet as one fingerprint. The number of bands follows from
+    that of distinct fingerprints where none is given; it changes the work, not the result.
     """
     prints = docs.select(F.col(id_col).alias("id"), fingerprints_udf(width)(F.col(text_col).cast("binary")).alias("fp"))
     prints, _ = materialise(prints, "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    bands = bands or enough_bands(classes.count(), radius, block)
     found = components(fingerprint_links(classes.select("fp"), radius, bands, block))
     of = classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
