@@ -65,14 +65,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = 1.5,
     return s.select("source", "source_size", "kind", F.coalesce(F.least("cap", F.col("rate") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedules=SCHEDULES, total_share: float = 1.5, most: float = 2.0, partial: bool = True, seed: int = 0, keep: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedules=SCHEDULES, total_share: float = 1.5, most: float = 2.0, partial: bool = True, seed: int = 0, keep: bool = False, per_copy: bool = False) -> DataFrame:
     """One row per document in the order of training: id, size, source_size, target, taken, copies, first_position, second_position (null if not taken so often).
 
     A source's documents follow each other in the order of a hash, pass after pass, until its target is
     met. With `partial` the last document is cut, so the taken words are the rounded target; without, whole
     documents are taken up to the one whose middle lies beyond it. The middle of each taken copy, as a share
     of the source's taken words, gives its training position by the inverted schedule; rows are
-    range-sorted by the first. With `keep` all input columns stay (new columns replace equal names).
+    range-sorted by the first. With `keep` all input columns stay (new columns replace equal names). With
+    `per_copy` there is a row for each taken copy instead, range-sorted by its own `position`.
 
     Null text: size 0, never taken. A null source is a source of its own, the last. Repeated rows are
     documents like others; null ids hash alike. All sizes 0 give targets and takings of 0. An empty
@@ -116,5 +117,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     d = d.withColumn("first_position", at(0)).withColumn("second_position", at(1))
     new = ["size", "source_size", "target", "taken", "copies", "first_position", "second_position"]
-    old = [F.col(f"__row.`{c}`").alias(c) for c in (docs.columns if keep else [id_col]) if c not in new]
-    return d.select(*old, *new).repartitionByRange("first_position", "taken", id_col).sortWithinPartitions("first_position", "taken", id_col)
+    old = [F.col(f"__row.`{c}`").alias(c) for c in (docs.columns if keep else [id_col]) if c not in new and not (per_copy and c == "position")]
+    if not per_copy:
+        order = ["first_position", "taken", id_col]
+        return d.select(*old, *new).repartitionByRange(*order).sortWithinPartitions(*order)
+    places = F.filter(F.array("first_position", "second_position"), lambda p: p.isNotNull())
+    copies = d.select(*old, *new, F.explode(places).alias("position"))
+    return copies.repartitionByRange("position", "taken", id_col).sortWithinPartitions("position", "taken", id_col)

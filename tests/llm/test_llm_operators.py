@@ -207,6 +207,16 @@ def test_mix(spark, sf, partial):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def test_copies_stand_at_their_own_positions(spark, sf):
+    for d in (spark.read.parquet(f"{sf}/documents.parquet"), clashing(edge_docs(spark)).withColumn("position", F.lit("clash"))):
+        rows, out = mixing.mix(d, partial=False, keep=True).collect(), mixing.mix(d, partial=False, keep=True, per_copy=True)
+        want = collections.Counter((str(r.doc_id), p) for r in rows for p in (r.first_position, r.second_position) if p is not None)
+        got = out.collect()
+        assert collections.Counter((str(r.doc_id), r.position) for r in got) == want and len(set(out.columns)) == len(out.columns)
+        assert [r.position for r in got] == sorted(r.position for r in got) and any(r.copies == 2 for r in got)
+    assert mixing.mix(d.limit(0), keep=True, per_copy=True).count() == 0
+
+
 def test_positions_invert_the_schedule(spark):
     knots = ((0.0, 1.0), (0.25, 3.0), (0.5, 0.0), (1.0, 2.0))
     shares = np.linspace(0, 1, 101)
@@ -542,6 +552,11 @@ def test_every_link_is_found(spark, bands):
     assert got == collections.Counter(n for n in collections.Counter(map(root, vs)).values() if n > 1)
 
 
+def test_bands_follow_the_number_of_fingerprints():
+    assert [simhash.enough_bands(n, 2, 192) for n in (0, 192 << 21, (192 << 21) + 1, 192 << 32, 10**13)] == [3, 3, 4, 4, 5]
+    assert simhash.enough_bands(10**30, 2, 192) == 9 and simhash.enough_bands(10**6, 0, 192) == 1
+
+
 def test_bk_tree_search():
     rng = np.random.default_rng(5)
     values = [int(v) for v in rng.integers(0, 2**16, 500)]
