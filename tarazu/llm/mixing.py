@@ -83,20 +83,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if not 0 < most <= 2 or len(schedules) != len(weights):
         raise ValueError("most must be in (0, 2] and each weight needs a schedule")
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep else [id_col])]).alias("__row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h"))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep else [id_col])]).alias("__row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("name"), word_count(F.col(text_col)).alias("size"), h.alias("h"))
     if not keep:
         base, _ = materialise(base, "sizes")
     n = docs.count() if keep else base.count()
     digits = max(1, math.ceil(math.log(max(n, 1) / BUCKET_ROWS, 16))) if n > BUCKET_ROWS else 1
     base = base.withColumn("bucket", F.substring("h", 1, digits))
-    buckets, _ = materialise(base.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
+    buckets, _ = materialise(base.groupBy("source", "name", "bucket").agg(F.sum("size").alias("words")), "buckets")
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = buckets.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0)))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total_share, most)
-    known = starts.join(targets, starts.source.eqNullSafe(targets.source)).select(starts.source.alias("s"), F.col("bucket").alias("k"), "start", "source_size", "kind", "target")
-    d = base.join(known, base.source.eqNullSafe(known.s) & (base.bucket == known.k)).drop("s", "k")
+    known = starts.join(targets, starts.source.eqNullSafe(targets.source)).select("name", "bucket", "start", "source_size", "kind", "target")
+    d = base.join(known, ["name", "bucket"])
 
-    inside = W.partitionBy("source", "bucket").orderBy("h", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("name", "bucket").orderBy("h", "id", "size").rowsBetween(W.unboundedPreceding, -1)  # dealt as the join is: names are never null
     d = d.withColumn("cum", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     whole = F.when(F.col("source_size") == 0, 0).when(F.col("target") >= 2 * F.col("source_size"), 2).when(F.col("target") >= F.col("source_size"), 1).otherwise(0)
     d = d.withColumn("passes", whole.cast("long"))
