@@ -1,6 +1,7 @@
 """The pipeline's stages one after the other against brute force, each judged on its own input."""
 
 import collections
+import hashlib
 import zlib
 
 import numpy as np
@@ -61,6 +62,16 @@ def test_stages(spark, sf, edges, tmp_path):
     assert collections.Counter((r.doc_id, r.start, r.ids_crc32) for r in packed) == want
 
 
+def test_near_copies_are_told_apart_by_row(spark, sf):
+    """Null and repeated ids beside a near copy: only the copies go."""
+    t, u, v, w, x, y, z = (" ".join(f"{a}{k}" for k in range(40)) for a in "tuvwxyz")
+    rows = [(1, t), (None, t.upper()), (None, u), (None, u), (5, v), (5, w), (2, w.upper()), (6, x), (6, y), (6, y), (None, z), (None, z.upper())]
+    d = spark.createDataFrame([(i, text, "en", "a") for i, text in rows], "doc_id long, text string, lang string, source string")
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.without_near_copies(spark, d, sf).collect())
+    last = min((z, z.upper()), key=lambda s: hashlib.md5(s.encode()).hexdigest())
+    assert got == collections.Counter([(1, t), (None, u), (5, v), (2, w.upper()), (6, x), (6, y), (None, last)])
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and "sequence_id" in out.columns and corpus_pipeline.ORACLE_SQL is None
