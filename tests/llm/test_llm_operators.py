@@ -153,6 +153,12 @@ def test_pii_edges(spark):
     assert out.where("doc_id = 7").first().text == d.where("doc_id = 7").first().text
 
 
+@pytest.mark.parametrize("secret", ["password=correcthorse", "ghp_" + "abcdefgh" * 3, "sk-" + "Abcdefgh" * 3, "AKIA" + "ABCDEFGH" * 2])
+def test_pii_secrets_without_a_digit(spark, secret):
+    out = pii.pseudonymise(docs_of(spark, [(1, f"my {secret} here", None, None), (2, f"my {secret} here, since 10.0.0.1", None, None)]), "k").orderBy("doc_id").collect()
+    assert out[0].pii_kinds == ["secret"] and secret not in out[0].text and out[1].text.startswith(out[0].text)
+
+
 def test_pii_leaves_no_planted_value(spark, sf):
     before = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     pats = [r"[\w.]+@[\w.]+\.com", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"(?<!\d)\d{16}(?!\d)", r"\d+\.\d+\.\d+\.\d+", r"AKIA\w{16}"]
