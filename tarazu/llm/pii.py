@@ -128,6 +128,27 @@ def replacement(key: str) -> str:
     )
 
 
+def replacements(key: str) -> str:
+    """SQL for (kinds, to) of a match m: itself as one value, else with the values between its separators replaced; no kinds where there are none.
+
+    A card's or an IBAN's pattern can take in what stands beside the value (an expiry date, a security code, a
+    capital word). From each place after a separator, left to right, the longest part that ends at a separator and
+    is valid counts. Kinds without a check digit must stand between spaces. A match has at most 43 characters here.
+    """
+    one = replacement(key)
+    places = lambda at, beside: f"filter(sequence(1, length(m)), z -> substr(m, cast(z as int), 1) not in (' ', '-') and ({at} or substr(m, cast(z as int) {beside}, 1) in (' ', '-')))"
+    sure = "(r.kind in ('card', 'iban') or not ((p > 1 and substr(m, p - 1, 1) = '-') or substr(m, e + 1, 1) = '-'))"
+    end = f"element_at(transform(array({_let('substr(m, p, e - p + 1)', 'm', one)}), r -> if({sure}, named_struct('kind', r.kind, 'to', r.to, 'next', e + 1), null)), 1)"
+    none = "cast(null as struct<kind: string, to: string, next: int>)"
+    longest = f"aggregate(reverse(ends), {none}, (f, e) -> if(f.kind is not null or e < p, f, {end}))"
+    step = _let(longest, "f", "if(f.kind is null, acc, named_struct('next', f.next, 'kinds', concat(acc.kinds, array(f.kind)), 'to', concat(acc.to, substr(m, acc.next, p - acc.next), f.to)))")
+    start = "named_struct('next', 1, 'kinds', cast(array() as array<string>), 'to', '')"
+    inner = f"aggregate({places('z = 1', '- 1')}, {start}, (acc, p) -> if(p < acc.next, acc, {step}), acc -> named_struct('kinds', acc.kinds, 'to', concat(acc.to, substr(m, acc.next))))"
+    inner = _let(places("z = length(m)", "+ 1"), "ends", inner)
+    whole = _let(one, "r", "if(r.kind is null, null, named_struct('kinds', array(r.kind), 'to', r.to))")
+    return f"coalesce({whole}, if(length(m) between 14 and 43 and m rlike '[ -]', {inner}, null), named_struct('kinds', cast(array() as array<string>), 'to', m))"
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with the text's personal data replaced, and pii_found (values replaced) and pii_kinds (their kinds in order) added.
 
@@ -145,9 +166,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     text = F.col(text_col)
     may = text.rlike("[0-9@]|AKIA|password=|gh[pousr]_|sk-")  # each kind has a digit, an @ or a secret's mark: most texts are let through by this alone
     m = docs.withColumn("__m", F.when(may, F.regexp_extract_all(text, F.lit(found), F.lit(0))))
-    m = m.withColumn("__to", F.when(F.size("__m") > 0, F.expr(f"transform(__m, m -> {replacement(key)})")))
+    m = m.withColumn("__to", F.when(F.size("__m") > 0, F.expr(f"transform(__m, m -> {replacements(key)})")))
     pieces = F.split(text, found, -1)
     joined = F.array_join(F.zip_with(pieces, F.concat(F.zip_with("__m", "__to", lambda x, t: F.coalesce(t["to"], x)), F.array(F.lit(""))), lambda p, t: F.concat(p, t)), "")
-    kinds = F.coalesce(F.filter(F.transform("__to", lambda t: t["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    kinds = F.coalesce(F.flatten(F.transform("__to", lambda t: t["kinds"])), F.array().cast("array<string>"))
     out = m.withColumn(text_col, F.when(F.col("__to").isNotNull(), joined).otherwise(text)).withColumn("pii_kinds", kinds)
     return out.withColumn("pii_found", F.size("pii_kinds").cast("long")).drop("__m", "__to")

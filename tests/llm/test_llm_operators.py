@@ -159,6 +159,19 @@ def test_pii_secrets_without_a_digit(spark, secret):
     assert out[0].pii_kinds == ["secret"] and secret not in out[0].text and out[1].text.startswith(out[0].text)
 
 
+def test_pii_values_inside_a_longer_match(spark):
+    card, iban, iban2 = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034"
+    forms = [("{} 12/26", card), ("{} 123", card), ("{} 123", "4111111111111111"), ("{}-123", "4111-1111-1111-1111"), ("12 {}", card), ("{} EUR", iban), ("{} PAID", iban), ("{} NOW.", "AT611904300234573201"), ("AB12 {}", card), ("{} 1234", "555-123-4567")]
+    texts = [t for form, value in forms for t in (f"pay {form.format(value)} x", f"pay {value}; x")]
+    rows = pii.pseudonymise(docs_of(spark, [(k, t, None, None) for k, t in enumerate([*texts, f"{iban2} {iban2} EUR", "1234 5678 9012 3456 12 left"])]), "k").orderBy("doc_id").collect()
+    for k, (form, value) in enumerate(forms):
+        alone = rows[2 * k + 1].text.removeprefix("pay ").removesuffix("; x")
+        assert alone != value and rows[2 * k].text == f"pay {form.format(alone)} x" and rows[2 * k].pii_found == rows[2 * k + 1].pii_found == 1
+    both = rows[-2]
+    assert both.pii_kinds == ["iban", "iban"] and both.text[:19] == both.text[20:39] != iban2 and both.text.endswith(" EUR")
+    assert rows[-1].text == "1234 5678 9012 3456 12 left" and rows[-1].pii_found == 0
+
+
 def test_pii_leaves_no_planted_value(spark, sf):
     before = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     pats = [r"[\w.]+@[\w.]+\.com", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"(?<!\d)\d{16}(?!\d)", r"\d+\.\d+\.\d+\.\d+", r"AKIA\w{16}"]
