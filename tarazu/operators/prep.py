@@ -86,13 +86,16 @@ def leak_exact(train: DataFrame, test: DataFrame, text: str = "state") -> DataFr
     return train.join(by_text.union(by_case).distinct(), "id", "left_semi")
 
 
-def shingles(df: DataFrame, id_col: str, text: str, n: int = 5) -> DataFrame:
-    """(id, sh): the distinct word n-grams of each text as 60-bit hashes; texts under n words give none."""
+def shingles(df: DataFrame, id_col: str, text: str, n: int = 5, short: bool = False) -> DataFrame:
+    """(id, sh): the distinct word n-grams of each text as 60-bit hashes; texts under n words give none, or with `short` their whole word sequence, apart from all n-grams."""
     w = words(F.col(text))
     tokens = df.select(F.col(id_col).alias("id"), F.posexplode(w).alias("pos", "w"))
     order = W.partitionBy("id").orderBy("pos")
     gram = F.concat_ws(" ", "w", *[F.lead("w", k).over(order) for k in range(1, n)])
     whole = tokens.select("id", gram.alias("g"), F.lead("w", n - 1).over(order).alias("last")).where("last is not null")
+    if short:
+        few = df.select(F.col(id_col).alias("id"), w.alias("w")).where(F.size("w").between(1, n - 1))
+        whole = whole.select("id", "g").unionByName(few.select("id", F.concat(F.lit(" "), F.concat_ws(" ", "w")).alias("g")))
     return whole.select("id", F.conv(F.substring(F.md5("g"), 1, 15), 16, 10).cast("bigint").alias("sh")).distinct()
 
 
@@ -100,8 +103,9 @@ def leak_near_dup(train: DataFrame, test: DataFrame, text: str = "state", n: int
     """(test_id, train_id, shared, jaccard, containment): exact set similarities across the splits, one row per pair at or over a threshold.
 
     Only pairs across the splits are joined, on shingle hashes; a frequent shingle is a skewed join key, which AQE splits.
+    Texts under n words pair where their whole word sequences are equal.
     """
-    a, b = shingles(train, id_col, text, n), shingles(test, id_col, text, n)
+    a, b = shingles(train, id_col, text, n, short=True), shingles(test, id_col, text, n, short=True)
     size = lambda s, name: s.groupBy("id").agg(F.count("*").alias(name))
     pairs = b.select(F.col("id").alias("test_id"), "sh").join(a.select(F.col("id").alias("train_id"), "sh"), "sh").groupBy("test_id", "train_id").agg(F.count("*").alias("shared"))
     pairs = pairs.join(size(a, "na").withColumnRenamed("id", "train_id"), "train_id").join(size(b, "nb").withColumnRenamed("id", "test_id"), "test_id")

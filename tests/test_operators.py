@@ -150,3 +150,11 @@ def test_validation_names_broken_rules(spark):
     assert R.rec_validate(r).count() == 0
     bad = r.withColumn("gold", F.create_map(F.lit("a"), F.lit(0.5))).withColumn("split", F.lit("dev"))
     assert {x.violations for x in R.rec_validate(bad).collect()} == {"gold_sum,gold_keys,split"}
+
+
+def test_short_texts_leak_as_a_whole(spark):
+    from tarazu.operators import prep
+
+    train = spark.createDataFrame([(1, "yes"), (2, "to be sure"), (3, "to be sure now and then"), (4, ""), (5, None)], "id long, state string")
+    test = spark.createDataFrame([(7, "yes"), (8, "to  be sure"), (9, "no"), (10, ""), (11, None)], "id long, state string")
+    assert sorted(tuple(r) for r in prep.leak_near_dup(train, test).collect()) == [(7, 1, 1, 1.0, 1.0), (8, 2, 1, 1.0, 1.0)]
