@@ -30,19 +30,20 @@ def unescape(text: str) -> str:
 
 
 class PartVisitor:
-    """Flattens a turn's parts in order: escaped text, or a placeholder with its attachment and expanded token count."""
+    """Flattens a turn's parts in order: escaped text, or a placeholder with its attachment and expanded token count.
+
+    Neighbouring texts are escaped as one, so that no control string arises where two of them meet; they share a span.
+    """
 
     def __init__(self, patch: int = 28, audio_rate: float = 12.5, page_tokens: int = 512):
         self.patch, self.audio_rate, self.page_tokens = patch, audio_rate, page_tokens
-        self.out, self.texts, self.attachments, self.length = [], [], [], 0
+        self.out, self.texts, self.attachments, self.length, self.waiting = [], [], [], 0, []
 
     def visit(self, part: dict) -> None:
         getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> None:
-        body = escape(part.get("text") or "")
-        self.texts.append((self.length, len(body)))
-        self._put(body)
+        self.waiting.append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
         self._attach("image", part, max(1, math.ceil((part.get("width") or 0) / self.patch) * math.ceil((part.get("height") or 0) / self.patch)))
@@ -56,11 +57,20 @@ class PartVisitor:
     def visit_unknown(self, part: dict) -> None:
         raise ValueError(f"no such kind of part: {part['type']}")
 
+    def finish(self) -> None:
+        """Put the texts that wait for a neighbour."""
+        if self.waiting:
+            body = escape("".join(self.waiting))
+            self.texts.append((self.length, len(body)))
+            self._put(body)
+            self.waiting = []
+
     def _put(self, s: str) -> None:
         self.out.append(s)
         self.length += len(s)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
+        self.finish()
         self.attachments.append({"start": self.length, "kind": kind, "ref": part.get("ref"), "tokens": tokens})
         self._put(PLACEHOLDERS[kind])
 
@@ -77,6 +87,7 @@ def format_turn(role: str | None, parts: list[dict]) -> tuple[str, list[dict], l
     v = PartVisitor()
     for p in parts:
         v.visit(p)
+    v.finish()
     spans = [{"start": len(head) + s, "length": n} for s, n in v.texts]
     held = [a | {"start": a["start"] + len(head)} for a in v.attachments]
     return head + "".join(v.out) + END, spans, spans if role == "assistant" else [], held
@@ -114,7 +125,9 @@ def read_back(formatted: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
     """One row per conversation, read from the segments alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     Segments stream through the task in order and feed running digests, so a conversation of any length
-    takes constant memory. Placeholders stay in a turn's text as they are.
+    takes constant memory. Placeholders stay in a turn's text as they are. Null turns come first, a null id is a
+    conversation of its own, repeated rows are turns like others, ties go by role and segment, an empty table gives
+    no rows; other columns are not read. A segment that format_turns() didn't make stops the job.
     """
     kind = formatted.schema[id_col].dataType.simpleString()
     d = formatted.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), "segment", "loss")
