@@ -11,7 +11,7 @@ from tarazu.llm.common import materialise
 def boilerplate_lines(docs: DataFrame, site_col: str = "source", text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
     """(site, pages, lines): for each site with boilerplate its page count and the hashes of its boilerplate lines.
 
-    A line (trimmed, not blank) is boilerplate on a site if at least `min_pages` pages and over `max_ratio` of
+    A line (without the spaces around it, not blank; tabs and \\r count) is boilerplate on a site if at least `min_pages` pages and over `max_ratio` of
     the site's pages hold it; a page counts once. A site can have no more such lines than a page has lines on
     average over max_ratio, so each array is bounded whatever the size of the site. Only hashes are shuffled.
     """
@@ -28,7 +28,7 @@ def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str =
     """docs with boilerplate lines dropped from the text, and n_lines and n_dropped added (equal names are replaced).
 
     A null site is a site of its own. Null text: stays null, no lines. Blank lines are never boilerplate. A text of
-    boilerplate alone becomes empty. Repeated rows are pages like others. An empty table stays empty. Texts move only
+    boilerplate alone becomes empty. A very long text is one array of its lines. Repeated rows are pages like others. An empty table stays empty. Texts move only
     if the sites' arrays are too large to broadcast (Spark decides by their size); a hot site is then a skewed join
     side that AQE splits.
     """
@@ -36,9 +36,12 @@ def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str =
     bad = bad.select(F.col("site").alias("__site"), F.col("lines").alias("__bad"))
     d = docs.join(bad, docs[site_col].eqNullSafe(F.col("__site")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.when(F.col("__bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__bad", F.xxhash64(F.trim(x))), F.lit(False)) | (F.trim(x) == "")))
-    d = d.withColumn("__lines", lines).withColumn("__kept", kept)
+    d = d.withColumn("__lines", lines)
+    # one hashed look-up for all lines; then lines are held only against those of the document itself that go
+    d = d.withColumn("__hit", F.array_intersect(F.transform("__lines", lambda x: F.xxhash64(F.trim(x))), "__bad"))
+    left = F.filter("__lines", lambda x: ~F.coalesce(F.array_contains("__hit", F.xxhash64(F.trim(x))), F.lit(False)) | (F.trim(x) == ""))
+    d = d.withColumn("__kept", F.when(F.size("__hit") > 0, left).otherwise(F.col("__lines")))
     out = d.withColumn(text_col, F.array_join("__kept", "\n"))
     n = F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).cast("long")
     left = F.when(F.col("__kept").isNull(), 0).otherwise(F.size("__kept")).cast("long")
-    return out.withColumn("n_lines", n).withColumn("n_dropped", n - left).drop("__site", "__bad", "__lines", "__kept")
+    return out.withColumn("n_lines", n).withColumn("n_dropped", n - left).drop("__site", "__bad", "__lines", "__hit", "__kept")
