@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests), a new one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (tests) gets a new one; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -23,7 +26,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/tarazu-{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. What is written there goes when the session's JVM ends, or earlier by drop_path()."""
+    path = f"{shared_folder(spark)}/tarazu-{what}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []  # paths of new_path() in order, for dropping_temporaries()
+
+
+@contextmanager
+def dropping_temporaries(spark: SparkSession):
+    """Drops at its end what was written to new paths inside it; for work whose result has been written by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            drop_path(spark, path)
+        del _made[before:]
 
 
 def materialise(df: DataFrame, what: str) -> tuple[DataFrame, str]:
