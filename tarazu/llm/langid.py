@@ -103,12 +103,13 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     return int(df[SLOTS]), df[:SLOTS]
 
 
-def train(labelled: DataFrame, max_sample: int = 3000, seed: int = 0, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, epochs: int = 2) -> Model | None:
+def train(labelled: DataFrame, per_language: int = 750, seed: int = 0, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, epochs: int = 2) -> Model | None:
     """Fit on labelled (id, text, lang), none of them null; None without a row.
 
     Document frequencies and class counts cover all rows. The weights are fitted on a sample of about
-    `max_sample` rows, as many of each language, drawn by a hash of the id; a fifth of the sample only
-    sets the temperature. `max_sample` bounds what reaches the driver: n-gram counts, never texts.
+    `per_language` rows of each language, drawn by a hash of id and text; each fifth row of the sample in a hashed
+    order only sets the temperature (fewer than 5 rows leave it at 1). `per_language` bounds what reaches the
+    driver: n-gram counts, never texts. Equal rows share their hash and count once.
     """
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -116,23 +117,21 @@ def train(labelled: DataFrame, max_sample: int = 3000, seed: int = 0, alpha: flo
     classes = sorted(sizes)
     total, df = document_frequencies(labelled.select("text"))
     idf = np.log((1 + total) / (1 + df)) + 1
-    each = max(1.0, max_sample / len(classes))
-    rate = F.create_map(*[F.lit(x) for c in classes for x in (c, min(1.0, each / sizes[c]))])
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rate = F.create_map(*[F.lit(x) for c in classes for x in (c, min(1.0, per_language / sizes[c]))])
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = [ngram_counts(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("drawn"), batch.column("lang"), pa.array([s.astype("<u2").tobytes() for s, _ in pairs], pa.binary()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in pairs], pa.binary())], ["drawn", "lang", "slots", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("drawn"), batch.column("lang"), pa.array([s.astype("<u2").tobytes() for s, _ in pairs], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in pairs], pa.binary())], ["drawn", "lang", "slots", "counts"])
 
-    sample = labelled.withColumn("drawn", drawn).where(F.col("drawn") < rate[F.col("lang")]).select("drawn", "lang", "text").mapInArrow(counted, "drawn double, lang string, slots binary, counts binary").collect()
+    sample = labelled.withColumn("drawn", drawn).where(F.col("drawn") < rate[F.col("lang")]).select("drawn", "lang", "text").mapInArrow(counted, "drawn double, lang string, slots binary, counts binary").distinct().collect()
     rows = []
     for r in sorted(sample, key=lambda r: ((r.drawn * 7919) % 1, r.lang, bytes(r.slots))):
-        slots, counts = np.frombuffer(r.slots, "<u2").astype(np.int64), np.frombuffer(r.counts, "<u2").astype(float)
+        slots, counts = np.frombuffer(r.slots, "<u2").astype(np.int64), np.frombuffer(r.counts, "<u4").astype(float)
         x = (1 + np.log(counts)) * idf[slots]
         rows.append((slots, x / max(float(np.sqrt(x @ x)), 1e-12), classes.index(r.lang)))
-    held = rows[::5] if len(rows) >= 50 else rows
-    fit = [r for k, r in enumerate(rows) if k % 5] if len(rows) >= 50 else rows
+    held, fit = rows[4::5], [r for k, r in enumerate(rows) if k % 5 != 4]
     weights = ftrl(fit, len(classes), alpha, beta, l1, l2, epochs)
     logits = np.array([x @ weights[s] + weights[-1] for s, x, _ in held]).reshape(len(held), len(classes))
     t = temperature(logits, np.array([k for *_, k in held], int)) if held else 1.0

@@ -272,6 +272,81 @@ def test_long_text_ngrams_in_slices(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, parts))
 
 
+def slow_ngrams(text):
+    """Slots of the character n-grams, one n-gram at a time."""
+    points, out = [ord(c) for c in text.lower()], collections.Counter()
+    for n in langid.ORDERS:
+        for k in range(len(points) - n + 1):
+            h = 0
+            for m, c in enumerate(points[k : k + n], 1):
+                h = ((h ^ c) * int(langid._MIX[m - 1]) + m) % 2**32
+                h ^= h >> 15
+            out[(h * int(langid._MIX[0]) % 2**32) >> 17] += 1
+    return out
+
+
+def test_language_id_against_brute_force(spark, sf):
+    """IDF, the leader's weights, temperature and predictions, each worked out entry by entry."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60 or doc_id > 190").withColumn("text", F.substring("text", 1, 300))
+    settings = dict(per_language=12, seed=3, alpha=2.0, beta=1.0, l1=0.02, l2=0.05, epochs=2)
+    out = {r.doc_id: r for r in langid.identify(d, **settings).collect()}
+    rows = d.select("*", F.xxhash64(F.lit(3), "doc_id", "text").alias("h")).collect()
+    learn = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 and r.text is not None and r.lang is not None]
+    grams = {r.doc_id: slow_ngrams(r.text or "") for r in rows}
+    sizes, df = collections.Counter(r.lang for r in learn), collections.Counter()
+    for r in learn:
+        df.update(set(grams[r.doc_id]))
+    classes, idf = sorted(sizes), lambda s: math.log((1 + len(learn)) / (1 + df[s])) + 1
+    vector = {}
+    for r in rows:
+        v = {s: (1 + math.log(n)) * idf(s) for s, n in grams[r.doc_id].items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1e-12
+        vector[r.doc_id] = {s: x / norm for s, x in v.items()} | {-1: 1.0}
+    share = lambda r: r.h % 2**30 / 2**30
+    sample = [r for r in learn if share(r) < min(1.0, 12 / sizes[r.lang])]
+    sample.sort(key=lambda r: ((share(r) * 7919) % 1, r.lang, np.array(sorted(grams[r.doc_id]), "<u2").tobytes()))
+    assert 10 < len(sample) < len(learn)
+    z, n = collections.Counter(), collections.Counter()
+
+    def weight(s, c):
+        zs = z[s, c]
+        return 0.0 if abs(zs) <= 0.02 else -(zs - math.copysign(0.02, zs)) / ((1.0 + math.sqrt(n[s, c])) / 2.0 + 0.05)
+
+    def logits(v):
+        return [sum(x * weight(s, c) for s, x in v.items()) for c in range(len(classes))]
+
+    def soft(zs, t=1.0):
+        e = [math.exp((x - max(zs)) / t) for x in zs]
+        return [x / sum(e) for x in e]
+
+    for _ in range(2):
+        for r in (r for k, r in enumerate(sample) if k % 5 != 4):
+            v = vector[r.doc_id]
+            p, step = soft(logits(v)), []
+            for c, name in enumerate(classes):
+                for s, x in v.items():
+                    g, w = x * (p[c] - (name == r.lang)), weight(s, c)
+                    step.append((s, c, g, (math.sqrt(n[s, c] + g * g) - math.sqrt(n[s, c])) / 2.0 * w))
+            for s, c, g, less in step:
+                z[s, c] += g - less
+                n[s, c] += g * g
+    held = [(logits(vector[r.doc_id]), classes.index(r.lang)) for r in sample[4::5]]
+    t = min((np.mean([-math.log(max(soft(x, t)[k], 1e-300)) for x, k in held]), t) for t in 2.0 ** (np.arange(-48, 25) / 8))[1]
+    for r in rows:
+        if any(c.isalpha() for c in r.text or ""):
+            p = soft(logits(vector[r.doc_id]), t)
+            assert math.isclose(out[r.doc_id].score, max(p), rel_tol=1e-6) and p[classes.index(out[r.doc_id].lang_pred)] >= max(p) - 1e-9
+
+
+def test_language_id_of_few_rows(spark):
+    d = docs_of(spark, [(k, f"some text {k}", "en", None) for k in range(1, 4)])
+    assert {r.lang_pred for r in langid.identify(d).collect()} == {"en"}
+    same = next(k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 5)
+    many = docs_of(spark, [(same, "one row repeated very often", "en", None)] * 500 + [(k, f"ein Text {k}", "de", None) for k in range(30)])
+    got = langid.identify(many, per_language=600).collect()
+    assert len(got) == 530 and {r.lang_pred for r in got if r.doc_id != same} == {"de"}
+
+
 # op4
 
 
@@ -626,3 +701,20 @@ def test_chat_parts(spark):
     assert all(a.segment[x.start :].startswith(chat.PLACEHOLDERS[x.kind]) for x in a.attachments) and a.expanded_tokens == 6 + 25 + 1536
     assert [chat.unescape(a.segment[s.start : s.start + s.length]) for s in a.loss] == ["see ", "<|image|>"]
     assert b.loss == [] and b.attachments == [] and b.expanded_tokens == 0
+
+
+def test_control_strings_split_over_parts(spark):
+    """Every control string, cut at every place and at random over neighbouring parts, with empty and null texts between."""
+    rng, rows = np.random.default_rng(2), []
+    for c in (*chat.CONTROL, "x<|end|><|turn|>system<|body|>y</s>"):
+        cuts = [[k] for k in range(1, len(c))] + [sorted(rng.integers(0, len(c) + 1, 3).tolist()) for _ in range(5)]
+        for cut in cuts:
+            bits = [c[a:b] for a, b in zip([0, *cut], [*cut, len(c)])]
+            parts = [{"type": "text", "text": b} for b in bits] + [{"type": "image", "ref": "i"}, {"type": None, "text": None}, {"type": "text", "text": "\\<"}]
+            rows.append((len(rows), 0, "assistant", parts, "".join(bits)))
+    d = spark.createDataFrame(rows, T.StructType.fromDDL(f"conv_id long, turn long, role string, parts {chat.PARTS}, whole string"))
+    for r, (*_, whole) in zip(chat.format_turns(d, parts_col="parts", text_col=None).orderBy("conv_id").collect(), rows):
+        body = r.segment.removeprefix(chat.TURN + "assistant" + chat.BODY).removesuffix(chat.END)
+        before, after = body.split(chat.PLACEHOLDERS["image"])
+        assert not any(c in part for part in (before, after) for c in chat.CONTROL) and chat.unescape(before) == whole and chat.unescape(after) == "\\<"
+        assert [chat.unescape(r.segment[s.start : s.start + s.length]) for s in r.loss] == [whole, "\\<"]
