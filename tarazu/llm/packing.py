@@ -3,22 +3,30 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a Python worker remembers; at this size it forgets all and starts anew.
-REMEMBERED = 150_000
-#: Chunks of these characters need no Unicode normalisation, and lower-casing is one to one.
-PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
-#: Pre-tokens of a lower-cased plain chunk, as the vocabulary's own pattern splits it.
-PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Pre-tokens, and other chunks, whose ids a Python worker remembers, none of over LONGEST bytes; at this number it forgets all and starts anew.
+REMEMBERED, LONGEST = 150_000, 64
+#: Bytes of a text looked at together, up to the next white space; bounds the memory of one very long text.
+SLICE = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+#: Text of these characters needs no Unicode normalisation, and lower-casing is one to one.
+PLAIN = re.compile(r"[\x09-\x0d\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+#: Pre-tokens of a lower-cased plain text, as the vocabulary's own pattern splits it; white space is dropped.
+PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\x09-\x0d\x20]+")
 
 
 def byte_letters() -> dict[int, int]:
@@ -28,41 +36,60 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(rest)}
 
 
-class Ids(dict):
-    """Ids of chunks between ASCII white space as little-endian bytes.
+class Ids:
+    """Ids of texts as little-endian bytes.
 
-    The vocabulary drops white space, so the ids of a text are those of its chunks in order. Plain
-    chunks are split here and only new pre-tokens go to the model; all others are encoded whole.
+    The vocabulary drops white space, so the ids of a text are those of its pieces between white space in
+    order. A plain piece is split into pre-tokens here and only new ones go to the model; of another piece
+    each chunk without white space is treated so by itself, and chunks that aren't plain are encoded whole.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model, self.letters, self.parts = self.whole.model, byte_letters(), {}
+        self.model, self.letters = self.whole.model, byte_letters()
+        self.parts, self.chunks = Remembered(self.part), Remembered(self.chunk)
 
     def part(self, token: str) -> bytes:
         mapped = token if token.isascii() else token.encode().decode("latin-1").translate(self.letters)
-        ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-        if len(self.parts) >= REMEMBERED:
-            self.parts.clear()
-        self.parts[token] = ids
-        return ids
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
+    def plain(self, text: str) -> bytes | None:
         if PLAIN.fullmatch(text) and "<|" not in text:
-            ids = b"".join([self.parts.get(t) or self.part(t) for t in PRE.findall(text.lower())])
-        else:
-            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[chunk] = ids
-        return ids
+            return b"".join(map(self.parts.__getitem__, PRE.findall(text.lower())))
+
+    def chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "replace")
+        ids = self.plain(text)
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes() if ids is None else ids
 
     def of(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or b"").split()))
+        text, at, out = text or b"", 0, []
+        while at < len(text):
+            space = _SPACE.search(text, at + SLICE)
+            end = space.end() if space else len(text)
+            piece = text[at:end]
+            ids = self.plain(piece.decode("utf-8", "replace"))
+            out.append(b"".join(map(self.chunks.__getitem__, piece.split())) if ids is None else ids)
+            at = end
+        return b"".join(out)
+
+
+class Remembered(dict):
+    """The results of a function of one text or chunk, up to REMEMBERED short ones."""
+
+    def __init__(self, function):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, key):
+        out = self.function(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = out
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -70,18 +97,25 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
-def tokens_udf(path: str, end_id: int, length: int):
-    """(n, crcs): a document's number of ids with the end id, and the CRC-32 of each run of `length` ids."""
-    end = np.array([end_id], "<u4").tobytes()
+def tokens_map(path: str, end_id: int, length: int, groups: int):
+    """Rows (id, h, text) to (id, grp, n, crcs): a document's group, its number of ids with the end id, and the CRC-32 of each run of `length` ids.
 
-    @F.arrow_udf("n long, crcs array<long>")
-    def count(texts: pa.Array) -> pa.Array:
-        ids, n, crcs = ids_of(path), [], []
-        for t in texts:
-            b = ids.of(t.as_py()) + end
-            n.append(len(b) // 4)
-            crcs.append([zlib.crc32(b[k : k + 4 * length]) for k in range(0, len(b), 4 * length)])
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["n", "crcs"])
+    The group is a hash of h, of the task and of how many rows with this h the task has seen, so rows that
+    repeat are dealt over all groups. That number doesn't depend on the order of other rows.
+    """
+    end = array("I", [end_id]).tobytes()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, seen, task = ids_of(path), defaultdict(int), TaskContext.get().partitionId()
+        for batch in batches:
+            groups_of, n, crcs = [], [], []
+            for h, t in zip(batch.column("h").to_pylist(), batch.column("text")):
+                groups_of.append(xxhash.xxh64_intdigest(struct.pack("<qqq", h, task, seen[h])) % groups)
+                seen[h] += 1
+                b = ids.of(t.as_py()) + end
+                n.append(len(b) // 4)
+                crcs.append([zlib.crc32(memoryview(b)[k : k + 4 * length]) for k in range(0, len(b), 4 * length)])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(groups_of, pa.int64()), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["id", "grp", "n", "crcs"])
 
     return count
 
@@ -116,16 +150,19 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     A document is its ids and the end id, cut every `length` ids; whole pieces fill a sequence, the
     rests are packed first-fit decreasing within random groups of about `group_docs` documents.
     padded_length is the sequence's final length: `length`, or as it is where that is a power of two.
-    A null or empty text is the end id alone. The group of a document is a hash of id, text and seed:
-    repeated rows, which are packed as often as they occur, share a group, and rows with a null id are
-    packed like others. Reruns agree. An empty table gives no rows. Texts stay where they are read;
-    only lengths and checksums are shuffled, and a group never holds more than its documents' pieces.
+    A null or empty text is the end id alone. The group of a document is a hash of id, text, seed, task and
+    its number among equal rows of the task: repeated rows and rows with a null id are packed like others, as
+    often as they occur, in groups of their own. Reruns over equally partitioned input agree. An empty table
+    gives no rows. Other columns are neither read nor returned, so their names don't matter. Texts stay where
+    they are read; only lengths and checksums are shuffled, and a group never holds more than its documents'
+    pieces. A very long text is looked at in slices up to a white space and takes 4 bytes for each of its ids;
+    a chunk without white space goes to the tokenizer whole.
     """
     n_docs = docs.count()
     groups = max(1, -(-n_docs // group_docs))
-    counted = docs.select(
-        F.col(id_col).alias("id"), F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(groups)).alias("grp"), tokens_udf(tokenizer, end_id, length)(F.col(text_col).cast("binary")).alias("t")
-    ).select("id", "grp", F.col("t.n").alias("n"), F.col("t.crcs").alias("crcs"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(seed), id_col, text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
+    counted = rows.mapInArrow(tokens_map(tokenizer, end_id, length, groups), f"id {kind}, grp long, n long, crcs array<long>")
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(first=[c[0] for c in frame["crcs"]]).sort_values(["n", "id", "first"], kind="stable", na_position="last").reset_index(drop=True)
@@ -144,5 +181,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             "sequence_id": (int(frame["grp"].iloc[0]) << 32) + seq, "offset": offset, "padded_length": np.where(fill & (fill - 1), length, fill),
         })
 
-    kind = docs.schema[id_col].dataType.simpleString()
     return counted.groupBy("grp").applyInPandas(packed, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long")

@@ -378,6 +378,24 @@ def test_packing(spark, sf):
     assert packing.pack(d.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_repeated_rows_are_dealt_over_groups(spark):
+    d = docs_of(spark, [(None, "same", None, None)] * 4000 + [(k, f"own {k}", None, None) for k in range(1000)])
+    out = packing.pack(d, queries.tokenizer_path(), group_docs=250).collect()
+    groups = collections.Counter(r.sequence_id >> 32 for r in out)
+    assert len(out) == 5000 and len(groups) == 20 and max(groups.values()) < 500
+
+
+def test_ids_in_slices(monkeypatch):
+    text = ("Plain words, don't 12 " * 40 + "\u65e5\u672c x\u0301 " + "more\tplain\n" * 30).encode()
+    ids = packing.Ids(queries.tokenizer_path())
+    whole = np.array(ids.whole.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    for n in (1, 7, 50, 1 << 20):
+        monkeypatch.setattr(packing, "SLICE", n)
+        assert ids.of(text) == whole
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    assert packing.Ids(queries.tokenizer_path()).of(text) == whole and len(ids.parts) > 3
+
+
 def test_first_fit_is_first_fit():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 7, 300):
