@@ -118,7 +118,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     and is below all others. An empty table gives an empty index and no file. Other columns are not read.
 
     Payloads are compared by digest: one partial aggregation of digests, and only the ids of revisits are
-    joined back, so payloads don't pile up with their copies. Each task writes bundles of its own to the
+    joined back (broadcast where Spark finds their table small enough), so payloads don't pile up with their copies.
+    A payload is held whole by its task, as is a frame of at least one record. Each task writes bundles of its own to the
     folder, which all executors must share (default: a new one in the shared folder).
     """
     spark = pages.sparkSession
@@ -128,6 +129,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     digests, _ = materialise(rows.where(F.octet_length("payload") >= min_payload).select("id", "sha1"), "digests")
     kept = digests.groupBy("sha1").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
     revisits = digests.join(kept, "sha1").where(~F.col("id").eqNullSafe(F.col("refers_to"))).select(F.col("id").alias("rid"), F.col("sha1").alias("rsha"), "refers_to").distinct()
+    revisits, _ = materialise(revisits, "revisits")  # so that its size is known: payloads move only if it is too large to broadcast
     rows = rows.join(revisits, rows.id.eqNullSafe(revisits.rid) & (rows.sha1 == revisits.rsha), "left").select(F.col("id").cast("string").alias("id"), "url", "payload", "sha1", F.col("refers_to").cast("string").alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,32 +155,46 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     fs.create_dir(path, recursive=True)
     folder = uri
     index, _ = materialise(rows.mapInArrow(write, "id string, file string, frame long, offset long, length long"), "warc-index")
+    named = {r.file.rsplit("/", 1)[1] for r in index.select("file").distinct().collect()}  # one name for each bundle_bytes of archive
+    for left in fs.get_file_info(pa.fs.FileSelector(path)):  # by attempts that failed or lost a race
+        if left.base_name not in named and left.is_file:
+            fs.delete_file(left.path)
     return index.select(F.col("id").cast(pages.schema[id_col].dataType).alias(id_col), "file", "frame", "offset", "length")
 
 
-def read_archives(spark: SparkSession, index: DataFrame, payloads: bool = False) -> DataFrame:
-    """Every record of the index's bundles: page (text), payload_bytes, payload_digest, record_type, refers_to (text) and with `payloads` the payload.
+def read_archives(spark: SparkSession, index: DataFrame, payloads: bool = False, id_col: str = "page_id", frames: int = 64) -> DataFrame:
+    """The records that the index names: page (text), payload_bytes, payload_digest, record_type, refers_to (text) and with `payloads` the payload.
 
-    A response's digest is checked against its payload. A file is read by one task, frame by frame.
+    Each record is sought by its file, frame and offset within the frame: rows of the index meet by file and run
+    of `frames` frames, so that a bundle is read by many tasks, each unpacks only the frames with records
+    that it wants, every frame once, and holds one frame at a time. An index filtered to some ids reads only theirs.
+    A response's digest is checked against its payload, and a record's name against the index. Null ids, repeated
+    rows and ties come back as they were written; an empty index gives no rows; other columns of the index stay unread.
     """
+    name = lambda uri: (uri or "").removeprefix("<urn:page:").removesuffix(">") or None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = lambda uri: (uri or "").removeprefix("<urn:page:").removesuffix(">") or None
+        bundle, now, data = None, None, b""
         for b in batches:
-            for uri in b.column("file").to_pylist():
-                bundle = BundleReader(uri)
-                for k in range(len(bundle.frames)):
-                    data, at, out = bundle.frame(k), 0, []
-                    while at < len(data):
-                        head, http, payload, at = parse_record(data, at)
-                        digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
-                        if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                            raise ValueError(f"{uri}: wrong digest of {head['WARC-Record-ID']}")
-                        size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-                        out.append((name(head["WARC-Record-ID"]), size, digest, kind, name(head.get("WARC-Refers-To")), payload if payloads and kind == "response" else None))
-                    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["page", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-
-    files = index.select("file").distinct()
-    out = files.mapInArrow(read, "page string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
+            out = []
+            for page, file, frame, offset, length in zip(*(c.to_pylist() for c in b.columns)):
+                if (file, frame) != now:
+                    bundle = bundle if now and now[0] == file else BundleReader(file)
+                    now, data = (file, frame), bundle.frame(frame)
+                head, http, payload, _ = parse_record(data[offset : offset + length])
+                digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
+                if name(head["WARC-Record-ID"]) != page:
+                    raise ValueError(f"{file}: {head['WARC-Record-ID']} where the index has {page}")
+                if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                    raise ValueError(f"{file}: wrong digest of {head['WARC-Record-ID']}")
+                size = int(re.search(rb"Content-Length: (\d+)", http)[1])
+                out.append((page, size, digest, kind, name(head.get("WARC-Refers-To")), payload if payloads and kind == "response" else None))
+            if out:
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["page", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+
+    wanted = index.select(F.col(id_col).cast("string").alias("page"), "file", "frame", "offset", "length")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a given number, so that small rows aren't put into one task
+    wanted = wanted.repartition(parts, "file", F.floor(F.col("frame") / frames)).sortWithinPartitions("file", "frame", "offset")
+    out = wanted.mapInArrow(read, "page string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
     return out if payloads else out.drop("payload")

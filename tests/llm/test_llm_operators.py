@@ -480,7 +480,18 @@ def test_warc_round_trip(spark, sf, tmp_path):
         for r in index.orderBy(F.desc("frame")).limit(20).collect():
             head, _, payload, end = warc.parse_record(warc.BundleReader(r.file).record(r.frame, r.offset, r.length))
             assert head["WARC-Record-ID"] == f"<urn:page:{'' if r.page_id is None else r.page_id}>" and end == r.length
-    assert warc.write_archives(p.limit(0)).count() == 0
+        some = warc.read_archives(spark, index.where("page_id in (5, 8)").withColumn("page", F.lit("clash"))).collect()
+        assert collections.Counter((num(r.page), r.payload_bytes) for r in some) == collections.Counter((r.page_id, len((r.html or "").encode())) for r in rows if r.page_id in (5, 8))
+        back = warc.read_archives(spark, index, frames=1).select("page", F.spark_partition_id().alias("p")).distinct()
+        assert index.select("file", "frame").distinct().count() < 8 or back.select("p").distinct().count() > 1
+    empty = warc.write_archives(p.limit(0))
+    assert empty.count() == 0 and warc.read_archives(spark, empty).count() == 0
+
+
+def test_warc_leaves_no_other_files(spark, sf, tmp_path):
+    (tmp_path / "x.warc.zst.part").write_bytes(b"of a lost attempt")
+    index = warc.write_archives(spark.read.parquet(f"{sf}/pages.parquet"), f"file://{tmp_path}")
+    assert {f.name for f in tmp_path.iterdir()} == {r.file.rsplit("/", 1)[1] for r in index.select("file").distinct().collect()}
 
 
 def test_bundle_is_plain_zstandard(tmp_path):
