@@ -14,7 +14,7 @@ from tarazu.llm.common import materialise, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Weight over training time as knots (time, weight), one schedule for each of WEIGHTS: heavy sources fade, light ones rise.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
-#: Rows of one source that are summed in one window, about.
+#: Rows of one source that are summed in one window, about, or the square root of all rows where that is more: then neither rows in a bucket nor buckets of a source are many.
 BUCKET_ROWS = 512
 
 
@@ -75,19 +75,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     range-sorted by the first. With `keep` all input columns stay (new columns replace equal names). With
     `per_copy` there is a row for each taken copy instead, range-sorted by its own `position`.
 
-    Null text: size 0, never taken. A null source is a source of its own, the last. Repeated rows are
-    documents like others; null ids hash alike. All sizes 0 give targets and takings of 0. An empty
-    table gives no rows. Reruns agree but for rows equal in id, size and source. `most` is 2 at most.
+    Null text: size 0, never taken. A null source is a source of its own, the last. The hash is that of id and
+    text, so rows with null or repeated ids are dealt and ordered by their texts, whole and however long; rows equal
+    in both are documents like others, share a bucket, and it doesn't matter which of them is taken. All sizes 0 give
+    targets and takings of 0. An empty table gives no rows. Reruns agree. `most` is 2 at most.
     A hot source is summed bucket by bucket of the hash, then across its buckets.
     """
     if not 0 < most <= 2 or len(schedules) != len(weights):
         raise ValueError("most must be in (0, 2] and each weight needs a schedule")
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep else [id_col])]).alias("__row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("name"), word_count(F.col(text_col)).alias("size"), h.alias("h"))
     if not keep:
         base, _ = materialise(base, "sizes")
     n = docs.count() if keep else base.count()
-    digits = max(1, math.ceil(math.log(max(n, 1) / BUCKET_ROWS, 16))) if n > BUCKET_ROWS else 1
+    per_bucket = max(BUCKET_ROWS, math.isqrt(n))
+    digits = max(1, math.ceil(math.log(n / per_bucket, 16))) if n > per_bucket else 1
     base = base.withColumn("bucket", F.substring("h", 1, digits))
     buckets, _ = materialise(base.groupBy("source", "name", "bucket").agg(F.sum("size").alias("words")), "buckets")
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)

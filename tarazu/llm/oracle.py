@@ -18,7 +18,7 @@ def _mix() -> str:
     share = "least((cum + {k} * source_size + ({length}) / 2.0::DOUBLE) / greatest(floor(target + 0.5), 1), 1.0::DOUBLE)"
     place = "round(2 * {s} / (" + b + "[kind] + sqrt(greatest(" + b + "[kind] * " + b + "[kind] + 4 * " + a + "[kind] * {s}, 0))), 9)"
     first, second = (place.format(s=share.format(k=k, length=f"CASE WHEN {k} < passes THEN size ELSE extra END")) for k in (0, 1))
-    return f"""WITH d AS (SELECT doc_id, source, md5(concat('0:', coalesce(cast(doc_id AS varchar), 'null'))) AS h, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS size FROM documents),
+    return f"""WITH d AS (SELECT doc_id, source, md5(concat('0:', coalesce(cast(doc_id AS varchar), 'null'), ':', md5(coalesce(text, '')))) AS h, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS size FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1 AS kind FROM d GROUP BY source),
     c AS (SELECT *, {weight}[kind] AS w, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM s),
     j AS (SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS j FROM c),

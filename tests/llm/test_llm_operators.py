@@ -226,6 +226,13 @@ def test_mix(spark, sf, partial):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def test_mix_of_null_ids_agrees_between_reruns(spark):
+    rows = [(None, f"w{k} " * 5, "en", "a") for k in range(3000)] + [(7, f"w{k} " * 5, "en", "b") for k in range(500)]
+    d = docs_of(spark, rows)
+    one, two = (collections.Counter((r.text, r.first_position, r.second_position) for r in mixing.mix(x, keep=True).collect()) for x in (d.repartition(3, "text"), d.repartition(7)))
+    assert one == two and len(one) == 3500
+
+
 def test_copies_stand_at_their_own_positions(spark, sf):
     for d in (spark.read.parquet(f"{sf}/documents.parquet"), clashing(edge_docs(spark)).withColumn("position", F.lit("clash"))):
         rows, out = mixing.mix(d, partial=False, keep=True).collect(), mixing.mix(d, partial=False, keep=True, per_copy=True)
@@ -455,6 +462,20 @@ def test_hashes_over_block_edges(monkeypatch):
     assert all((whole[m] == parts[m]).all() for m in whole)
 
 
+def test_memory_of_a_long_text():
+    """Less than 8 bytes for each byte of a text of some MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    words = [f"w{x:x}" for x in rng.integers(0, 1 << 20, 5000)]
+    text = " ".join(words[k] for k in rng.integers(0, 5000, 1_000_000)).encode()
+    tracemalloc.start()
+    found = repetition.measure([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["n_words"].tolist() == [1_000_000] and peak < 8 * len(text)
+
+
 # op6
 
 
