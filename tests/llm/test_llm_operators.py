@@ -531,30 +531,96 @@ def test_bundle_is_plain_zstandard(tmp_path):
 
 
 def slow_vectors(rows, threshold=0.9):
-    ok = [r for r in rows if r.vec_id is not None and r.embedding and len(r.embedding) == len(rows[0].embedding) and all(x is not None and math.isfinite(x) for x in r.embedding) and any(r.embedding)]
-    x = np.array([r.embedding for r in ok], float)
-    x /= np.abs(x).max(1, keepdims=True)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    s = x @ x.T >= threshold
-    np.fill_diagonal(s, False)
-    return ok, s
-
-
-def test_itq_recall_and_precision(spark):
-    d = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").limit(6000)
-    rows = d.collect()
-    ok, s = slow_vectors(rows)
-    want = {r.vec_id: int(n) for r, n in zip(ok, s.sum(1))}
-    got = {r.vec_id: r for r in itq.near_vectors(spark.createDataFrame(rows, d.schema), block=64).collect()}
-    assert sum(want.values()) > 100 and all(got[k].n_links <= n for k, n in want.items())
-    assert sum(r.n_links for r in got.values()) >= 0.9 * sum(want.values())
+    """(rows that can link, which of them link) of (id, vector): all pairs of one length."""
+    ok = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    links = np.zeros((len(ok), len(ok)), bool)
+    for n in {len(v) for _, v in ok}:
+        at = np.array([k for k, (_, v) in enumerate(ok) if len(v) == n])
+        x = np.array([ok[k][1] for k in at])
+        x /= np.abs(x).max(1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        links[np.ix_(at, at)] = x @ x.T >= threshold
+    np.fill_diagonal(links, False)
+    return ok, links
+
+
+def least_reachable(ids, links):
+    least = np.arange(len(ids))
+    order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0))
+    rank = np.empty(len(ids), int)
+    rank[order] = np.arange(len(ids))
+    least = rank.copy()
+    while (new := np.minimum(least, np.where(links, least[None, :], least[:, None]).min(1))).tolist() != least.tolist():
+        least = new
+    return [ids[order[k]] for k in least]
+
+
+VECTORS = "vec_id long, embedding array<float>"
+
+
+def planted(rng, x, cosine):
+    """A vector at that cosine to x."""
+    x = x / np.linalg.norm(x)
+    side = rng.standard_normal(len(x))
+    side -= side @ x * x
+    return cosine * x + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+
+
+@pytest.mark.parametrize("shift", [0.0, 1.2])
+def test_itq_recall_and_precision(spark, shift):
+    """Random vectors around a mean, pairs right at the threshold, chains, copies, and a group of 300 near copies: recall against all pairs, no false link."""
+    rng = np.random.default_rng(7)
+    mean = shift * np.ones(64) / 8
+    base = [mean + v / np.linalg.norm(v) for v in rng.standard_normal((2500, 64))]
+    hard = [planted(rng, base[k], rng.uniform(0.9, 0.91)) for k in range(800)]
+    group = [planted(rng, base[2000], rng.uniform(0.96, 0.999)) for _ in range(300)]
+    chain = [base[2001]]
+    for _ in range(40):
+        chain.append(planted(rng, chain[-1], 0.93))
+    rows = [(int(i), [float(c) for c in np.float32(v)]) for i, v in zip(rng.permutation(10**6), [*base, *hard, *group, *chain, *base[:50], *group[:20]])]
+    ok, links = slow_vectors(rows)
+    got = {r.vec_id: r for r in itq.near_vectors(spark.createDataFrame(rows, VECTORS), block=64).collect()}
+    n = np.array([got[i].n_links for i, _ in ok])
+    assert len(got) == len(rows) and (n <= links.sum(1)).all() and n.sum() >= 0.97 * links.sum() > 50_000
+    at = slice(2500, 3300)
+    assert n[at].sum() >= 0.9 * links[at].sum() > 700
+    parts = collections.defaultdict(set)
     for r in got.values():
         assert r.kept == (r.vec_id == r.component_id) and (r.n_links > 0 or r.kept)
-    if all(got[k].n_links == n for k, n in want.items()):  # no link is missing: components are known too
-        least = np.array([r.vec_id for r in ok])
-        while (new := np.minimum(least, np.where(s, least[None, :], least[:, None]).min(1))).tolist() != least.tolist():
-            least = new
-        assert {r.vec_id: int(x) for r, x in zip(ok, least)} == {r.vec_id: got[r.vec_id].component_id for r in ok}
+        parts[r.component_id].add(r.vec_id)
+    whole = dict(zip((i for i, _ in ok), least_reachable([i for i, _ in ok], links)))
+    assert all(min(p) == c and len({whole[i] for i in p}) == 1 for c, p in parts.items())  # no component joins what no link joins
+
+
+def test_itq_components_are_exact_where_no_link_is_missing(spark, sf):
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((400, 64))
+    rows = [(k, [float(c) for c in np.float32(v)]) for k, v in enumerate([*base, *(planted(rng, base[k % 40], rng.uniform(0.97, 0.999)) for k in range(400))])]
+    rows += [(r.vec_id + 10_000, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    ok, links = slow_vectors(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in itq.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert got == {i: (int(n), c) for (i, _), n, c in zip(ok, links.sum(1), least_reachable([i for i, _ in ok], links))}
+
+
+def test_itq_every_length_links(spark):
+    """Vectors of many lengths, as learned and as random rotations; only equal lengths link."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for dim in (1, 2, 3, 5, 8, 16, 40, 64, 65, 100, 300):
+        for _ in range(6):
+            v = rng.standard_normal(dim)
+            rows += [(len(rows), v.tolist()), (len(rows) + 1, (2 * v).tolist()), (len(rows) + 2, planted(rng, v, 0.99).tolist() if dim > 1 else v.tolist())]
+    ok, links = slow_vectors(rows)
+    got = {r.vec_id: r.n_links for r in itq.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert got == {i: int(n) for (i, _), n in zip(ok, links.sum(1))}
+
+
+def test_itq_plan():
+    assert itq.table_plan(1, itq.angle_at(0.9))[0] == 4 and itq.table_plan(64 << 24, itq.angle_at(0.9))[0] == 24
+    for n in (10**3, 10**6, 10**9, 10**12):
+        bits, tables = itq.table_plan(n, itq.angle_at(0.9))
+        assert n / 2**bits <= 64 or bits == 32
+        assert 1 - (1 - (1 - math.acos(0.9) / math.pi) ** bits) ** tables >= 0.96
 
 
 @pytest.mark.parametrize("shape", [(1, 1), (7, 7), (5, 9), (30, 4)])
@@ -577,27 +643,6 @@ def test_itq_forest(shape):
         assert all((c == root(shape[0] + v)) if linked[k][:, v].any() else c == shape[0] for v, c in enumerate(cols[k]))
 
 
-def test_itq_recall_at_the_threshold(spark):
-    """Pairs planted at cosines of 0.9 to 0.94, where they are hardest to find."""
-    rng = np.random.default_rng(5)
-    rows = [(r.vec_id, np.array(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
-    for k in range(300):
-        x = rows[k][1] / np.linalg.norm(rows[k][1])
-        side = rng.standard_normal(64)
-        side -= side @ x * x
-        cosine = rng.uniform(0.9, 0.94)
-        rows.append((10_000 + k, cosine * x + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)))
-    x = np.array([v.astype(np.float32) for _, v in rows], float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    links = x @ x.T >= 0.9
-    np.fill_diagonal(links, False)
-    out = itq.near_vectors(spark.createDataFrame([(k, [float(c) for c in v]) for k, v in rows], "vec_id long, embedding array<float>")).collect()
-    got = {r.vec_id: r.n_links for r in out}
-    assert all(got[k] <= n for (k, _), n in zip(rows, links.sum(1)))
-    hard = [(got[k], n) for (k, _), n in zip(rows, links.sum(1)) if k >= 10_000]
-    assert sum(g for g, _ in hard) >= 0.9 * sum(n for _, n in hard) > 250
-
-
 def test_itq_edges(spark):
     base = [float(k % 5 - 2) for k in range(64)]
     rows = [(1, base), (2, base), (3, [2 * x for x in base]), (4, None), (5, [0.0] * 64), (6, [None, *base[1:]]), (7, [float("nan"), *base[1:]]), (8, [1.0, 2.0]), (None, base), (9, [-x for x in base]), (10, [1e-30 * x for x in base])]
@@ -606,7 +651,9 @@ def test_itq_edges(spark):
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
     assert got == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (3, 3, 1, False), (4, 1, 4, True), (7, 1, 4, False)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in itq.near_vectors(d).collect()}
-    assert got == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False), 10: (3, 1, False), None: (0, None, True)} | {k: (0, k, True) for k in (4, 5, 6, 7, 8, 9)}
+    assert got == {1: (4, 1, True), 2: (4, 1, False), 3: (4, 1, False), 10: (4, 1, False), None: (4, 1, False)} | {k: (0, k, True) for k in (4, 5, 6, 7, 8, 9)}
+    nulls = spark.createDataFrame([(None, base), (None, [2 * x for x in base]), (None, None), (3, [0.5]), (2, [0.25]), (5, [-1.0]), (6, [])], VECTORS)
+    assert sorted(((r.n_links, r.component_id, r.kept) for r in itq.near_vectors(nulls).collect()), key=str) == sorted([(1, None, True)] * 2 + [(0, None, True), (1, 2, True), (1, 2, False), (0, 5, True), (0, 6, True)], key=str)
     assert itq.near_vectors(d.limit(0)).count() == 0
 
 
