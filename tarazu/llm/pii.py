@@ -15,13 +15,17 @@ PATTERNS = {
     "daydate": r"(?<![\d/])(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|[12]\d|3[01])/(?:1[6-9]|20)\d\d(?![\d/])",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?![\d])",
-    "phone": r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){1,2}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "phone": r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){1,2}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\d+])\+\d{1,3}[ .-]\(?\d\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![0-9A-Za-z])(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,}(?![0-9A-Za-z])|(?<![A-Za-z0-9])password=[0-9A-Za-z_-]{6,}|(?<![A-Za-z0-9])(?:gh[pousr]_|sk-)[0-9A-Za-z]{16,}",
 }
-#: Dates are permuted among the days that the patterns let through, 66 * 2767 of them: 1600-01-01 to 2099-12-31.
-FIRST_DAY, DAYS = "1600-01-01", (66, 2767)
+#: Dates are permuted among the days that the patterns let through, 1600-01-01 to 2099-12-31: the 144 days a year up to
+#: the 12th of a month among themselves, so that a date with day and month in either order never becomes one whose
+#: order is open, and the others among themselves. Each number is given as two factors.
+FIRST_DAY, YEARS, EARLY_DAYS, LATE_DAYS = "1600-01-01", 500, (288, 250), (618, 179)
 #: Social security numbers are permuted among those that the pattern lets through: 898 areas times 99 groups, and 9,999 serials.
 SSNS = (898 * 99, 9999)
+#: Country calling codes: of one or two digits; all others have three. Fixed values.
+CALLING = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|53|54|55|56|57|58|60|61|62|63|64|65|66|81|82|84|86|90|91|92|93|94|95|98"
 
 
 def _quote(s: str) -> str:
@@ -47,14 +51,15 @@ class Cipher:
 
         Each round shifts every character of one half, within its kind, by a stream made of the other half.
         """
-        c, k = "substr(acc.a, j, 1)", "cast(conv(substr(h, 1 + (j * 4 - 4) % 60, 4), 16, 10) as int)"
+        k = "cast(conv(substr(h, 1 + (j * 4) % 60, 4), 16, 10) as int)"
         if hexadecimal:
-            shifted = f"substr('0123456789abcdef', 1 + (cast(conv({c}, 16, 10) as int) + {k}) % 16, 1)"
+            shifted = f"substr('0123456789abcdef', 1 + (cast(conv(c, 16, 10) as int) + {k}) % 16, 1)"
         else:
             kinds = [("0", "9", 48, 10), ("a", "z", 97, 26), ("A", "Z", 65, 26)]
-            shifted = "case " + " ".join(f"when {c} between '{lo}' and '{hi}' then chr({at} + (ascii({c}) - {at} + {k}) % {n})" for lo, hi, at, n in kinds) + f" else {c} end"
+            shifted = "case " + " ".join(f"when c between '{lo}' and '{hi}' then chr({at} + (ascii(c) - {at} + {k}) % {n})" for lo, hi, at, n in kinds) + " else c end"
         stream = f"sha2(concat({self.key}, '|{tweak}|', i, '|', length(acc.a), '|', acc.b), 256)"
-        moved = f"array_join(transform(sequence(1, greatest(length(acc.a), 1)), j -> element_at(transform(array({stream}), h -> {shifted}), 1)), '')"
+        # the half is split into its characters once, so the work is in proportion to its length
+        moved = f"if(acc.a = '', '', array_join(element_at(transform(array({stream}), h -> transform(split(acc.a, ''), (c, j) -> {shifted})), 1), ''))"
         half = f"cast(length({value}) div 2 as int)"
         return f"aggregate(sequence(1, {ROUNDS}), named_struct('a', left({value}, {half}), 'b', substr({value}, {half} + 1)), (acc, i) -> named_struct('a', acc.b, 'b', {moved}), acc -> concat(acc.a, acc.b))"
 
@@ -99,15 +104,23 @@ def replacement(key: str) -> str:
     ip = _let("split(m, '[.]')", "o", _let(cipher.number(_let("transform(o, z -> cast(z as bigint))", "y", "((y[0] * 256 + y[1]) * 256 + y[2]) * 256 + y[3]"), 65536, 65536, "ip"), "n", "concat_ws('.', cast(n div 16777216 as string), cast((n div 65536) % 256 as string), cast((n div 256) % 256 as string), cast(n % 256 as string))"))
 
     def date(form: str) -> str:
-        day = f"cast(datediff(to_date(try_to_timestamp(m, '{form}')), date'{FIRST_DAY}') as bigint)"
-        return f"date_format(date_add(date'{FIRST_DAY}', cast({_let(day, 'n', cipher.number('n', *DAYS, 'date'))} as int)), '{form}')"
+        day = f"to_date(try_to_timestamp(m, '{form}'))"
+        early = _let(cipher.number(f"cast((year(x) - 1600) * 144 + (month(x) - 1) * 12 + day(x) - 1 as bigint)", *EARLY_DAYS, "day"), "n", "make_date(cast(1600 + n div 144 as int), cast(n div 12 % 12 + 1 as int), cast(n % 12 + 1 as int))")
+        # later days are numbered through: those before month k are all days before it less 12 a month
+        start = f"add_months(date'{FIRST_DAY}', cast(k as int))"
+        month = f"array_max(filter(sequence(greatest(n * {12 * YEARS} div {LATE_DAYS[0] * LATE_DAYS[1]} - 1, 0), n * {12 * YEARS} div {LATE_DAYS[0] * LATE_DAYS[1]} + 1), k -> datediff({start}, date'{FIRST_DAY}') - 12 * k <= n))"
+        place = f"cast(datediff(x, date'{FIRST_DAY}') - 12 * ((year(x) - 1600) * 12 + month(x)) as bigint)"
+        late = _let(cipher.number(place, *LATE_DAYS, "day"), "n", _let(month, "k", f"date_add(date'{FIRST_DAY}', cast(n + 12 * (k + 1) as int))"))
+        return _let(day, "x", f"date_format(if(day(x) <= 12, {early}, {late}), '{form}')")
 
     valid = lambda form: f"try_to_timestamp(m, '{form}') is not null"
     body = _let(f"left({_digits('m')}, cast(length({_digits('m')}) - 1 as int))", "v", cipher.text("v", "card"))
     card = _let(body, "w", _refill("m", f"concat(w, cast((10 - {luhn_sum('w', 1)} % 10) % 10 as string))"))
     unspaced = "regexp_replace(m, ' ', '')"
     iban = _let(unspaced, "u", _let(_let("substr(u, 5)", "v", cipher.text("v", "iban")), "w", _let(mod97("concat(left(u, 2), '00', w)"), "r", _refill("m", "concat(left(u, 2), lpad(cast(98 - r as string), 2, '0'), w)", "A-Z0-9"))))
-    phone = _let("regexp_extract(m, '^[+][0-9]{1,3}(?![0-9])', 0)", "c", _let("substr(m, length(c) + 1)", "t", _let(_digits("t"), "v", f"concat(c, {_let(cipher.text('v', 'phone'), 'w', _refill('t', 'w'))})")))
+    code = f"regexp_extract({_digits('m')}, '^(?:{CALLING}|[0-9]{{3}})', 0)"
+    number = _let("substr(d, length(c) + 1)", "v", f"concat(c, {cipher.text('v', 'phone')})")
+    phone = _let(_digits("m"), "d", _let(f"if(m like '+%', {code}, '')", "c", _let(number, "w", _refill("m", "w"))))
     secret = _let("case when m rlike '^AKIA' then 'AKIA' else regexp_extract(m, '^(password=|gh[pousr]_|sk-)', 0) end", "c", _let("substr(m, length(c) + 1)", "v", f"concat(c, case when v rlike '^[0-9a-f]+$' then {cipher.text('v', 'secret', True)} else {cipher.text('v', 'secret')} end)"))
     part = lambda at, n: f"cast(substr(m, {at}, {n}) as bigint)"
     place = f"((({part(1, 3)} - 1 - if({part(1, 3)} > 666, 1, 0)) * 99 + {part(5, 2)} - 1) * 9999 + {part(8, 4)} - 1)"  # areas 000, 666 and 900 up, group 00 and serial 0000 have none
@@ -152,16 +165,21 @@ def replacements(key: str) -> str:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with the text's personal data replaced, and pii_found (values replaced) and pii_kinds (their kinds in order) added.
 
-    Cards (Luhn), IBANs (modulo 97), calendar dates, IPv4 addresses, US social security and phone numbers are
-    checked and permuted within their format: check digits, country codes and punctuation stay right, dates stay
-    dates that a pattern finds and social security numbers ones that could be issued, so an equal value gets
-    an equal pseudonym in every document, and two values never share one. The local part of
-    e-mail addresses and the body of access keys, tokens and passwords are permuted by kind of character.
-    Digits that are not valid for any kind stay. The key alone gives the permutations; keep it secret.
+    Cards (Luhn), IBANs (modulo 97), calendar dates, IPv4 addresses and US social security numbers are checked
+    and permuted within their format: check digits, countries and punctuation stay right, dates stay
+    dates that a pattern finds and social security numbers ones that could be issued. Phone numbers are known by
+    their shape alone; their calling code stays and their other digits are permuted. An equal value gets
+    an equal pseudonym in every document and notation (2001-09-30 and 30/09/2001, +1 555-123-4567 and +15551234567),
+    and two values never share one. The local part of e-mail addresses and the body of access keys, tokens and
+    passwords are permuted by kind of character. Digits that are not valid for any kind stay. The key alone gives
+    the permutations: it must not be empty; keep it secret.
 
     Null text stays null with nothing found; an empty text stays empty; repeated rows get equal results; an
-    empty table stays empty; an input's own pii_found and pii_kinds are replaced. Narrow: no shuffle, no Python.
+    empty table stays empty; an input's own pii_found and pii_kinds are replaced; other columns stay. A very long
+    text, or a very long match in it, takes work in proportion to its length. Narrow: no shuffle, no Python.
     """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     found = "(" + ")|(".join(PATTERNS.values()) + ")"
     text = F.col(text_col)
     may = text.rlike("[0-9@]|AKIA|password=|gh[pousr]_|sk-")  # each kind has a digit, an @ or a secret's mark: most texts are let through by this alone

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,10 @@ def tokenizer_path() -> str:
 
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.tarazu.pii.key", "set spark.tarazu.pii.key to a secret")
+    key = spark.conf.get("spark.tarazu.pii.key", None)
+    if not key:  # none is built in: without one, pseudonyms are those of this session alone
+        key = secrets.token_hex(32)
+        spark.conf.set("spark.tarazu.pii.key", key)
     return pii.pseudonymise(_read(spark, sf_dir, "documents"), key).select("doc_id", "text", "pii_found", "pii_kinds")
 
 
