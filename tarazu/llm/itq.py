@@ -10,14 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarazu.llm.common import components, materialise
+from tarazu.llm.common import BY, components, in_blocks, materialise
 
 #: Bits of the full code, by which pairs are dropped before vectors move; directions that a rotation keeps at most.
 CODE_BITS, AXES = 256, 256
 #: Lengths of vectors, from the most frequent on, whose rotations are learned; those of other lengths are random.
 LEARNED = 8
-#: What the sort of a bucket's rows goes by.
-BY = ["t", "key", "lo", "hi"]
 
 
 def learn_rotation(c: np.ndarray, bits: int, rounds: int = 30, seed: int = 0) -> np.ndarray:
@@ -225,20 +223,6 @@ def links_map(threshold: float):
     return lambda batches: whole_groups(batches, done)
 
 
-def in_blocks(keyed: DataFrame, block: int, rows: DataFrame) -> DataFrame:
-    """(t, key, lo, hi, own, uid, …): the rows of keyed (uid, t, key) that share their bucket, with the columns of rows, dealt and sorted by BY.
-
-    A bucket over `block` rows is cut into blocks by a hash; each block meets itself and each other one in a group of its own.
-    """
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(sizes, ["t", "key"]).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
-    met = met.join(rows, "uid").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "uid"), F.col("parts")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", *rows.columns)
-    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(parts, *BY).sortWithinPartitions(*BY)
-
-
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, recall: float = 0.96, sample: int = 4096, bucket: int = 64, block: int = 512, seed: int = 0) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept.
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +13,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarazu.llm.common import components, materialise
+from tarazu.llm.common import BY, components, in_blocks, materialise
 
 #: Shingles hashed at once; bounds the memory of one very long text.
 CHUNK = 1 << 16
 
 
+def bit_sums(rows: np.ndarray) -> np.ndarray:
+    """How many of the rows (bytes) have each bit: bytes are added up as bytes, 255 rows at a time."""
+    bits = np.unpackbits(rows, axis=1)
+    whole = len(bits) // 255 * 255
+    sums = np.add.reduce(bits[:whole].reshape(-1, 255, bits.shape[1]), axis=1, dtype=np.uint8)
+    return sums.sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.int64)
+
+
 def fingerprint(text: bytes, width: int = 3) -> int:
     """64-bit SimHash of the word shingles of a UTF-8 text, A-Z lower-cased; 0 without a word."""
     words = text.lower().split()
@@ -27,8 +37,8 @@ def fingerprint(text: bytes, width: int = 3) -> int:
         shingles = map(b" ".join, zip(*(words[k : k + n] for k in range(width))))
     ones, total = np.zeros(64, np.int64), 0
     while True:
-        h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for _, s in zip(range(CHUNK), shingles)), np.uint64)
-        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in islice(shingles, CHUNK)), np.uint64)
+        ones += bit_sums(h.astype(">u8").view(np.uint8).reshape(-1, 8))
         total += len(h)
         if len(h) < CHUNK:
             return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
@@ -63,8 +73,8 @@ class BKTree:
             at = children[at][d]
         children[at][d] = new
 
-    def search(self, value: int, radius: int) -> list[int]:
-        """Indices of all fingerprints within the radius: by the triangle inequality only edges from d - radius to d + radius can lead there."""
+    def search(self, value: int, radius: int) -> list[tuple[int, int]]:
+        """(distance, index) of all fingerprints within the radius: by the triangle inequality only edges from d - radius to d + radius can lead there."""
         if not self.values:
             return []
         values, children, found, todo = self.values, self.children, [], [0]
@@ -72,34 +82,41 @@ class BKTree:
             at = todo.pop()
             d = (value ^ values[at]).bit_count()
             if d <= radius:
-                found.append(at)
+                found.append((d, at))
             edges = children[at]
             if edges:
                 todo += [c for e, c in edges.items() if d - radius <= e <= d + radius]
         return found
 
 
-def shard_links(left: list[int], right: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """Forest of the links inside one block of a shard (right None) or between two: at most one edge per fingerprint."""
-    parent = {v: v for v in left}
-    parent.update((v, v) for v in right or ())
+def shard_links(left: list[tuple], right: list[tuple] | None, radius: int, least: float = 0.0) -> list[tuple[int, int]]:
+    """Forest of the links inside one block of a shard (right None) or between two, closest first: fewer edges than rows.
+
+    Rows are (id, fingerprint, size); rows whose sizes have a ratio below `least` don't link.
+    """
+    parent: dict[int, int] = {}
 
     def root(v: int) -> int:
-        while parent[v] != v:
-            parent[v] = v = parent[parent[v]]
+        while (up := parent.get(v, v)) != v:
+            parent[v] = v = parent.get(up, up)
         return v
 
-    tree, edges = BKTree(), []
-    if right is not None:
-        tree = BKTree(left)
-    for v in left if right is None else right:
-        for k in tree.search(v, radius):
-            x, y = root(v), root(tree.values[k])
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                edges.append((v, tree.values[k]))
+    tree, rows, found = BKTree(v for _, v, _ in (left if right is not None else ())), left, []
+    for k, (_, v, n) in enumerate(left if right is None else right):
+        for d, at in tree.search(v, radius):
+            m = rows[at][2]
+            if min(m, n) >= least * max(m, n):
+                found.append((d, at, k))
         if right is None:
             tree.insert(v)
+    found.sort()
+    edges, other = [], left if right is None else right
+    for _, at, k in found:
+        a, b = rows[at][0], other[k][0]
+        x, y = root(a), root(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            edges.append((b, a))
     return edges
 
 
@@ -134,40 +151,37 @@ def fingerprint_links(prints: DataFrame, radius: int = 2, bands: int = 3, block:
     4 give 6 of 2^32, 5 give 10 of 2^38.
     """
     masks = [signed(m) for m in band_masks(bands, radius)]
-    keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(sizes, ["t", "key"]).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("fp", "t", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    keyed = prints.select(F.col("fp").alias("uid"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
+    rows = prints.select(F.col("fp").alias("uid"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("code"), F.lit(0).alias("size"))
+    return in_blocks(keyed, block, rows).mapInArrow(links_map(radius), "a long, b long").distinct()
+
+
+def links_map(radius: int, least: float = 0.0):
+    """Rows (t, key, lo, hi, own, uid, code, size) sorted by BY to the edges of each group: one block becomes a BK-tree, the other is searched in it."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[tuple]) -> list[tuple[int, int]]:
-            lo, hi = rows[0][1][2:]
-            mine = [v & (2**64 - 1) for v, _, own in rows if own == lo]
-            return shard_links(mine, None if lo == hi else [v & (2**64 - 1) for v, _, own in rows if own == hi], radius)
+        group, now = [], None
+
+        def done() -> list[tuple[int, int]]:
+            lo, hi = now[2:] if now else (0, 0)
+            mine = [row for own, row in group if own == lo]
+            return shard_links(mine, None if lo == hi else [row for own, row in group if own == hi], radius, least)
 
         def out(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([signed(e[k]) for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        group, edges = [], []
         for batch in batches:
-            fp, t, key, own, lo, hi = (c.to_pylist() for c in batch.columns)
-            for row in zip(fp, zip(t, key, lo, hi), own):
-                if group and group[0][1] != row[1]:
-                    edges += done(group)
-                    group = []
-                group.append(row)
-            if edges:
-                yield out(edges)
-                edges = []
-        if group:
-            edges += done(group)
-        yield out(edges)
+            edges = []
+            t, key, lo, hi, own, uid, code, size = (batch.column(c).to_pylist() for c in (*BY, "own", "uid", "code", "size"))
+            for at, o, row in zip(zip(t, key, lo, hi), own, zip(uid, map(int.from_bytes, code), size)):
+                if at != now:
+                    edges += done()
+                    group, now = [], at
+                group.append((o, row))
+            yield out(edges)
+        yield out(done())
 
-    by = ["t", "key", "lo", "hi"]
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(search, "a long, b long")
+    return search
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, bands: int | None = None, block: int = 192) -> DataFrame:
@@ -177,7 +191,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts have fingerprint zero and link like any other. Rows with a null id are kept and linked;
     a component in which all ids are null has a null component_id. Repeated rows stay repeated. An
     empty table gives no rows. Other columns of the input are neither read nor returned. Only ids
-    and fingerprints are shuffled; copies meet as one fingerprint. The number of bands follows from
+    and fingerprints are shuffled; copies meet as one fingerprint. A very long text is held as its words. The number of bands follows from
     that of distinct fingerprints where none is given; it changes the work, not the result.
     """
     prints = docs.select(F.col(id_col).alias("id"), fingerprints_udf(width)(F.col(text_col).cast("binary")).alias("fp"))
@@ -189,3 +203,139 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
     of = of.join(smallest, "root").select("fp", "component_id")
     return prints.join(of, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near copies by similarity: SimHash fingerprints find them, sets of shingles decide
+
+#: Bits of a wide fingerprint, made of so many numbers of 64 bits for each shingle; odd numbers that tell these apart.
+WIDE = 256
+_LANES = np.random.default_rng(1729).integers(1, 2**63, WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of a text split at once, up to the next white space.
+SLICE = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+@np.errstate(over="ignore")
+def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
+    """The distinct word shingles of a UTF-8 text, A-Z lower-cased, as ascending 64-bit hashes; a text of fewer words has its whole sequence as one, apart from all shingles."""
+    hashes, at = [], 0
+    while at < len(text):
+        space = _SPACE.search(text, at + SLICE)
+        end = space.end() if space else len(text)
+        hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, text[at:end].lower().split()), np.uint64))
+        at = end
+    words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    n = min(width, len(words))
+    if not n:
+        return words
+    h = np.full(len(words) - n + 1, n, np.uint64)
+    for k in range(n):
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(h)])
+    return np.unique(h)
+
+
+@np.errstate(over="ignore")
+def wide_fingerprint(shingles: np.ndarray) -> bytes:
+    """SimHash of WIDE bits of a set of shingle hashes."""
+    ones = np.zeros(WIDE, np.int64)
+    for at in range(0, len(shingles), CHUNK):
+        some = shingles[at : at + CHUNK]
+        ones += bit_sums(np.stack([_mixed(some * lane) for lane in _LANES], 1).view(np.uint8))
+    return np.packbits(2 * ones > len(shingles)).tobytes()
+
+
+def wide_udf(width: int):
+    """(code, same, size): wide fingerprint, a 128-bit name of the set of shingles, and their number."""
+
+    @F.arrow_udf("code binary, same binary, size int")
+    def of(texts: pa.Array) -> pa.Array:
+        sets = (shingle_set(t.as_py() or b"", width) for t in texts)
+        rows = [(wide_fingerprint(s), xxhash.xxh3_128_digest(s.tobytes()), len(s)) for s in sets]
+        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int32())], ["code", "same", "size"])
+
+    return of
+
+
+def sets_udf(width: int):
+    @F.arrow_udf("array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(t.as_py() or b"", width).view(np.int64) for t in texts]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+
+    return of
+
+
+def bit_chance(similarity: float) -> float:
+    """The chance that a bit tells two sets of one size and that Jaccard similarity apart: the angle of their vectors over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def shard_plan(n: int, similarity: float, bucket: int, recall: float) -> tuple[int, int, int]:
+    """(bits, tables, radius): keys of so many bits that n fingerprints fill shards of about `bucket`, so many tables
+    that a pair at the similarity shares a key with a chance of `recall`, and the differing bits that it exceeds with one of some 1e-4."""
+    p = bit_chance(similarity)
+    bits = min(40, max(4, math.ceil(math.log2(max(n, 1) / bucket))))
+    tables = math.ceil(math.log(1 - recall) / math.log1p(-((1 - p) ** bits)))
+    return bits, tables, math.ceil(WIDE * p + 3.7 * math.sqrt(WIDE * p * (1 - p)))
+
+
+def shards_map(bits: int, tables: int):
+    """Rows (uid, code) to (uid, t, key): for each table the same seeded choice of the fingerprint's bits."""
+    rng = np.random.default_rng(bits)
+    places = np.stack([rng.choice(WIDE, bits, replace=False) for _ in range(tables)])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            key = np.unpackbits(code, axis=1)[:, places] @ (1 << np.arange(bits))
+            uid, t = np.repeat(b.column("uid").to_numpy(), tables), np.tile(np.arange(tables, dtype=np.int32), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(t), pa.array(key.ravel().astype(np.int64))], ["uid", "t", "key"])
+
+    return keys
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.97, bucket: int = 32, block: int = 192) -> DataFrame:
+    """One row per input row: id and component_id, the least id reachable by links.
+
+    Texts link when the Jaccard similarity of their sets of word shingles is at least `similarity`. SimHash
+    fingerprints of WIDE bits over these sets find such pairs: a shard holds the fingerprints that agree on a
+    choice of bits, and in a shard BK-trees give those within a radius that a pair at the similarity stays
+    in (see shard_plan; more documents mean more bits and more tables). Of these, closest first, a forest leaves
+    the shard, so a group of near copies costs no list of pairs; its edges are held against the sets themselves, and
+    only those at the similarity join. A hot shard is cut into blocks that meet pairwise in tasks of their own.
+
+    Texts with equal sets are one class, whatever their number. Null, empty and blank texts have the same empty
+    set; texts under `width` words have their whole sequence as one shingle. Rows with a null id are kept and
+    linked, the least of a component's ids is null only where all are. Repeated rows stay repeated; an empty table gives no
+    rows; other columns are neither read nor returned. Only the texts of found pairs are read again, as hashes.
+    A very long text takes some 30 bytes for each word.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    prints = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("h"), wide_udf(width)(F.col(text_col).cast("binary")).alias("p"))
+    prints, _ = materialise(prints.select("id", "h", "p.*"), "prints")
+    classes = prints.groupBy("same").agg(F.min("id").alias("least"), F.min("h").alias("h"), F.first("code").alias("code"), F.first("size").alias("size"))
+    classes, _ = materialise(classes.withColumn("uid", F.monotonically_increasing_id()), "classes")
+    bits, tables, radius = shard_plan(classes.count(), similarity, bucket, recall)
+    keyed = classes.select("uid", "code").mapInArrow(shards_map(bits, tables), "uid long, t int, key long")
+    near, _ = materialise(in_blocks(keyed, block, classes.select("uid", "code", "size")).mapInArrow(links_map(radius, similarity), "a long, b long").distinct(), "near")
+
+    members = near.select(F.col("a").alias("uid")).union(near.select("b")).distinct().join(classes, "uid").select("uid", F.col("h").alias("of"))
+    members, _ = materialise(members, "members")
+    sets = docs.select(F.md5(text).alias("h"), F.col(text_col).alias("text")).join(members, F.col("h") == F.col("of")).dropDuplicates(["uid"])
+    sets, _ = materialise(sets.select("uid", sets_udf(width)(F.col("text").cast("binary")).alias("s")), "sets")
+    pairs = near.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("s").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    linked = pairs.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum")).where(F.col("both") >= similarity * (F.col("sum") - F.col("both")))
+    found = components(linked)
+    of = classes.join(found, classes.uid == found.node, "left").select("same", "least", F.coalesce("root", "uid").alias("root"))
+    smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(of.join(smallest, "root").select("same", "component_id"), "same").select(F.col("id").alias(id_col), "component_id")

@@ -903,10 +903,67 @@ def test_bk_tree_search():
     values = [int(v) for v in rng.integers(0, 2**16, 500)]
     tree = simhash.BKTree(values)
     for q in values[:50]:
-        assert sorted(tree.search(q, 2)) == [k for k, v in enumerate(values) if (v ^ q).bit_count() <= 2]
+        assert sorted(k for _, k in tree.search(q, 2)) == [k for k, v in enumerate(values) if (v ^ q).bit_count() <= 2]
     assert simhash.BKTree().search(1, 2) == []
 
 
+def shingles_of(text, width=5):
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text or "")]
+    return {tuple(words[k : k + width]) for k in range(max(len(words) - width + 1, min(len(words), 1)))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def changed(rng, words, similarity):
+    """The words with some replaced, until the shingle sets have about that similarity."""
+    new, k = list(words), 0
+    while jaccard(shingles_of(" ".join(words)), shingles_of(" ".join(new))) > similarity:
+        new[int(rng.integers(len(new)))] = f"new{k}"
+        k += 1
+    return new
+
+
+def test_similar_groups(spark, sf):
+    """Planted pairs of all similarities, a group of near copies, chains and edges: recall of pairs, and no component that exact links don't make."""
+    rng = np.random.default_rng(9)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    rows, pairs = [], []
+    for want in (0.82, 0.9, 0.95, 0.6, 0.7):
+        for _ in range(100):
+            a = text(int(rng.integers(60, 400)))
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [" ".join(a), " ".join(changed(rng, a, want))]
+    base = text(150)
+    rows += [" ".join(changed(rng, base, 0.9)) for _ in range(120)] + [rows[0].upper()] * 3 + ["", " ", None, "few words", "Few  words", "few words more", "one"]
+    d = docs_of(spark, [(k, t, None, None) for k, t in enumerate(rows)] + [(None, rows[0], None, None), (None, "alone and without an id at all", None, None), (3, "another text under a repeated id", None, None)])
+    for frame in (d, spark.read.parquet(f"{sf}/documents.parquet"), edge_docs(spark)):
+        got = simhash.similar_groups(clashing(frame), block=50).collect()
+        every = [(r.doc_id, shingles_of(r.text)) for r in frame.collect()]
+        links = np.array([[jaccard(a, b) >= 0.8 for _, b in every] for _, a in every])
+        whole = collections.Counter(zip((i for i, _ in every), least_reachable([i for i, _ in every], links)))
+        assert len(got) == len(every)
+        if frame is d:
+            part = {r.doc_id: r.component_id for r in got}
+            true = [(a, b) for a, b in pairs if links[a, b]]
+            assert len(true) > 250 and sum(part[a] == part[b] for a, b in true) >= 0.95 * len(true)
+            assert not any(part[a] == part[b] for a, b in pairs if not links[a, b])
+            assert part[len(rows) - 7] == part[len(rows) - 6] == part[len(rows) - 5] and part[len(rows) - 4] == part[len(rows) - 3] != part[len(rows) - 2]
+        else:
+            assert collections.Counter((r.doc_id, r.component_id) for r in got) == whole
+    assert simhash.similar_groups(d.limit(0)).count() == 0
+
+
+def test_shingle_sets_in_slices(monkeypatch):
+    text = ("The quick brown Fox " * 5 + "jumps\tover\n" * 9 + "ÄÖ x").encode()
+    whole = simhash.shingle_set(text)
+    monkeypatch.setattr(simhash, "SLICE", 11)
+    assert (simhash.shingle_set(text) == whole).all() and len(whole) == len(shingles_of(text.decode()))
+    monkeypatch.setattr(simhash, "CHUNK", 3)
+    assert simhash.wide_fingerprint(whole) == np.packbits([2 * sum(int(simhash._mixed(h * lane)) >> (8 * (k // 8) + 7 - k % 8) & 1 for h in whole) > len(whole) for lane in simhash._LANES for k in range(64)]).tobytes()
+
+
 # op10
 
 

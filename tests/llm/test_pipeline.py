@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarazu.llm import queries
-from tests.llm.test_llm_operators import WORD, edge_docs, slow_groups, slow_lines, slow_targets
+from tests.llm.test_llm_operators import WORD, edge_docs, jaccard, least_reachable, shingles_of, slow_lines, slow_targets
 
 
 def row(r):
@@ -38,9 +38,13 @@ def test_stages(spark, sf, edges, tmp_path):
     assert collections.Counter((str(r.doc_id), r.text) for r in lines) == collections.Counter(slow_lines(lang)[0])
     assert all(r.n_chars == len(r.text) for r in lines)
 
-    groups = {(d, g) for d, _, g in slow_groups(lines)}
-    stay = collections.Counter(str(d) for d, g in groups if d is not None and d == g)
-    assert collections.Counter(str(r.doc_id) for r in single if r.doc_id is not None) == stay
+    sets = [shingles_of(r.text) for r in lines]
+    links = np.array([[jaccard(a, b) >= 0.8 for b in sets] for a in sets])
+    groups = collections.defaultdict(list)
+    for k, g in enumerate(least_reachable(list(range(len(lines))), links)):
+        groups[g].append(lines[k])
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, hashlib.md5((r.text or "").encode()).hexdigest())
+    assert collections.Counter(map(row, single)) == collections.Counter(row(min(g, key=key)) for g in groups.values())
 
     sizes, copies = collections.Counter(), collections.Counter(map(row, mixed))
     for r in single:
