@@ -64,6 +64,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def may_match(df: DataFrame, key, keys: DataFrame, bits: int = 24) -> DataFrame:
+    """df with __may: false only where the key (a hash, long) isn't among those of keys (one column of such hashes).
+
+    A bitmap of 2^bits bits, of the keys modulo its size, is broadcast: at most 2^(bits - 6) rows of two numbers, 4 MB,
+    however many keys there are; more keys only mean that more rows may match. So wide rows without a match needn't be shuffled to find that out.
+    """
+    word = lambda k: F.shiftright(k.bitwiseAND(F.lit((1 << bits) - 1)), 6)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    k = F.col(keys.columns[0])
+    held = keys.select(word(k).alias("__word"), bit(k).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__held"))
+    out = df.join(F.broadcast(held), word(key) == F.col("__word"), "left")
+    return out.withColumn("__may", F.coalesce(F.col("__held").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("__word", "__held")
+
+
 def word_count(text):
     """Number of words of a text column; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
