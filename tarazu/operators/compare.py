@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,8 +12,10 @@ from pyspark.sql import functions as F
 from tarazu.functions.seeded import h32
 from tarazu.functions.text import swap_digits
 
-#: Cumulative Poisson(1) probabilities: a uniform number below the k-th means weight k. Fixed values.
-POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+#: Cumulative Poisson(1) probabilities of 0 to 12: a uniform number below the k-th means weight k. One in 2^32 can't tell more apart.
+POISSON = tuple(accumulate(math.exp(-1) / math.factorial(k) for k in range(13)))
+#: Replicates whose weights come from one MD5.
+LANES = 4
 
 
 # Run logs
@@ -84,37 +89,74 @@ def align_items(items: DataFrame) -> DataFrame:
     return items.join(full, "id", "left_semi")
 
 
-def poisson_weight(replicate: Column, item: Column) -> Column:
-    """A Poisson(1) weight for a replicate and item, the same in every run and engine."""
-    u = F.conv(F.substring(F.md5(F.concat(replicate.cast("string"), F.lit(":"), item.cast("string"))), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+def poisson_weight(digest: Column, lane: int) -> Column:
+    """A Poisson(1) weight from the lane-th 8 hex digits of an MD5."""
+    u = F.conv(F.substring(digest, 1 + 8 * lane, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
     w = F.when(u < POISSON[0], 0)
     for k, cut in enumerate(POISSON[1:], 1):
         w = w.when(u < cut, k)
     return w.otherwise(len(POISSON))
 
 
-def boot_ci(items: DataFrame, by: list[str], value: str, replicates: int = 1000) -> DataFrame:
-    """(by, mean, low, high): 95 % interval by Poisson bootstrap.
+def boot_sums(items: DataFrame, by: list[str], values: list[str], replicates: int = 1000, unit: str = "id") -> DataFrame:
+    """(by, r, w, values): for each replicate the sum of weights and the weighted sums of the values; r = 0 has all weights 1.
 
-    Each item is weighted in every replicate at once and partial sums leave the task, one per group and
-    replicate; resampled items are never materialised or shuffled.
+    A unit (an item, or a case with its decisions) has one weight in a replicate, the same in every group, run and engine: the MD5 of
+    unit and block of LANES replicates. It is worked out once for a unit's values together, and partial sums leave the task, one row
+    per group and block; resampled items are never materialised or shuffled. A unit's values are gathered once (they are few).
+    """
+    held = items.groupBy(F.col(unit).alias("__u")).agg(F.collect_list(F.struct(*by, *[F.col(v).cast("double").alias(v) for v in values])).alias("__items"))
+    d = held.withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // LANES) - 1))))
+    digest = F.md5(F.concat(F.col("__q").cast("string"), F.lit(":"), F.col("__u").cast("string")))
+    d = d.withColumn("__d", digest).select("*", *[poisson_weight(F.col("__d"), k).alias(f"__w{k}") for k in range(LANES)])
+    d = d.select("__q", *[f"__w{k}" for k in range(LANES)], F.explode("__items").alias("__i")).select("__q", *[f"__w{k}" for k in range(LANES)], "__i.*")
+    lane = lambda k: F.struct((F.col("__q") * LANES + k + 1).alias("r"), F.col(f"__s{k}").alias("w"), *[F.col(f"__{v}_{k}").alias(v) for v in values])
+    sums = [x for k in range(LANES) for x in (F.sum(f"__w{k}").alias(f"__s{k}"), *[F.sum(F.col(f"__w{k}") * F.col(v)).alias(f"__{v}_{k}") for v in values])]
+    out = d.groupBy(*by, "__q").agg(*sums).select(*by, F.explode(F.array(*[lane(k) for k in range(LANES)])).alias("__x")).select(*by, "__x.*").where(F.col("r") <= replicates)
+    whole = items.groupBy(*by).agg(F.count("*").alias("w"), *[F.sum(F.col(v).cast("double")).alias(v) for v in values]).select(*by, F.lit(0).alias("r"), "w", *values)
+    return out.unionByName(whole)
+
+
+def boot_stat(items: DataFrame, by: list[str], values: list[str], stat: str, name: str, replicates: int = 1000, unit: str = "id") -> DataFrame:
+    """(by, name, low, high): 95 % interval, by Poisson bootstrap, of any expression of the weighted sums: `stat` is SQL over w (the sum of weights) and the values.
+
+    So intervals of means, of differences of means (a language gap), of ratios (F1) and of sums over bins (ECE) are the same work.
     """
-    d = items.select(*by, "id", F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
-    d = d.withColumn("w", poisson_weight(F.col("r"), F.col("id")))
-    means = d.groupBy(*by, "r").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"), F.avg("v").alias("mean"))
-    q = lambda x: F.round(F.percentile("m", F.lit(x)), 6)
-    return means.groupBy(*by).agg(F.round(F.max("mean"), 6).alias("mean"), q(0.025).alias("low"), q(0.975).alias("high"))
+    d = boot_sums(items, by, values, replicates, unit).withColumn("__m", F.expr(stat))
+    q = lambda x: F.round(F.percentile(F.when(F.col("r") > 0, F.col("__m")), F.lit(x)), 6)
+    return d.groupBy(*by).agg(F.round(F.max(F.when(F.col("r") == 0, F.col("__m"))), 6).alias(name), q(0.025).alias("low"), q(0.975).alias("high"))
+
 
+def boot_ci(items: DataFrame, by: list[str], value: str, replicates: int = 1000, unit: str = "id") -> DataFrame:
+    """(by, mean, low, high): 95 % interval of a mean by Poisson bootstrap; pass the case as unit where a case has several items."""
+    return boot_stat(items, by, [value], f"try_divide(`{value}`, w)", "mean", replicates, unit)
 
-def paired(items: DataFrame, value: str) -> DataFrame:
-    """(a, b, id, d): for every two runs a < b the difference value(b) - value(a) on the items that both have."""
-    x, y = items.select(F.col("run").alias("a"), "id", F.col(value).cast("double").alias("x")), items.select(F.col("run").alias("b"), "id", F.col(value).cast("double").alias("y"))
-    return x.join(y, "id").where("a < b").select("a", "b", "id", (F.col("y") - F.col("x")).alias("d"))
 
+def boot_ece(top: DataFrame, by: list[str], replicates: int = 1000, unit: str = "id", bins: int = 10) -> DataFrame:
+    """(by, ece, low, high): interval of the expected calibration error."""
+    at = F.least(F.floor(F.col("conf") * bins), F.lit(bins - 1))
+    gap = F.col("correct").cast("double") - F.col("conf")
+    d = top.select("*", *[F.when(at == k, gap).otherwise(0.0).alias(f"gap{k}") for k in range(bins)])
+    return boot_stat(d, by, [f"gap{k}" for k in range(bins)], "try_divide(" + " + ".join(f"abs(gap{k})" for k in range(bins)) + ", w)", "ece", replicates, unit)
+
+
+def boot_gap(top: DataFrame, by: list[str], first: Column, second: Column, replicates: int = 1000, unit: str = "id") -> DataFrame:
+    """(by, gap, low, high): interval of the accuracy where `first` holds less that where `second` does."""
+    c = F.col("correct").cast("double")
+    d = top.select("*", *[F.when(x, v).otherwise(0.0).alias(n) for n, x, v in (("n1", first, F.lit(1.0)), ("c1", first, c), ("n2", second, F.lit(1.0)), ("c2", second, c))])
+    return boot_stat(d, by, ["n1", "c1", "n2", "c2"], "try_divide(c1, n1) - try_divide(c2, n2)", "gap", replicates, unit)
 
-def boot_paired(items: DataFrame, value: str, replicates: int = 1000) -> DataFrame:
+
+def paired(items: DataFrame, value: str, unit: str = "id") -> DataFrame:
+    """(a, b, id, d and the unit): for every two runs a < b the difference value(b) - value(a) on the items that both have."""
+    x = items.select(F.col("run").alias("a"), *dict.fromkeys(["id", unit]), F.col(value).cast("double").alias("x"))
+    y = items.select(F.col("run").alias("b"), "id", F.col(value).cast("double").alias("y"))
+    return x.join(y, "id").where("a < b").select("a", "b", *dict.fromkeys(["id", unit]), (F.col("y") - F.col("x")).alias("d"))
+
+
+def boot_paired(items: DataFrame, value: str, replicates: int = 1000, unit: str = "id") -> DataFrame:
     """(a, b, diff, low, high, verdict): paired intervals on the same items; a tie where 0 is inside."""
-    d = boot_ci(paired(items, value), ["a", "b"], "d", replicates).withColumnRenamed("mean", "diff")
+    d = boot_ci(paired(items, value, unit), ["a", "b"], "d", replicates, unit).withColumnRenamed("mean", "diff")
     return d.withColumn("verdict", F.when(F.col("low") > 0, "win").when(F.col("high") < 0, "loss").otherwise("tie"))
 
 
@@ -136,15 +178,20 @@ def pert_digits(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn(text, swap_digits(F.col(text)))
 
 
-def pert_distractor(records: DataFrame, seed: int = 0, groups: int = 256) -> DataFrame:
-    """records with one more option, `distractor`: the first option text of another record of the same hash group that isn't among its own; unchanged without one."""
-    r = records.withColumn("__g", h32(F.lit("g"), F.lit(seed), F.col("id")) % groups)
+def pert_distractor(records: DataFrame, seed: int = 0, group_rows: int = 1024) -> DataFrame:
+    """records with one more option, `distractor`: the first option text of another record of the same hash group that isn't among its own; unchanged without one.
+
+    Only ids and first options are numbered, in groups of about `group_rows`.
+    """
+    r = records.select("id", F.col("options")[0]["text"].alias("__first"))
+    r = r.withColumn("__g", h32(F.lit("g"), F.lit(seed), F.col("id")) % max(1, records.count() // group_rows))
     w = W.partitionBy("__g").orderBy(h32(F.lit(seed), F.col("id")), "id")
-    r = r.withColumn("__t", F.coalesce(F.lead(F.col("options")[0]["text"]).over(w), F.first(F.col("options")[0]["text"]).over(w)))
-    own = F.exists("options", lambda o: o["text"] == F.col("__t"))
+    t = r.select(F.col("id").alias("__id"), F.coalesce(F.lead("__first").over(w), F.first("__first").over(w)).alias("__t"))
+    r = records.join(t, records.id == t["__id"], "left").drop("__id")
+    own = F.coalesce(F.exists("options", lambda o: o["text"] == F.col("__t")), F.lit(True)) | F.col("__t").isNull()
     more = F.concat("options", F.array(F.struct(F.lit("distractor").alias("id"), F.col("__t").alias("text"))))
     gold = F.map_concat("gold", F.create_map(F.lit("distractor"), F.lit(0.0)))
-    return r.withColumn("__own", own).withColumn("gold", F.when(F.col("__own"), F.col("gold")).otherwise(gold)).withColumn("options", F.when(F.col("__own"), F.col("options")).otherwise(more)).drop("__g", "__t", "__own")
+    return r.withColumn("__own", own).withColumn("gold", F.when(F.col("__own"), F.col("gold")).otherwise(gold)).withColumn("options", F.when(F.col("__own"), F.col("options")).otherwise(more)).drop("__t", "__own")
 
 
 def pert_register(formal: DataFrame, colloquial: DataFrame) -> DataFrame:
@@ -163,7 +210,7 @@ def robust_flip(base: DataFrame, changed: DataFrame, by: list[str]) -> DataFrame
 
 def gate_criteria(metrics: DataFrame, thresholds: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, criterion, value, threshold, passed, fair): passed by the threshold's direction (`min` or `max`); fair where it was set before the run."""
-    d = metrics.join(F.broadcast(thresholds), "criterion").join(runs.select("run_id", "date"), "run_id")
+    d = metrics.join(thresholds, "criterion").join(runs.select("run_id", "date"), "run_id")
     passed = F.when(F.col("direction") == "min", F.col("value") >= F.col("threshold")).otherwise(F.col("value") <= F.col("threshold"))
     return d.select("run_id", "criterion", "value", "threshold", passed.alias("passed"), (F.col("set_on") < F.col("date")).alias("fair"))
 

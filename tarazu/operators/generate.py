@@ -45,16 +45,16 @@ def weekday(g: Column) -> Column:
 
 
 def compare_dates(pairs: DataFrame, a: str, b: str, dim: DataFrame) -> DataFrame:
-    """Pairs of Gregorian dates as the Jalali question whether the first is before the second."""
+    """Pairs of Gregorian dates as the Jalali question whether the first is before the second; a pair with a date outside the calendar stays, its question null."""
     one = dim.select(F.col("gdate").alias(a), F.col("jdate").alias("ja"))
     two = dim.select(F.col("gdate").alias(b), F.col("jdate").alias("jb"))
-    out = pairs.join(F.broadcast(one), a).join(F.broadcast(two), b)
+    out = pairs.join(F.broadcast(one), a, "left").join(F.broadcast(two), b, "left")
     return out.withColumn("question", F.concat(F.lit("آیا "), "ja", F.lit(" پیش از "), "jb", F.lit(" است؟"))).withColumn("label", F.when(F.col(a) < F.col(b), "yes").otherwise("no"))
 
 
 def weekday_items(dates: DataFrame, g: str, dim: DataFrame) -> DataFrame:
-    """Gregorian dates as the question which weekday a Jalali date is; label: the option's number."""
-    return dates.join(F.broadcast(dim.select(F.col("gdate").alias(g), "jdate", "weekday")), g).withColumn("label", F.col("weekday").cast("string"))
+    """Gregorian dates as the question which weekday a Jalali date is; label: the option's number. A date outside the calendar stays, with nulls."""
+    return dates.join(F.broadcast(dim.select(F.col("gdate").alias(g), "jdate", "weekday")), g, "left").withColumn("label", F.col("weekday").cast("string"))
 
 
 def digit_forms(df: DataFrame, amount: str, other: str) -> DataFrame:
@@ -76,7 +76,7 @@ def business_hours(times: DataFrame, ts: str, hours: DataFrame, id_col: str = "i
     t = times.select(id_col, weekday(F.col(ts)).alias("day"), (F.hour(ts) * 60 + F.minute(ts)).alias("minute"))
     same = hours.select("day", "from_min", F.when(F.col("to_min") > F.col("from_min"), F.col("to_min")).otherwise(1440).alias("to_min"))
     late = hours.where("to_min <= from_min").select((F.col("day") % 7 + 1).alias("day"), F.lit(0).alias("from_min"), "to_min")
-    spans = F.broadcast(same.unionByName(late).withColumnRenamed("day", "__day"))
+    spans = same.unionByName(late).withColumnRenamed("day", "__day")
     hit = t.join(spans, (t.day == spans["__day"]) & (t.minute >= spans["from_min"]) & (t.minute < spans["to_min"]), "left")
     return hit.groupBy(id_col, "day", "minute").agg(F.when(F.count("__day") > 0, "yes").otherwise("no").alias("open"))
 
@@ -90,8 +90,8 @@ def postal_valid(c: Column) -> Column:
 
 
 def template_expand(facts: DataFrame, templates: DataFrame, slots: dict[str, str]) -> DataFrame:
-    """facts × the templates of their task, with each {slot} replaced by a column. The template table is small and broadcast."""
-    out = facts.join(F.broadcast(templates), "task")
+    """facts × the templates of their task, with each {slot} replaced by a column. Spark broadcasts the templates if it finds them small."""
+    out = facts.join(templates, "task")
     text = F.col("pattern")
     for slot, column in slots.items():
         text = F.replace(text, F.lit("{" + slot + "}"), F.col(column).cast("string"))

@@ -66,18 +66,23 @@ def conv_transcript(df: DataFrame, text: str, label: str, descriptions: DataFram
     return conv_intent(df.withColumn(text, scrub(F.col(text))), descriptions, label)
 
 
-def neg_wrong_passage(qa: DataFrame, seed: int = 0, shift: int = 1, groups: int = 256) -> DataFrame:
-    """(id, passage): each question with the passage of another question, left out where that passage holds the answer.
+def neg_wrong_passage(qa: DataFrame, seed: int = 0, shift: int = 1, group_rows: int = 1024) -> DataFrame:
+    """(id, question, from_id, passage): each question with the passage of another question, left out where that passage holds the answer.
 
-    Rows are numbered by a seeded hash within `groups` hash groups (more for more rows), and each group is rotated: a join on
-    (group, number), so no task sees all rows. A group of one row gives no negative.
+    Ids alone are numbered by a seeded hash within hash groups of about `group_rows`, and each group is rotated;
+    then the passages are fetched. A group of one row gives no negative.
     """
+    r = in_groups(qa.select("id"), seed, group_rows)
     order = W.partitionBy("grp").orderBy(h32(F.lit(seed), F.col("id")), "id")
-    r = qa.withColumn("grp", h32(F.lit("g"), F.lit(seed), F.col("id")) % groups)
     r = r.withColumn("r", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(W.partitionBy("grp")))
-    other = r.select("grp", F.col("r").alias("to"), F.col("id").alias("from_id"), F.col("passage").alias("passage"))
-    q = r.select("id", "question", "answer", "grp", ((F.col("r") + shift) % F.col("n")).alias("to"))
-    return q.join(other, ["grp", "to"]).where("from_id <> id and not contains(passage, answer)").select("id", "question", "from_id", "passage")
+    pairs = r.select("id", "grp", ((F.col("r") + shift) % F.col("n")).alias("to")).join(r.select("grp", F.col("r").alias("to"), F.col("id").alias("from_id")), ["grp", "to"]).where("from_id <> id")
+    q = pairs.select("id", "from_id").join(qa.select("id", "question", "answer"), "id")
+    return q.join(qa.select(F.col("id").alias("from_id"), "passage"), "from_id").where("not contains(passage, answer)").select("id", "question", "from_id", "passage")
+
+
+def in_groups(ids: DataFrame, seed: int, group_rows: int) -> DataFrame:
+    """ids (id) with grp, a seeded hash into as many groups as keep about `group_rows` in each."""
+    return ids.withColumn("grp", h32(F.lit("g"), F.lit(seed), F.col("id")) % max(1, ids.count() // group_rows))
 
 
 def truncate_keep_answer(passage: Column, answer: Column, budget: int) -> Column:
@@ -88,10 +93,10 @@ def truncate_keep_answer(passage: Column, answer: Column, budget: int) -> Column
 
 
 def template_assign(df: DataFrame, templates: DataFrame, seed: int = 0) -> DataFrame:
-    """df with a template_id of its task: the seeded hash modulo the number of templates that aren't held out."""
+    """df with a template_id of its task: the seeded hash modulo the number of templates that aren't held out; null for a task without one."""
     usable = templates.where("not held_out").groupBy("task").agg(F.sort_array(F.collect_list("template_id")).alias("__t"))
-    out = df.join(F.broadcast(usable), "task")
-    return out.withColumn("template_id", F.element_at("__t", (h32(F.lit(seed), F.col("id")) % F.size("__t")).cast("int") + 1)).drop("__t")
+    out = df.join(usable, "task", "left")
+    return out.withColumn("template_id", F.try_element_at("__t", (h32(F.lit(seed), F.col("id")) % F.size("__t")).cast("int") + 1)).drop("__t")
 
 
 def template_holdout(templates: DataFrame, k: int = 2, seed: int = 0) -> DataFrame:
@@ -191,7 +196,7 @@ def share_caps(counts: DataFrame, share: float = 0.3, source: str = "source") ->
 
 
 def mix_cap_share(df: DataFrame, share: float = 0.3, seed: int = 0, source: str = "source", id_col: str = "id") -> DataFrame:
-    """No source above the share: each source keeps its rows with the least seeded hashes.
+    """No source above the share (a null source is one too): each source keeps its rows with the least seeded hashes.
 
     The rank within a source is that within one of 4096 hash buckets plus the rows of lower buckets,
     so a source with a third of all rows is ranked by many tasks.
@@ -201,16 +206,16 @@ def mix_cap_share(df: DataFrame, share: float = 0.3, seed: int = 0, source: str
     buckets = d.groupBy(source, "__b").agg(F.count("*").alias("__m"))
     caps = share_caps(buckets.groupBy(source).agg(F.sum("__m").alias("n")), share, source)
     below = buckets.withColumn("__below", F.coalesce(F.sum("__m").over(W.partitionBy(source).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    known = below.join(caps.select(source, "cap"), source).select(source, "__b", "__below", "cap")
-    ranked = d.join(known, [source, "__b"]).withColumn("__rn", F.row_number().over(W.partitionBy(source, "__b").orderBy("__h", id_col)) + F.col("__below"))
-    return ranked.where("__rn <= cap").drop("__h", "__b", "__below", "cap", "__rn")
+    known = below.join(caps.select(F.col(source).alias("__s"), "cap"), F.col(source).eqNullSafe(F.col("__s"))).select("__s", F.col("__b").alias("__kb"), "__below", "cap")
+    ranked = d.join(known, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__kb"))).withColumn("__rn", F.row_number().over(W.partitionBy(source, "__b").orderBy("__h", id_col)) + F.col("__below"))
+    return ranked.where("__rn <= cap").select(*df.columns)
 
 
 def mix_upsample(df: DataFrame, floor: int, source: str = "source") -> DataFrame:
-    """Rows of sources under `floor` rows repeated whole times until it is reached (copy: 1 up)."""
-    n = df.groupBy(source).agg(F.count("*").alias("__n"))
-    out = df.join(F.broadcast(n), source)
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.lit(floor) / F.greatest(F.col("__n"), F.lit(1))).cast("int")))).drop("__n")
+    """Rows of sources under `floor` rows repeated whole times until it is reached (copy: 1 up). A null source is one too."""
+    n = df.groupBy(F.col(source).alias("__s")).agg(F.count("*").alias("__n"))
+    out = df.join(n, F.col(source).eqNullSafe(F.col("__s")))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.lit(floor) / F.greatest(F.col("__n"), F.lit(1))).cast("int")))).drop("__n", "__s")
 
 
 def mix_ablate(df: DataFrame, without: str) -> DataFrame:

@@ -43,13 +43,13 @@ def field_class(value: Column) -> Column:
 def field_rules(df: DataFrame, fields: list[str], rules: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, field, value, class, action): every field as a row; `keep` by a rule of its name or by what it looks like, else `translate`."""
     long = df.select(id_col, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot([id_col], fields, "field", "value")
-    long = long.withColumn("class", field_class(F.coalesce("value", F.lit("")))).join(F.broadcast(rules.select("field", "action")), "field", "left")
+    long = long.withColumn("class", field_class(F.coalesce("value", F.lit("")))).join(rules.select("field", "action"), "field", "left")
     return long.select(id_col, "field", "value", "class", F.coalesce("action", F.when(F.col("class") == "text", "translate").otherwise("keep")).alias("action"))
 
 
 def register_rule(fields: DataFrame, rules: DataFrame, default: str = "formal") -> DataFrame:
     """The fields with their register, by kind of field."""
-    return fields.join(F.broadcast(rules.select("field", "register")), "field", "left").withColumn("register", F.coalesce("register", F.lit(default)))
+    return fields.join(rules.select("field", "register"), "field", "left").withColumn("register", F.coalesce("register", F.lit(default)))
 
 
 #: Money, dates and thresholds in text. Fixed values.
@@ -64,7 +64,7 @@ def flag_numeric_cases(records: DataFrame, text: str = "state") -> DataFrame:
 def glossary_terms(df: DataFrame, glossary: DataFrame, text: str = "state", id_col: str = "id") -> DataFrame:
     """(id, en_term, n): glossary terms of one word and how often each occurs in a record."""
     tokens = df.select(id_col, F.explode(words(F.col(text))).alias("en_term"))
-    return tokens.join(F.broadcast(glossary.select("en_term")), "en_term").groupBy(id_col, "en_term").agg(F.count("*").alias("n"))
+    return tokens.join(glossary.select("en_term"), "en_term").groupBy(id_col, "en_term").agg(F.count("*").alias("n"))
 
 
 def split_by_source(df: DataFrame, seed: int = 0, key: str = "source_id") -> DataFrame:
@@ -86,29 +86,39 @@ def leak_exact(train: DataFrame, test: DataFrame, text: str = "state") -> DataFr
     return train.join(by_text.union(by_case).distinct(), "id", "left_semi")
 
 
-def shingles(df: DataFrame, id_col: str, text: str, n: int = 5, short: bool = False) -> DataFrame:
-    """(id, sh): the distinct word n-grams of each text as 60-bit hashes; texts under n words give none, or with `short` their whole word sequence, apart from all n-grams."""
-    w = words(F.col(text))
-    tokens = df.select(F.col(id_col).alias("id"), F.posexplode(w).alias("pos", "w"))
-    order = W.partitionBy("id").orderBy("pos")
-    gram = F.concat_ws(" ", "w", *[F.lead("w", k).over(order) for k in range(1, n)])
-    whole = tokens.select("id", gram.alias("g"), F.lead("w", n - 1).over(order).alias("last")).where("last is not null")
-    if short:
-        few = df.select(F.col(id_col).alias("id"), w.alias("w")).where(F.size("w").between(1, n - 1))
-        whole = whole.select("id", "g").unionByName(few.select("id", F.concat(F.lit(" "), F.concat_ws(" ", "w")).alias("g")))
-    return whole.select("id", F.conv(F.substring(F.md5("g"), 1, 15), 16, 10).cast("bigint").alias("sh")).distinct()
+def shingle_array(text: Column, n: int = 5) -> Column:
+    """The distinct word n-grams of a text as 60-bit hashes, made within the row; a text of fewer words has its whole word sequence as one, apart from all n-grams; none without a word."""
+    number = lambda g: F.conv(F.substring(F.md5(g), 1, 15), 16, 10).cast("bigint")
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
+    grams = lambda w: F.transform(starts(w), lambda k: number(F.array_join(F.slice(w, k, n), " ")))
+    few = lambda w: F.array(number(F.concat(F.lit(" "), F.array_join(w, " "))))
+    made = F.transform(F.array(words(text)), lambda w: F.when(F.size(w) >= n, grams(w)).when(F.size(w) > 0, few(w)).otherwise(F.array().cast("array<bigint>")))
+    return F.array_distinct(F.element_at(made, 1))
+
+
+def shingles(df: DataFrame, id_col: str, text: str, n: int = 5) -> DataFrame:
+    """(id, size, sh): a row for each distinct shingle of a text, with their number."""
+    d = df.select(F.col(id_col).alias("id"), shingle_array(F.col(text), n).alias("s"))
+    # the outer form, as the plain one infers a filter that makes all shingles a second time
+    return d.select("id", F.size("s").alias("size"), F.explode_outer("s").alias("sh")).where("sh is not null")
 
 
 def leak_near_dup(train: DataFrame, test: DataFrame, text: str = "state", n: int = 5, jaccard: float = 0.8, containment: float = 0.5, id_col: str = "id") -> DataFrame:
     """(test_id, train_id, shared, jaccard, containment): exact set similarities across the splits, one row per pair at or over a threshold.
 
-    Only pairs across the splits are joined, on shingle hashes; a frequent shingle is a skewed join key, which AQE splits.
-    Texts under n words pair where their whole word sequences are equal.
+    A pair at a threshold shares at least a part of the test text's shingles, so it shares one of the rarest of them, as
+    many as are left without that part and one more: only these are joined to find pairs, and what all texts have finds
+    none. Train shingles that no test text has are dropped first. Texts under n words pair where their whole word sequences are equal.
     """
-    a, b = shingles(train, id_col, text, n, short=True), shingles(test, id_col, text, n, short=True)
-    size = lambda s, name: s.groupBy("id").agg(F.count("*").alias(name))
-    pairs = b.select(F.col("id").alias("test_id"), "sh").join(a.select(F.col("id").alias("train_id"), "sh"), "sh").groupBy("test_id", "train_id").agg(F.count("*").alias("shared"))
-    pairs = pairs.join(size(a, "na").withColumnRenamed("id", "train_id"), "train_id").join(size(b, "nb").withColumnRenamed("id", "test_id"), "test_id")
+    a, b = shingles(train, id_col, text, n), shingles(test, id_col, text, n)
+    a = a.join(b.select("sh").distinct(), "sh", "left_semi").select(F.col("id").alias("train_id"), F.col("size").alias("na"), "sh")
+    times = a.groupBy("sh").agg(F.count("*").alias("times"))
+    rare = W.partitionBy("test_id").orderBy(F.coalesce("times", F.lit(0)), "sh")
+    b = b.select(F.col("id").alias("test_id"), F.col("size").alias("nb"), "sh")
+    least = F.ceil(F.lit(min(jaccard, containment)) * F.col("nb") - 1e-9)
+    first = b.join(times, "sh", "left").withColumn("k", F.row_number().over(rare)).where(F.col("k") <= F.col("nb") - least + 1)
+    found = first.join(a, "sh").select("test_id", "train_id").distinct()
+    pairs = found.join(b, "test_id").join(a, ["train_id", "sh"]).groupBy("test_id", "train_id").agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     pairs = pairs.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).withColumn("containment", F.col("shared") / F.col("nb"))
     return pairs.where((F.col("jaccard") >= jaccard) | (F.col("containment") >= containment)).select("test_id", "train_id", "shared", "jaccard", "containment")
 
@@ -124,12 +134,11 @@ def minhash_bands(df: DataFrame, id_col: str, text: str, n: int = 5, bands: int
 
 
 def leak_minhash(train: DataFrame, test: DataFrame, text: str = "state", n: int = 5, jaccard: float = 0.8, bands: int = 16, rows: int = 4, id_col: str = "id") -> DataFrame:
-    """(test_id, train_id, jaccard): pairs that share a MinHash band, verified by their exact shingle sets."""
+    """(test_id, train_id, jaccard): pairs that share a MinHash band, verified by their exact shingle sets, which are made for these pairs alone."""
     a, b = minhash_bands(train, id_col, text, n, bands, rows), minhash_bands(test, id_col, text, n, bands, rows)
     cand = b.withColumnRenamed("id", "test_id").join(a.withColumnRenamed("id", "train_id"), ["band", "key"]).select("test_id", "train_id").distinct()
-    sa = shingles(train, id_col, text, n).groupBy("id").agg(F.collect_set("sh").alias("sa"))
-    sb = shingles(test, id_col, text, n).groupBy("id").agg(F.collect_set("sh").alias("sb"))
-    found = cand.join(sa.withColumnRenamed("id", "train_id"), "train_id").join(sb.withColumnRenamed("id", "test_id"), "test_id")
+    sets = lambda df, ids, name: df.join(cand.select(F.col(ids).alias(id_col)).distinct(), id_col, "left_semi").select(F.col(id_col).alias(ids), shingle_array(F.col(text), n).alias(name))
+    found = cand.join(sets(train, "train_id", "sa"), "train_id").join(sets(test, "test_id", "sb"), "test_id")
     both = F.size(F.array_intersect("sa", "sb"))
     found = found.withColumn("jaccard", both / (F.size("sa") + F.size("sb") - both))
     return found.where(F.col("jaccard") >= jaccard).select("test_id", "train_id", "jaccard")

@@ -41,20 +41,20 @@ def length_ratio(pairs: DataFrame, low: float = 0.4, high: float = 2.5) -> DataF
 def looping(pairs: DataFrame, n: int = 3, share: float = 0.3, times: int = 4) -> DataFrame:
     """ok unless the commonest word n-gram of the target makes up at least `share` of them and occurs `times` times.
 
-    Counted within the row: a translation's words never leave their task.
+    Counted within the row, by 64-bit hashes of the n-grams: a translation's words never leave their task.
     """
     w = words(F.col("target_text"))
     d = pairs.select("source_id", "field", w.alias("w"))
-    gram = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda k: F.array_join(F.slice("w", k, n), " "))).otherwise(F.array().cast("array<string>"))
+    gram = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda k: F.xxhash64(F.slice("w", k, n)))).otherwise(F.array().cast("array<bigint>"))
     d = d.withColumn("g", F.array_sort(gram)).withColumn("total", F.size("g"))
-    run = F.aggregate("g", F.struct(F.lit("").alias("x"), F.lit(0).alias("n"), F.lit(0).alias("best")), lambda a, x: F.struct(x.alias("x"), F.when(x == a["x"], a["n"] + 1).otherwise(1).alias("n"), F.greatest(a["best"], F.when(x == a["x"], a["n"] + 1).otherwise(1)).alias("best")), lambda a: a["best"])
+    run = F.aggregate("g", F.struct(F.lit(0).cast("bigint").alias("x"), F.lit(0).alias("n"), F.lit(0).alias("best")), lambda a, x: F.struct(x.alias("x"), F.when(x == a["x"], a["n"] + 1).otherwise(1).alias("n"), F.greatest(a["best"], F.when(x == a["x"], a["n"] + 1).otherwise(1)).alias("best")), lambda a: a["best"])
     d = d.withColumn("top", run)
     return d.select("source_id", "field", F.col("total").cast("long").alias("total"), F.col("top").cast("long").alias("top"), (~((F.col("top") >= times) & (F.col("top") >= share * F.col("total")))).alias("ok"))
 
 
 def glossary_match(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     """(source_id, en_term, ok): each glossary term in a case's source, ok where every field that has it has its rendering in the target."""
-    terms = F.broadcast(glossary.select("en_term", "fa_term"))
+    terms = glossary.select("en_term", "fa_term")
     hit = pairs.select("source_id", F.explode(F.array_distinct(words(F.col("source_text")))).alias("en_term"), F.lower(F.coalesce("target_text", F.lit(""))).alias("t")).join(terms, "en_term")
     return hit.groupBy("source_id", "en_term").agg(F.bool_and(F.contains("t", F.lower("fa_term"))).alias("ok"))
 

@@ -80,12 +80,12 @@ def dataset_version_hash(df: DataFrame, columns: list[str]) -> DataFrame:
 def license_release_filter(records: DataFrame, policy: DataFrame, purpose: str) -> DataFrame:
     """Records whose licence allows the purpose (`train`, `test` or `release`); licences without a policy allow nothing."""
     allowed = policy.where(F.col(f"allow_{purpose}")).select("license")
-    return records.join(F.broadcast(allowed), "license", "left_semi")
+    return records.join(allowed, "license", "left_semi")
 
 
 def license_audit(records: DataFrame, policy: DataFrame) -> DataFrame:
     """(split, kind, n, bad): records of each restricted kind (NC, GPL, ND) in each split, bad where training isn't allowed."""
-    found = records.join(F.broadcast(policy.where("kind <> 'open'")), "license")
+    found = records.join(policy.where("kind <> 'open'"), "license")
     return found.groupBy("split", "kind").agg(F.count("*").alias("n"), F.sum(F.when((F.col("split") == "train") & ~F.col("allow_train"), 1).otherwise(0)).alias("bad"))
 
 

@@ -59,7 +59,7 @@ def temperature_fit(long: DataFrame, by: list[str], key: list[str] = QUESTION) -
 
 def temperature_apply(long: DataFrame, temperatures: DataFrame, by: list[str]) -> DataFrame:
     """p from scores rescaled by each group's temperature; groups without one keep 1."""
-    d = long.join(F.broadcast(temperatures.select(*by, "t")), by, "left").withColumn("t", F.coalesce("t", F.lit(1.0)))
+    d = long.join(temperatures.select(*by, "t"), by, "left").withColumn("t", F.coalesce("t", F.lit(1.0)))
     return softmax_options(d, temperature=F.col("t"))
 
 
@@ -73,12 +73,12 @@ def baseline_majority(train: DataFrame, test: DataFrame, task: str = "task") ->
     """test with pred, the label most frequent in train for its task; ties go to the first label in order."""
     n = train.groupBy(task, "label").agg(F.count("*").alias("n"))
     best = n.groupBy(task).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("pred"))
-    return test.join(F.broadcast(best), task, "left")
+    return test.join(best, task, "left")
 
 
 def two_step_choice(scenario: DataFrame, intent: DataFrame, of: DataFrame) -> DataFrame:
     """(run, id, option_id, p): the best intent by P(scenario) · P(intent), renormalised. of: (option_id of the intent, scenario)."""
-    d = intent.join(F.broadcast(of), "option_id").join(scenario.select("run", "id", F.col("option_id").alias("scenario"), F.col("p").alias("ps")), ["run", "id", "scenario"])
+    d = intent.join(of, "option_id").join(scenario.select("run", "id", F.col("option_id").alias("scenario"), F.col("p").alias("ps")), ["run", "id", "scenario"])
     d = d.withColumn("q", F.col("p") * F.col("ps")).groupBy("run", "id").agg(F.max_by("option_id", F.struct("q", -F.col("idx"))).alias("option_id"), (F.max("q") / F.sum("q")).alias("p"))
     return d
 

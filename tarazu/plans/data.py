@@ -22,10 +22,20 @@ from tarazu.streaming.resume import process_available
 
 def folder(d: Data, what: str) -> str:
     """A new folder that driver and executors share."""
-    base = d.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    base = d.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not d.spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def values(d: Data, columns: str, *rows: tuple) -> DataFrame:
+    """A small literal table; unlike one made of Python rows its size is known, so Spark can broadcast it."""
+    plain = lambda x: str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"'{x}'"
+    return d.spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(plain, r)) + ')' for r in rows)} t({columns})")
+
+
 def records(d: Data) -> DataFrame:
     f = d.fx_docs
     opts = R.option_array(*M.YES_NO)
@@ -44,7 +54,7 @@ _LICENSE = "['Apache-2.0', 'MIT', 'CC-BY-NC-SA-4.0', 'GPL-3.0', 'CC-BY-ND-4.0'][
 
 def policy(d: Data) -> DataFrame:
     rows = [("Apache-2.0", "open", True, True, True), ("MIT", "open", True, True, True), ("CC-BY-NC-SA-4.0", "NC", False, True, False), ("GPL-3.0", "GPL", True, True, False), ("CC-BY-ND-4.0", "ND", False, False, False)]
-    return d.spark.createDataFrame(rows, "license string, kind string, allow_train boolean, allow_test boolean, allow_release boolean")
+    return values(d, "license, kind, allow_train, allow_test, allow_release", *rows)
 
 
 def shown(df: DataFrame, *more: str) -> DataFrame:
@@ -206,7 +216,7 @@ def overlap_check(d: Data):
     FROM (SELECT page_id, 'url' AS field, url AS v FROM pages UNION ALL SELECT page_id, 'title', coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), '') FROM pages UNION ALL SELECT page_id, 'number', cast(page_id AS varchar) FROM pages))""")
 def field_rules(d: Data):
     p = d.pages.select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.col("page_id").alias("number"))
-    rules = d.spark.createDataFrame([("html", "keep")], "field string, action string")
+    rules = values(d, "field, action", ("html", "keep"))
     return P.field_rules(p, ["url", "title", "number"], rules, "page_id").drop("value")
 
 
@@ -220,7 +230,7 @@ _GLOSSARY = "(VALUES ('the', 'der'), ('and', 'und'), ('of', 'von')) g(en_term, f
 
 
 def glossary(d: Data) -> DataFrame:
-    return d.spark.createDataFrame([("the", "der"), ("and", "und"), ("of", "von")], "en_term string, fa_term string")
+    return values(d, "en_term, fa_term", ("the", "der"), ("and", "und"), ("of", "von"))
 
 
 @query(f"SELECT doc_id, w AS en_term, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS w FROM documents) WHERE w IN ('the', 'and', 'of') GROUP BY 1, 2")
@@ -230,7 +240,7 @@ def glossary_terms(d: Data):
 
 @query("SELECT conv_id, turn, role AS field, CASE WHEN role = 'user' THEN 'colloquial' ELSE 'formal' END AS register FROM conversations")
 def register_rule(d: Data):
-    rules = d.spark.createDataFrame([("user", "colloquial")], "field string, register string")
+    rules = values(d, "field, register", ("user", "colloquial"))
     return P.register_rule(d.conversations.select("conv_id", "turn", F.col("role").alias("field")), rules)
 
 
@@ -256,24 +266,26 @@ def _tokens(table: str, keys: str, text: str) -> str:
 
 def _shingles(table: str, key: str) -> str:
     gram = "concat_ws(' ', w, " + ", ".join(f"lead(w, {k}) OVER o" for k in range(1, 5)) + ")"
-    return f"SELECT DISTINCT {key} AS id, cast('0x' || substr(md5(g), 1, 15) AS bigint) AS sh FROM (SELECT {key}, {gram} AS g, lead(w, 4) OVER o AS z FROM ({_tokens(table, key, 'text')}) WINDOW o AS (PARTITION BY {key} ORDER BY i)) WHERE z IS NOT NULL"
+    every = f"SELECT {key}, CASE WHEN z IS NOT NULL THEN g WHEN i = 1 THEN concat(' ', g) END AS g FROM (SELECT {key}, i, {gram} AS g, lead(w, 4) OVER o AS z FROM ({_tokens(table, key, 'text')}) WINDOW o AS (PARTITION BY {key} ORDER BY i))"
+    return f"SELECT DISTINCT {key} AS id, cast('0x' || substr(md5(g), 1, 15) AS bigint) AS sh FROM ({every}) WHERE g IS NOT NULL"
 
 
 _SIM = f"""WITH a AS ({_shingles('documents', 'doc_id')}), b AS ({_shingles('benchmark', 'item_id')}), na AS (SELECT id, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT id, count(*) AS n FROM b GROUP BY 1),
     x AS (SELECT b.id AS test_id, a.id AS train_id, count(*) AS shared FROM a JOIN b ON a.sh = b.sh GROUP BY 1, 2), s AS (SELECT x.*, shared::DOUBLE / (na.n + nb.n - shared) AS jaccard, shared::DOUBLE / nb.n AS containment FROM x JOIN na ON x.train_id = na.id JOIN nb ON x.test_id = nb.id) """
 
 
+def leaks(d: Data) -> tuple[DataFrame, DataFrame]:
+    return d.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("state")), d.benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("state"))
+
+
 @query(_SIM + "SELECT test_id, train_id, shared, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment FROM s WHERE jaccard >= 0.8 OR containment >= 0.5")
 def leak_near_dup(d: Data):
-    train, test = d.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("state")), d.benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("state"))
-    return P.leak_near_dup(train, test).withColumn("jaccard", F.round("jaccard", 6)).withColumn("containment", F.round("containment", 6))
+    return P.leak_near_dup(*leaks(d)).withColumn("jaccard", F.round("jaccard", 6)).withColumn("containment", F.round("containment", 6))
 
 
-@query(f"""WITH a AS ({_shingles("(SELECT * FROM documents WHERE lang <> 'en')", 'doc_id')}), b AS ({_shingles("(SELECT * FROM documents WHERE lang = 'fr')", 'doc_id')}), na AS (SELECT id, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT id, count(*) AS n FROM b GROUP BY 1),
-    x AS (SELECT b.id AS test_id, a.id AS train_id, count(*) AS shared FROM a JOIN b ON a.sh = b.sh GROUP BY 1, 2) SELECT test_id, train_id, round(shared::DOUBLE / (na.n + nb.n - shared), 6) AS jaccard FROM x JOIN na ON x.train_id = na.id JOIN nb ON x.test_id = nb.id WHERE shared::DOUBLE / (na.n + nb.n - shared) >= 0.9""")
+@query(_SIM + "SELECT test_id, train_id, round(jaccard, 6) AS jaccard FROM s WHERE jaccard >= 0.8")
 def leak_minhash(d: Data):
-    docs = d.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("state"), "lang")
-    return P.leak_minhash(docs.where("lang <> 'en'"), docs.where("lang = 'fr'"), jaccard=0.9, bands=32, rows=4).withColumn("jaccard", F.round("jaccard", 6))
+    return P.leak_minhash(*leaks(d)).withColumn("jaccard", F.round("jaccard", 6))
 
 
 # generators: facts come from the tables' dates, amounts and times
@@ -284,19 +296,19 @@ _JDATE = f"SELECT cast(g AS date) AS g, jy, CASE WHEN n < 186 THEN n // 31 + 1 E
 _TEXT = "concat(jy, '/', lpad(cast(jm AS varchar), 2, '0'), '/', lpad(cast(jd AS varchar), 2, '0'))"
 
 
-@query(f"SELECT cast(o.o_orderkey AS bigint) AS o_orderkey, {_TEXT} AS jdate, j.jy, j.jm, j.jd, j.weekday FROM orders o JOIN ({_JDATE}) j ON cast(o.o_orderdate AS date) = j.g")
+@query(f"SELECT cast(o.o_orderkey AS bigint) AS o_orderkey, {_TEXT} AS jdate, j.jy, j.jm, j.jd, j.weekday FROM orders o LEFT JOIN ({_JDATE}) j ON cast(o.o_orderdate AS date) = j.g")
 def gen_jalali_dim(d: Data):
     dim = G.jalali_dim(d.spark)
-    return d.orders.select("o_orderkey", F.to_date("o_orderdate").alias("gdate")).join(F.broadcast(dim), "gdate").drop("gdate")
+    return d.orders.select("o_orderkey", F.to_date("o_orderdate").alias("gdate")).join(F.broadcast(dim), "gdate", "left").drop("gdate")
 
 
-@query(f"WITH j AS ({_JDATE}), s AS (SELECT l_orderkey, l_linenumber, cast(l_shipdate AS date) AS a, cast(o_orderdate AS date) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT l_orderkey, l_linenumber, concat('آیا ', x.jy, '/', lpad(cast(x.jm AS varchar), 2, '0'), '/', lpad(cast(x.jd AS varchar), 2, '0'), ' پیش از ', y.jy, '/', lpad(cast(y.jm AS varchar), 2, '0'), '/', lpad(cast(y.jd AS varchar), 2, '0'), ' است؟') AS question, CASE WHEN a < b THEN 'yes' ELSE 'no' END AS label FROM s JOIN j x ON s.a = x.g JOIN j y ON s.b = y.g")
+@query(f"WITH j AS ({_JDATE}), s AS (SELECT l_orderkey, l_linenumber, cast(l_shipdate AS date) AS a, cast(o_orderdate AS date) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT l_orderkey, l_linenumber, concat('آیا ', x.jy, '/', lpad(cast(x.jm AS varchar), 2, '0'), '/', lpad(cast(x.jd AS varchar), 2, '0'), ' پیش از ', y.jy, '/', lpad(cast(y.jm AS varchar), 2, '0'), '/', lpad(cast(y.jd AS varchar), 2, '0'), ' است؟') AS question, CASE WHEN a < b THEN 'yes' ELSE 'no' END AS label FROM s LEFT JOIN j x ON s.a = x.g LEFT JOIN j y ON s.b = y.g")
 def gen_jalali_compare(d: Data):
     pairs = d.lineitem.join(d.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("a"), F.to_date("o_orderdate").alias("b"))
     return G.compare_dates(pairs, "a", "b", G.jalali_dim(d.spark)).select("l_orderkey", "l_linenumber", "question", "label")
 
 
-@query(f"SELECT DISTINCT o_orderkey, {_TEXT} AS jdate, cast(weekday AS varchar) AS label FROM orders JOIN ({_JDATE}) ON cast(o_orderdate AS date) = g")
+@query(f"SELECT DISTINCT o_orderkey, {_TEXT} AS jdate, cast(weekday AS varchar) AS label FROM orders LEFT JOIN ({_JDATE}) ON cast(o_orderdate AS date) = g")
 def gen_jalali_weekday(d: Data):
     return G.weekday_items(d.orders.select("o_orderkey", F.to_date("o_orderdate").alias("g")), "g", G.jalali_dim(d.spark)).select("o_orderkey", "jdate", "label")
 
@@ -315,7 +327,7 @@ def gen_toman_rial(d: Data):
 
 @query("""SELECT id, day, m AS minute, CASE WHEN day < 6 AND m >= 540 AND m < 1020 OR day = 6 AND m >= 1200 OR day = 7 AND m < 120 THEN 'yes' ELSE 'no' END AS open FROM (SELECT event_id AS id, (dayofweek(ts) + 1) % 7 + 1 AS day, hour(ts) * 60 + minute(ts) AS m FROM events)""")
 def gen_business_hours(d: Data):
-    hours = d.spark.createDataFrame([*[(k, 540, 1020) for k in range(1, 6)], (6, 1200, 120)], "day int, from_min int, to_min int")
+    hours = values(d, "day, from_min, to_min", *[(k, 540, 1020) for k in range(1, 6)], (6, 1200, 120))
     return G.business_hours(d.events.select(F.col("event_id").alias("id"), "ts"), "ts", hours)
 
 
@@ -504,14 +516,14 @@ def conv_sentiment(d: Data):
 
 @query(r"SELECT doc_id AS id, regexp_replace(regexp_replace(regexp_replace(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+\.[a-zA-Z0-9_.]+', '<email>', 'g'), '\+[0-9][0-9 ().-]{6,}[0-9]', '<phone>', 'g'), '[0-9]{6,}', '<number>', 'g') AS text, 'de=German;en=English;es=Spanish;fr=French' AS opts FROM documents")
 def conv_transcript(d: Data):
-    desc = d.spark.createDataFrame([("en", "English"), ("de", "German"), ("es", "Spanish"), ("fr", "French")], "id string, text string")
+    desc = values(d, "id, text", ("en", "English"), ("de", "German"), ("es", "Spanish"), ("fr", "French"))
     return shown(M.conv_transcript(d.documents.select(F.col("doc_id").alias("id"), "text", "lang"), "text", "lang", desc), "text").drop("golds")
 
 
 _QA = "SELECT doc_id AS id, concat('q', cast(doc_id AS string)) AS question, text AS passage, substr(text, 20, 12) AS answer FROM documents"
 
 
-@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY H32(concat('0:', cast(id AS varchar))), id) - 1 AS r, count(*) OVER (PARTITION BY grp) AS n FROM (SELECT *, H32(concat('g:0:', cast(id AS varchar))) % 256 AS grp FROM ({_QA})))
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY H32(concat('0:', cast(id AS varchar))), id) - 1 AS r, count(*) OVER (PARTITION BY grp) AS n FROM (SELECT *, H32(concat('g:0:', cast(id AS varchar))) % greatest(1, (SELECT count(*) FROM documents) // 1024) AS grp FROM ({_QA})))
     SELECT a.id, a.question, b.id AS from_id, b.passage FROM r a JOIN r b ON a.grp = b.grp AND b.r = (a.r + 1) % a.n WHERE a.id <> b.id AND NOT contains(b.passage, a.answer)""")
 def neg_wrong_passage(d: Data):
     return M.neg_wrong_passage(d.sql(_QA))
@@ -523,7 +535,7 @@ def truncate_keep_answer(d: Data):
     return q.select("id", M.truncate_keep_answer(F.col("passage"), F.col("answer"), 200).alias("passage"))
 
 
-@query(f"WITH t AS (SELECT task, list(template_id ORDER BY template_id) AS l FROM ({_HOLD}) WHERE NOT held_out GROUP BY 1) SELECT event_id AS id, l[1 + H32(concat('0:', cast(event_id AS varchar))) % len(l)] AS template_id FROM events JOIN t ON event_type = task")
+@query(f"WITH t AS (SELECT task, list(template_id ORDER BY template_id) AS l FROM ({_HOLD}) WHERE NOT held_out GROUP BY 1) SELECT event_id AS id, l[1 + H32(concat('0:', cast(event_id AS varchar))) % len(l)] AS template_id FROM events LEFT JOIN t ON event_type = task")
 def template_assign(d: Data):
     return M.template_assign(d.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("task")), M.template_holdout(d.fx_templates)).select("id", "template_id")
 
@@ -613,7 +625,7 @@ def fmt_decoder(d: Data):
     return M.fmt_decoder(records(d))
 
 
-@query(r"""WITH g AS (SELECT *, lower(n_name) AS w FROM nation), r AS (SELECT *, H32(concat('g:0:', cast(p_partkey AS varchar))) % 256 AS grp FROM part),
+@query(r"""WITH g AS (SELECT *, lower(n_name) AS w FROM nation), r AS (SELECT *, H32(concat('g:0:', cast(p_partkey AS varchar))) % greatest(1, (SELECT count(*) FROM part) // 1024) AS grp FROM part),
     x AS (SELECT p_partkey, p_brand, p_type, coalesce(lead(p_brand) OVER o, first_value(p_brand) OVER o) AS t FROM r WINDOW o AS (PARTITION BY grp ORDER BY H32(concat('0:', cast(p_partkey AS varchar))), p_partkey))
     SELECT p_partkey AS id, concat('0=', p_brand, ';1=', p_type, CASE WHEN t IN (p_brand, p_type) THEN '' ELSE concat(';distractor=', t) END) AS opts, concat('1.0;0.0', CASE WHEN t IN (p_brand, p_type) THEN '' ELSE ';0.0' END) AS golds FROM x""")
 def pert_distractor(d: Data):

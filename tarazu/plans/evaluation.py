@@ -62,9 +62,9 @@ def flagship_calibration(d: Data):
     return S.m_accuracy(top, ["run", "lang"]).join(S.m_log_loss(p, ["run", "lang"]), ["run", "lang"])
 
 
-@query("SELECT id, idx, cast(0.5 AS double) AS p, H32(concat('0:', id)) % 2 = idx AS pick FROM fx_long WHERE run = 0")
+@query("SELECT run, id, idx, cast(0.5 AS double) AS p, H32(concat('0:', cast(run AS varchar), ':', id)) % 2 = idx AS pick FROM fx_long")
 def baseline_random(d: Data):
-    return S.baseline_random(d.fx_long.where("run = 0")).select("id", "idx", "p", "pick")
+    return S.baseline_random(d.fx_long, key=["run", "id"]).select("run", "id", "idx", "p", "pick")
 
 
 @query("""SELECT f.id, f.label, b.label AS pred FROM fx_docs f JOIN (SELECT task, label FROM (SELECT task, label, row_number() OVER (PARTITION BY task ORDER BY count(*) DESC, label) AS r FROM fx_docs WHERE split = 'train' GROUP BY task, label) WHERE r = 1) b ON f.task = b.task WHERE f.split = 'test'""")
@@ -252,36 +252,39 @@ def align_items(d: Data):
     return C.align_items(top.where("not (run = 1 and doc_id % 7 = 0)")).select("run", "id", "correct")
 
 
-_W = "CASE " + " ".join(f"WHEN u < {c} THEN {k}" for k, c in enumerate(C.POISSON)) + f" ELSE {len(C.POISSON)} END"
-
-
-def _boot(items: str, by: str) -> str:
-    return f"""SELECT {by}, avg(v) AS mean, sum(w * v) / sum(w) AS m FROM (SELECT {by}, v, {_W} AS w FROM (SELECT *, H32(concat(cast(r AS varchar), ':', cast(id AS varchar))) / 4294967296.0::DOUBLE AS u FROM ({items}) CROSS JOIN (SELECT unnest(range(1, 201)) AS r)), r) GROUP BY {by}, r"""
+_W = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(C.POISSON)) + f" ELSE {len(C.POISSON)} END"
+#: Intervals by case: a document's decisions have one weight. Each MD5 gives C.LANES replicates.
+_U = f"cast('0x' || substr(md5(concat(cast((r - 1) // {C.LANES} AS varchar), ':', cast(doc_id AS varchar))), 1 + 8 * ((r - 1) % {C.LANES}), 8) AS bigint) / 4294967296.0::DOUBLE"
+_WEIGHTS = f"SELECT doc_id, r, {_W} AS w FROM (SELECT doc_id, r, {_U} AS u FROM (SELECT DISTINCT doc_id FROM fx_top) CROSS JOIN (SELECT unnest(range(1, 1001))::BIGINT AS r))"
+_CI = "SELECT {by}, (SELECT round(avg(i.v), 6) FROM ({items}) i WHERE {same}) AS {name}, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM (SELECT {by}, r, sum(w * v) / nullif(sum(w), 0) AS m FROM ({items}) JOIN (" + _WEIGHTS + ") USING (doc_id) GROUP BY {by}, r) z GROUP BY {by}"
+_PAIRS = "SELECT x.run AS a, y.run AS b, x.doc_id, cast(y.correct AS int)::DOUBLE - cast(x.correct AS int) AS v FROM fx_top x JOIN fx_top y ON x.id = y.id AND x.run < y.run"
+_VERDICT = "SELECT *, CASE WHEN low > 0 THEN 'win' WHEN high < 0 THEN 'loss' ELSE 'tie' END AS verdict FROM ({})"
+_DIFF = _VERDICT.format(_CI.format(by="a, b", name="diff", items=_PAIRS, same="i.a = z.a AND i.b = z.b"))
 
 
-_CI = "SELECT {by}, round(max(mean), 6) AS {name}, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM (SELECT {by}, r, avg(v) AS mean, sum(w * v) / sum(w) AS m FROM (SELECT *, " + _W + " AS w FROM (SELECT *, H32(concat(cast(r AS varchar), ':', cast(id AS varchar))) / 4294967296.0::DOUBLE AS u FROM ({items}) CROSS JOIN (SELECT unnest(range(1, 201)) AS r))) GROUP BY {by}, r) GROUP BY {by}"
-_PAIRS = "SELECT x.run AS a, y.run AS b, x.id, cast(y.correct AS int)::DOUBLE - cast(x.correct AS int) AS v FROM fx_top x JOIN fx_top y ON x.id = y.id AND x.run < y.run"
-_VERDICT = "SELECT *, CASE WHEN low > 0 THEN 'win' WHEN high < 0 THEN 'loss' ELSE 'tie' END AS verdict FROM ({})"
+def hits(d: Data):
+    return S.top1(d.fx_p, ["run", "id", "doc_id"]).withColumn("hit", F.col("correct").cast("int"))
 
 
-@query(_CI.format(by="run", name="mean", items="SELECT run, id, cast(correct AS int)::DOUBLE AS v FROM fx_top"))
+@query(_CI.format(by="run", name="mean", items="SELECT run, doc_id, cast(correct AS int)::DOUBLE AS v FROM fx_top", same="i.run = z.run"))
 def boot_ci(d: Data):
-    return C.boot_ci(S.top1(d.fx_p).withColumn("hit", F.col("correct").cast("int")), ["run"], "hit", 200)
+    return C.boot_ci(hits(d), ["run"], "hit", unit="doc_id")
 
 
-@query(_VERDICT.format(_CI.format(by="a, b", name="diff", items=_PAIRS + " AND x.run = 0 AND y.run = 3")))
+@query(f"SELECT * FROM ({_DIFF}) WHERE a = 0")
 def boot_paired(d: Data):
-    return C.boot_paired(S.top1(d.fx_p.where("run in (0, 3)")).withColumn("hit", F.col("correct").cast("int")), "hit", 200)
+    """Each run against the first."""
+    return C.boot_paired(hits(d), "hit", unit="doc_id").where("a = 0")
 
 
-@query(_VERDICT.format(_CI.format(by="a, b", name="diff", items=_PAIRS)))
+@query(_DIFF)
 def compare_all(d: Data):
-    return C.boot_paired(S.top1(d.fx_p).withColumn("hit", F.col("correct").cast("int")), "hit", 200)
+    return C.boot_paired(hits(d), "hit", unit="doc_id")
 
 
-@query(_VERDICT.format(_CI.format(by="a, b", name="diff", items=_PAIRS + " AND x.run = 2 AND y.run = 3")))
+@query(f"SELECT * FROM ({_DIFF}) WHERE a = 2 AND b = 3")
 def compare_ablation(d: Data):
-    return C.boot_paired(S.top1(d.fx_p.where("run >= 2")).withColumn("hit", F.col("correct").cast("int")), "hit", 200)
+    return C.boot_paired(hits(d), "hit", unit="doc_id").where("a = 2 and b = 3")
 
 
 @query("""SELECT run, task, 'brier' AS metric, round(avg(v), 6) AS before, round(avg(w), 6) AS after FROM (SELECT run, task, id, sum((p - g) * (p - g)) AS v, sum((q - g) * (q - g)) AS w FROM (SELECT *, exp(score / 2) / sum(exp(score / 2)) OVER (PARTITION BY run, id) AS q FROM fx_p) GROUP BY ALL) GROUP BY run, task""")

@@ -158,3 +158,130 @@ def test_short_texts_leak_as_a_whole(spark):
     train = spark.createDataFrame([(1, "yes"), (2, "to be sure"), (3, "to be sure now and then"), (4, ""), (5, None)], "id long, state string")
     test = spark.createDataFrame([(7, "yes"), (8, "to  be sure"), (9, "no"), (10, ""), (11, None)], "id long, state string")
     assert sorted(tuple(r) for r in prep.leak_near_dup(train, test).collect()) == [(7, 1, 1, 1.0, 1.0), (8, 2, 1, 1.0, 1.0)]
+
+
+def slow_shingles(text, n=5):
+    import re
+
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({("",) + tuple(w)} if w else set())
+
+
+def near_copies(spark, n=100):
+    """Texts and copies of them with more and more words replaced, some of them with a common passage."""
+    import random
+
+    rng, train, test = random.Random(3), [], []
+    common = " ".join(f"common{k}" for k in range(30))
+    for k in range(n):
+        w = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(3, 120))]
+        train.append((k, " ".join(w) + (" " + common if k % 3 == 0 else "")))
+        for j in range(rng.randrange(0, 12) if k % 2 else rng.randrange(0, 3)):
+            w[rng.randrange(len(w))] = f"new{j}"
+        test.append((k, " ".join(w) + (" " + common if k % 3 == 0 else "")))
+    return (spark.createDataFrame([*x, (900, None), (901, ""), (902, common)], "id long, state string") for x in (train, test))
+
+
+def test_near_copies_leak_as_all_pairs_say(spark):
+    from tarazu.operators import prep
+
+    train, test = near_copies(spark)
+    want = {}
+    for b in test.collect():
+        for a in train.collect():
+            x, y = slow_shingles(a.state), slow_shingles(b.state)
+            both = len(x & y)
+            if both and (both / len(x | y) >= 0.8 or both / len(y) >= 0.5):
+                want[b.id, a.id] = (both, both / len(x | y), both / len(y))
+    got = {(r.test_id, r.train_id): (r.shared, r.jaccard, r.containment) for r in prep.leak_near_dup(train, test).collect()}
+    assert len(want) > 60 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    exact = {k for k, v in want.items() if v[1] >= 0.8}
+    found = {(r.test_id, r.train_id) for r in prep.leak_minhash(train, test).collect()}
+    assert found <= exact and len(found) >= 0.97 * len(exact) > 20  # 16 bands of 4 rows: 0.9998 at a similarity of 0.8
+
+
+def test_null_sources_stay(spark):
+    d = spark.range(100).select("id", F.when(F.col("id") % 5 > 0, F.concat(F.lit("s"), F.col("id") % 5)).alias("source"))
+    assert M.mix_cap_share(d).count() == 100 and M.mix_cap_share(d).columns == d.columns
+    up = M.mix_upsample(d, 60)
+    assert up.count() == 5 * 60 and up.where("source is null").count() == 60
+
+
+def test_dates_outside_the_calendar_stay(spark):
+    import datetime
+
+    day = lambda y: datetime.date(y, 5, 5)
+    d = spark.createDataFrame([(1, day(1800), day(2024)), (2, day(2023), day(2024))], "id int, a date, b date")
+    got = {r.id: (r.question, r.label) for r in G.compare_dates(d, "a", "b", G.jalali_dim(spark)).collect()}
+    assert got[1] == (None, "yes") and got[2][0].startswith("آیا 1402/02/15") and got[2][1] == "yes"
+    assert {r.id: r.jdate for r in G.weekday_items(d.drop("b"), "a", G.jalali_dim(spark)).collect()} == {1: None, 2: "1402/02/15"}
+
+
+def test_every_question_gets_another_passage(spark):
+    q = spark.range(500).select("id", F.concat(F.lit("q"), "id").alias("question"), F.concat(F.lit("p"), "id").alias("passage"), F.lit("none").alias("answer"))
+    rows = M.neg_wrong_passage(q, group_rows=50).collect()
+    assert len({r.id for r in rows}) == len(rows) > 480 and all(r.passage == f"p{r.from_id}" and r.from_id != r.id for r in rows)
+
+
+def slow_weights(unit, replicates):
+    import hashlib
+
+    for r in range(replicates):
+        u = int(hashlib.md5(f"{r // C.LANES}:{unit}".encode()).hexdigest()[8 * (r % C.LANES) : 8 * (r % C.LANES) + 8], 16) / 2**32
+        yield sum(u >= cut for cut in C.POISSON)
+
+
+def test_intervals_by_case_against_brute_force(spark):
+    """Mean, calibration error and language gap, each case (three decisions) with one weight."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [(run, f"{case}-{k}", case, rng.choice(["en", "fr"]), rng.random() < 0.6 + run / 10, round(rng.uniform(0.5, 1), 3)) for run in (0, 1) for case in range(40) for k in range(3)]
+    top = spark.createDataFrame(rows, "run int, id string, case_id int, lang string, correct boolean, conf double").withColumn("hit", F.col("correct").cast("int"))
+    w = {case: np.array(list(slow_weights(case, 101)), float) for case in range(40)}
+    assert 0.9 < np.mean(list(w.values())) < 1.1
+
+    def check(got, name, stat):
+        for run in (0, 1):
+            mine = [r for r in rows if r[0] == run]
+            many, one = stat(mine, lambda r: w[r[2]]), stat(mine, lambda r: np.ones(1))[0]
+            r = next(x for x in got if x["run"] == run)
+            assert (r[name], r["low"], r["high"]) == pytest.approx((one, np.quantile(many, 0.025), np.quantile(many, 0.975)), abs=2e-6)
+
+    mean = lambda some, of: sum(of(r) * r[4] for r in some) / sum(of(r) for r in some)
+    check(C.boot_ci(top, ["run"], "hit", 101, "case_id").collect(), "mean", mean)
+    ece = lambda some, of: sum(abs(sum((of(r) * (r[4] - r[5]) for r in some if min(int(r[5] * 10), 9) == b), np.zeros(1))) for b in range(10)) / sum(of(r) for r in some)
+    check(C.boot_ece(top, ["run"], 101, "case_id").collect(), "ece", ece)
+    gap = lambda some, of: mean([r for r in some if r[3] == "en"], of) - mean([r for r in some if r[3] == "fr"], of)
+    check(C.boot_gap(top, ["run"], F.col("lang") == "en", F.col("lang") == "fr", 101, "case_id").collect(), "gap", gap)
+
+
+@pytest.mark.parametrize("kind", ["order", "rename", "distractor", "digits"])
+def test_perturbations_keep_the_answer_of_a_steady_reader(spark, kind):
+    """Records perturbed, scored by their option texts and mapped back to the options they were: no answer flips; a reader of option places does flip."""
+    r = recs(spark, 120).withColumn("state", F.concat(F.lit("year 19"), "id"))
+    p = {"order": lambda: M.opt_shuffle(r), "rename": lambda: M.opt_rename(r), "distractor": lambda: C.pert_distractor(r), "digits": lambda: C.pert_digits(r, "state")}[kind]()
+    was = r.select(F.lit(0).alias("run"), "id", F.explode("options").alias("o")).select("run", "id", F.col("o.id").alias("was"), F.col("o.text").alias("option_text"))
+
+    def answers(df, score):
+        long = R.explode_options(df).withColumn("run", F.lit(0)).withColumn("p", score).join(was, ["run", "id", "option_text"], "left")
+        best = S.top1(long.withColumn("option_id", F.coalesce("was", "option_id")))
+        return best.select("run", "id", "pred", F.lit(kind).alias("kind"))
+
+    steady, by_place = F.ascii("option_text") * -1.0, F.col("idx") * -1.0
+    assert C.robust_flip(answers(r, steady), answers(p, steady), ["kind"]).first().flips == 0
+    flips = C.robust_flip(answers(r, by_place), answers(p, by_place), ["kind"]).first().flips
+    assert (flips > 0.4) == (kind == "order")
+
+
+def test_token_lengths_by_a_function(spark):
+    import pandas as pd
+
+    @F.pandas_udf("int")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").str.len()
+
+    d = spark.createDataFrame([("a", "abc"), ("a", "abcde"), ("b", None)], "source string, text string")
+    assert {(r.source, r.n, r.p50, r.longest) for r in M.len_profile(d, "text", ["source"], pieces).collect()} == {("a", 2, 4.0, 5), ("b", 1, 0.0, 0)}
