@@ -331,7 +331,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = near.select(F.col("a").alias("uid")).union(near.select("b")).distinct().join(classes, "uid").select("uid", F.col("h").alias("of"))
     members, _ = materialise(members, "members")
     hashed = may_match(docs.select(F.md5(text).alias("h"), F.col(text_col).alias("text")), F.xxhash64("h"), members.select(F.xxhash64("of")))
-    sets = hashed.where("__may").join(members, F.col("h") == F.col("of")).dropDuplicates(["h"])  # dealt as the join is
+    texts = hashed.where("__may").groupBy("h").agg(F.first("text").alias("text"))  # before the shuffle a task keeps one of its copies
+    sets = texts.join(members, F.col("h") == F.col("of"))
     sets, _ = materialise(sets.select("uid", sets_udf(width)(F.col("text").cast("binary")).alias("s")), "sets")
     pairs = near.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("s").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
