@@ -69,6 +69,32 @@ def _chat() -> str:
     sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256, sum({marks} + {escaped.format('role')} + {escaped.format('t')})::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
 
 
+def _merkle() -> str:
+    field = "coalesce(concat(strlen({0}::VARCHAR), ':', {0}::VARCHAR), '-')"
+    leaf = lambda text: "sha256(concat(" + ", ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+    step = "list_reduce(list_concat([xor(c, b)], [0::BIGINT for i in range(8)]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], [ascii(x)::BIGINT for x in string_split(coalesce(doc_id::VARCHAR, ''), '') if x <> '']), lambda c, b: {step}), 4294967295)"
+    tampered = "CASE WHEN even THEN replace(text, chr(10), '') ELSE text END"
+    # one tree a source, then one over their roots; h is a node, p its place, n the nodes of its level
+    up = """SELECT tree, level + 1 AS level, p // 3 AS p, (any_value(n) + 2) // 3 AS n, sha256(string_agg(h, '' ORDER BY p)) AS h FROM {0} WHERE n > 1 GROUP BY tree, level, p // 3"""
+    climb = lambda nodes, walk: f"""SELECT w.r, w.tree, w.level + 1 AS level, w.p // 3 AS p, (w.n + 2) // 3 AS n, concat(w.proof, s.l, s.q) AS proof, sha256(concat(s.l, w.f, s.q)) AS f
+        FROM {walk} w JOIN {nodes} s ON s.tree = w.tree AND s.level = w.level AND s.p = w.p WHERE w.n > 1"""
+    around = "SELECT *, coalesce(string_agg(h, '') OVER (PARTITION BY tree, level, p // 3 ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (PARTITION BY tree, level, p // 3 ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS q FROM {0}"
+    return f"""WITH RECURSIVE e AS (SELECT *, ({crc}) % 2 = 0 AS even FROM documents),
+    d AS (SELECT doc_id, {leaf("text")} AS leaf, {leaf("tampered")} AS f, coalesce('=' || source, '-') AS tree FROM (SELECT *, {tampered} AS tampered FROM e)),
+    k AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY tree) AS n FROM d),
+    t AS (SELECT tree, 0::BIGINT AS level, p, n, leaf AS h FROM k UNION ALL {up.format("t")}),
+    ts AS ({around.format("t")}),
+    w AS (SELECT r, tree, 0::BIGINT AS level, p, n, '' AS proof, f FROM k UNION ALL {climb("ts", "w")}),
+    s AS (SELECT tree, h FROM t WHERE n = 1),
+    sk AS (SELECT '' AS tree, tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS p, count(*) OVER () AS n FROM s),
+    u AS (SELECT tree, 0::BIGINT AS level, p, n, h FROM sk UNION ALL {up.format("u")}),
+    us AS ({around.format("u")}),
+    v AS (SELECT w.r, '' AS tree, 0::BIGINT AS level, sk.p, sk.n, w.proof, w.f FROM w JOIN sk ON w.tree = sk.name WHERE w.n = 1 UNION ALL {climb("us", "v")})
+    SELECT k.doc_id, k.leaf, s.h AS subroot, u.h AS root, sha256(v.proof) AS proof_sha256, v.f AS folded_root, v.f = u.h AS verified
+    FROM k JOIN s ON k.tree = s.tree JOIN v ON k.r = v.r AND v.n = 1 JOIN u ON u.n = 1"""
+
+
 ORACLES: dict[str, str] = {
     "op2_curriculum_mix": _mix(),
     "op5_repetition_coverage": _repetition(),
@@ -76,4 +102,5 @@ ORACLES: dict[str, str] = {
         FROM (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)""",
     "op8_line_dedup": _LINES,
     "op10_chat_format": _chat(),
+    "op13_merkle_manifest": _merkle(),
 }
