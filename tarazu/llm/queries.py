@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarazu.llm import chat, itq, langid, linededup, merkle, mixing, packing, pii, repetition, simhash, warc
+from tarazu.llm import alignment, chat, itq, langid, linededup, merkle, mixing, packing, pii, repetition, simhash, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,6 +68,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
+def op11_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
+def op12_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "passages")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 2 == 0
     out = merkle.manifest(_read(spark, sf_dir, "documents"), F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text")))
@@ -76,4 +87,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_curriculum_mix, op3_language_id, op4_first_fit_packing, op5_repetition_coverage, op6_warc_bundles, op7_itq_near_dups, op8_line_dedup, op9_simhash_bktree, op10_chat_format, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_curriculum_mix, op3_language_id, op4_first_fit_packing, op5_repetition_coverage, op6_warc_bundles, op7_itq_near_dups, op8_line_dedup, op9_simhash_bktree, op10_chat_format, op11_pair_bitmaps, op12_toxic_segments, op13_merkle_manifest)}
