@@ -7,6 +7,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,42 +46,66 @@ class Aligner:
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("this vocabulary has pieces with a space after other characters; texts can't be cut at spaces")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.known: dict[str, tuple] = {}
+        self.known: dict[str, tuple | None] = {}
 
     def _of(self, chunk: str, ids_a: list[int], ids_b: list[int]) -> tuple | None:
-        """(number of a tokens, of b tokens, groups as text, number of groups, pairs of the links); None where bytes are lost.
+        """(number of a tokens, of b tokens, of groups, groups as text, pairs of the links); None where bytes are lost.
 
         One walk over both: the current tokens overlap, and the one that ends first makes way for its next.
         """
         a, b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if not b"".join(a) == b"".join(b) == (" " + chunk).encode():
+        if not b"".join(a) == b"".join(b) == f" {chunk}".encode():
             return None
-        groups, pairs, i, j, from_a, from_b, ahead = [], [], 0, 0, 0, 0, 0
-        while i < len(a):
-            pairs.append(ids_a[i] << SHIFT | ids_b[j])
-            gap = ahead + len(a[i]) - len(b[j])  # how far a's token ends behind b's
-            if gap == 0:
-                groups.append(",".join(map(str, ids_a[from_a : i + 1])) + "|" + ",".join(map(str, ids_b[from_b : j + 1])))
-                i, j, ahead = i + 1, j + 1, 0
-                from_a, from_b = i, j
-            elif gap < 0:
-                ahead, i = ahead + len(a[i]), i + 1
-            else:
-                ahead, j = ahead - len(b[j]), j + 1
-        return len(a), len(b), ";".join(groups).encode(), len(groups), pairs
+        a, b = list(map(len, a)), list(map(len, b))
+        if a == b:
+            return len(a), len(b), len(a), ";".join([f"{x}|{y}" for x, y in zip(ids_a, ids_b)]).encode(), np.array([x << SHIFT | y for x, y in zip(ids_a, ids_b)])
+        pairs, said, j, n = [], [], 0, 1
+        id_b, left_b = ids_b[0], b[0]
+        text_a, text_b = "", str(id_b)
+        for id_a, left in zip(ids_a, a):
+            text_a += f",{id_a}" if text_a else str(id_a)
+            while True:
+                pairs.append(id_a << SHIFT | id_b)
+                if left < left_b:  # this token ends first
+                    left_b -= left
+                    break
+                left -= left_b
+                j += 1
+                if j == len(b):
+                    break
+                id_b, left_b = ids_b[j], b[j]
+                if not left:
+                    said.append(f"{text_a}|{text_b}")
+                    text_a, text_b, n = "", str(id_b), n + 1
+                    break
+                text_b += f",{id_b}"
+        said.append(f"{text_a}|{text_b}")
+        return len(a), len(b), n, ";".join(said).encode(), np.array(pairs)
 
     def chunks(self, texts: list[str]) -> list[list[tuple | None]]:
         """For each text what _of() says of its chunks in order; new chunks of all texts are encoded together."""
         cut = [CUT.split(t) if t else [] for t in texts]
-        new = list(dict.fromkeys(c for chunk in cut for c in chunk if c not in self.known))
-        found = dict(zip(new, map(self._of, new, (e.ids for e in self.a.encode_batch([" " + c for c in new], add_special_tokens=False)), self.b.encode(new, num_threads=1)))) if new else {}
-        out = [[found[c] if c in found else self.known[c] for c in chunk] for chunk in cut]
-        if len(self.known) > REMEMBERED:
+        known = self.known
+        new = list(dict.fromkeys(c for chunk in cut for c in chunk if c not in known))
+        if new:
+            a = self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
+            known.update(zip(new, map(self._of, new, (e.ids for e in a), self.b.encode(new, num_threads=1))))
+        out = [list(map(known.__getitem__, chunk)) for chunk in cut]
+        if len(known) > REMEMBERED:
             self.known = {}
-        self.known.update((c, x) for c, x in found.items() if len(c) <= LONGEST)
+        else:
+            for c in new:
+                if len(c) > LONGEST:
+                    del known[c]
         return out
 
 
+@lru_cache(maxsize=2)
+def aligner(path_a: str, path_b: str) -> Aligner:
+    """One for a worker, over its tasks."""
+    return Aligner(path_a, path_b)
+
+
 def planes(keys: np.ndarray, docs: np.ndarray, times: np.ndarray, size: int) -> dict:
     """Compressed bitmaps of a block's entries (pair, document in the block, multiplicity): for each pair and each bit of its multiplicities the documents that have the bit.
 
@@ -142,11 +167,12 @@ class Block:
     def add(self, doc: int, chunks: list[tuple | None]) -> None:
         row = {"block": self.name, "kind": "doc", "of": doc, "rows": len(self.rows), "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups": ""}
         if chunks and None not in chunks:
-            sha = hashlib.sha256()
-            for k, c in enumerate(chunks):
-                sha.update(b";" + c[2] if k else c[2])
-            pairs, times = np.unique(np.fromiter((p for c in chunks for p in c[4]), np.int64), return_counts=True)
-            row |= {"n_a": sum(c[0] for c in chunks), "n_b": sum(c[1] for c in chunks), "n_groups": sum(c[3] for c in chunks), "n_links": int(times.sum()), "groups": sha.hexdigest()}
+            n_a, n_b, n_groups, said, links = zip(*chunks)
+            sha = hashlib.sha256(said[0])
+            for k in range(1, len(said), 4096):
+                sha.update(b";" + b";".join(said[k : k + 4096]))
+            pairs, times = np.unique(np.concatenate(links), return_counts=True)
+            row |= {"n_a": sum(n_a), "n_b": sum(n_b), "n_groups": sum(n_groups), "n_links": int(times.sum()), "groups": sha.hexdigest()}
             self.parts.append((pairs, np.full(len(pairs), len(self.rows)), times))
             self.entries += len(pairs)
         self.rows.append(row)
@@ -168,12 +194,12 @@ def gather(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Blocks of docs (of, text) in the shared folder: a row for each document (kind doc) and one for each block's bitmaps (kind pairs)."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, task, k = Aligner(path_a, path_b), TaskContext.get().partitionId(), 0
+        both, task, k = aligner(path_a, path_b), TaskContext.get().partitionId(), 0
         block = Block(f"{task}-0")
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                for doc, chunks in zip(part.column("of").to_pylist(), aligner.chunks(part.column("text").to_pylist())):
+                for doc, chunks in zip(part.column("of").to_pylist(), both.chunks(part.column("text").to_pylist())):
                     block.add(doc, chunks)
                     if block.full:
                         yield block.batch()

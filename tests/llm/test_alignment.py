@@ -110,7 +110,7 @@ def test_cut_texts_have_the_tokens_of_whole_ones(vocabularies):
     for _ in range(1500):
         t = "".join(rng.choice(alphabet, int(rng.integers(1, 40))))
         chunks = aligner.chunks([t])[0]
-        groups = b";".join(c[2] for c in chunks).decode().split(";")
+        groups = b";".join(c[3] for c in chunks).decode().split(";")
         assert [int(i) for g in groups for i in g.split("|")[0].split(",")] == encode_a(t), repr(t)
         assert [int(i) for g in groups for i in g.split("|")[1].split(",")] == encode_b(t), repr(t)
 
