@@ -20,15 +20,18 @@ from tarazu.llm.packing import byte_letters
 
 #: Entries (pair and document) that a block of documents gathers before it ends, and documents of a block at most (16 bits).
 ENTRIES, BLOCK = 1_000_000, 1 << 16
-#: Chunks whose alignment a Python worker remembers, none of over LONGEST characters; at this number it forgets all.
-REMEMBERED, LONGEST = 100_000, 200
-#: A space with other characters around it: neither vocabulary has a token across it, so texts are cut there.
-CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Chunks whose alignment a Python worker remembers, none of over LONGEST characters; past this number it forgets those not met lately.
+REMEMBERED, LONGEST = 250_000, 200
 SHIFT = 32
 
 
 class Aligner:
-    """Tokens of both vocabularies of a text's chunks, each chunk with the space before it, and how their byte ranges overlap."""
+    """Tokens of both vocabularies of a text's chunks, and how their byte ranges overlap.
+
+    A text, with its space before it, is cut before a lone space or line end, and between a letter and a mark: the first
+    vocabulary splits there before it looks for tokens, the second has no piece across (merges make pieces only), so
+    a chunk's tokens are those of the whole text.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -43,10 +46,14 @@ class Aligner:
         self.bytes_a = {i: bytes(letters[c] for c in w) for w, i in vocabulary.items() if all(c in letters for c in w)}
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any("▁" in p.lstrip("▁") for p in pieces):
-            raise ValueError("this vocabulary has pieces with a space after other characters; texts can't be cut at spaces")
+        if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces) or [self.b.id_to_piece(i) for i in self.b.encode("\na")[:2]] != ["▁", "<0x0A>"]:
+            raise ValueError("this vocabulary has pieces with a space or line end after other characters; texts can't be cut there")
+        joined = {p[k + 1] for p in pieces for k in range(len(p) - 1) if p[k].isalnum()}
+        marks = "".join(c for c in ".,;:!?|$%&*#\"()[]{}<>/=+~" if c not in joined)
+        self.cut = re.compile(r"(?<=\S)(?=[ \n]\S)" + (rf"|(?<=[^\W\d_])(?=[{re.escape(marks)}])" if marks else ""))
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.known: dict[str, tuple | None] = {}
+        self.before: dict[str, tuple | None] = {}
 
     def _of(self, chunk: str, ids_a: list[int], ids_b: list[int]) -> tuple | None:
         """(number of a tokens, of b tokens, of groups, groups as text, pairs of the links); None where bytes are lost.
@@ -54,7 +61,7 @@ class Aligner:
         One walk over both: the current tokens overlap, and the one that ends first makes way for its next.
         """
         a, b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if not b"".join(a) == b"".join(b) == f" {chunk}".encode():
+        if not b"".join(a) == b"".join(b) == chunk.encode():
             return None
         a, b = list(map(len, a)), list(map(len, b))
         if a == b:
@@ -84,19 +91,21 @@ class Aligner:
 
     def chunks(self, texts: list[str]) -> list[list[tuple | None]]:
         """For each text what _of() says of its chunks in order; new chunks of all texts are encoded together."""
-        cut = [CUT.split(t) if t else [] for t in texts]
+        cut = [self.cut.split(f" {t}") if t else [] for t in texts]
         known = self.known
-        new = list(dict.fromkeys(c for chunk in cut for c in chunk if c not in known))
-        if new:
-            a = self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
-            known.update(zip(new, map(self._of, new, (e.ids for e in a), self.b.encode(new, num_threads=1))))
+        if new := list({c for chunk in cut for c in chunk}.difference(known)):
+            met = [c for c in new if c in self.before]
+            known.update(zip(met, map(self.before.__getitem__, met)))
+            new = [c for c in new if c not in known]
+            a = self.a.encode_batch_fast(new, add_special_tokens=False)
+            b = self.b.encode([f"\n{c}" for c in new], num_threads=1)  # a space is put before a text, so the line end's two tokens go
+            known.update(zip(new, map(self._of, new, (e.ids for e in a), (ids[2:] for ids in b))))
         out = [list(map(known.__getitem__, chunk)) for chunk in cut]
+        for c in new:
+            if len(c) > LONGEST:
+                del known[c]
         if len(known) > REMEMBERED:
-            self.known = {}
-        else:
-            for c in new:
-                if len(c) > LONGEST:
-                    del known[c]
+            self.known, self.before = {}, known
         return out
 
 
