@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -32,23 +33,25 @@ def new_path(spark: SparkSession, what: str) -> str:
     path = f"{shared_folder(spark)}/tarazu-{what}-{uuid.uuid4().hex}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    _made.append(path)
+    for made in getattr(_open, "lists", []):
+        made.append(path)
     return path
 
 
-_made: list[str] = []  # paths of new_path() in order, for dropping_temporaries()
+_open = threading.local()  # of each thread: the lists of new paths, one for each dropping_temporaries() that it is in
 
 
 @contextmanager
 def dropping_temporaries(spark: SparkSession):
-    """Drops at its end what was written to new paths inside it; for work whose result has been written by then."""
-    before = len(_made)
+    """Drops at its end what its own thread wrote to new paths inside it; for work whose result has been written by then."""
+    made: list[str] = []
+    _open.lists = [*getattr(_open, "lists", []), made]
     try:
         yield
     finally:
-        for path in _made[before:]:
+        _open.lists = _open.lists[:-1]
+        for path in made:
             drop_path(spark, path)
-        del _made[before:]
 
 
 def materialise(df: DataFrame, what: str) -> tuple[DataFrame, str]:
@@ -78,19 +81,28 @@ def may_match(df: DataFrame, key, keys: DataFrame, bits: int = 24) -> DataFrame:
     return out.withColumn("__may", F.coalesce(F.col("__held").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("__word", "__held")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as make them differ from all columns of df."""
+    held = {c.lower() for c in df.columns}
+    dash = "__"
+    while any(dash + n.lower() in held for n in names):
+        dash += "_"
+    return [dash + n for n in names]
+
+
 def word_count(text):
     """Number of words of a text column; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def in_blocks(keyed: DataFrame, block: int, rows: DataFrame) -> DataFrame:
+def in_blocks(keyed: DataFrame, block: int, rows: DataFrame, by: str = "uid") -> DataFrame:
     """(t, key, lo, hi, own, uid, …): the rows of keyed (uid, t, key) that share their bucket, with the columns of rows, dealt and sorted by BY.
 
-    A bucket over `block` rows is cut into blocks by a hash; each block meets itself and each other one in a group of its own.
+    A bucket over `block` rows is cut into blocks by a hash of the column `by`; each block meets itself and each other one in a group of its own.
     """
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(sizes, ["t", "key"]).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
-    met = met.join(rows, "uid").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "uid"), F.col("parts")).cast("int"))
+    met = met.join(rows, "uid").withColumn("own", F.pmod(F.xxhash64(F.lit(1), by), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", *rows.columns)
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))

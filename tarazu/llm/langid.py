@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarazu.llm.common import unused
+
 #: Hashed n-gram slots and n-gram lengths.
 SLOTS, ORDERS = 1 << 15, (1, 2, 3)
 #: Code points looked at together; bounds the memory of one very long text.
@@ -158,7 +160,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Learns from rows that aren't held out and have both language and text; see train() for its bound.
     Predicts every row from its whole text alone. Null texts and those without a letter get `und` and
     score 0, as do all rows where nothing could be learned. Repeated rows, null ids and very long texts
-    are treated like any other; an empty table stays empty.
+    are treated like any other; of equally probable languages the first by name is taken; an empty table stays empty.
     """
     labelled = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     model = train(labelled, **training)
@@ -168,5 +170,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     found = predictions_udf(model)(F.when(letters, F.col(text_col)))
     names = F.array(*[F.lit(c) for c in model.classes])
-    out = out.withColumn("__found", found)
-    return out.withColumn("lang_pred", F.coalesce(F.get(names, F.col("__found.k")), F.lit("und"))).withColumn("score", F.coalesce(F.col("__found.score"), F.lit(0.0))).drop("__found")
+    (of,) = unused(out, "found")
+    out = out.withColumn(of, found)
+    return out.withColumn("lang_pred", F.coalesce(F.get(names, F.col(of)["k"]), F.lit("und"))).withColumn("score", F.coalesce(F.col(of)["score"], F.lit(0.0))).drop(of)

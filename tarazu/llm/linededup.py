@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarazu.llm.common import materialise
+from tarazu.llm.common import materialise, unused
 
 
 def boilerplate_lines(docs: DataFrame, site_col: str = "source", text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
@@ -33,15 +33,15 @@ def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str =
     side that AQE splits.
     """
     bad, _ = materialise(boilerplate_lines(docs, site_col, text_col, max_ratio, min_pages), "boilerplate")  # so that its size is known to the join
-    bad = bad.select(F.col("site").alias("__site"), F.col("lines").alias("__bad"))
-    d = docs.join(bad, docs[site_col].eqNullSafe(F.col("__site")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    d = d.withColumn("__lines", lines)
+    site, gone, all_lines, hit, kept = unused(docs, "site", "bad", "lines", "hit", "kept")
+    bad = bad.select(F.col("site").alias(site), F.col("lines").alias(gone))
+    d = docs.join(bad, docs[site_col].eqNullSafe(F.col(site)), "left")
+    d = d.withColumn(all_lines, F.split(F.col(text_col), "\n", -1))
     # one hashed look-up for all lines; then lines are held only against those of the document itself that go
-    d = d.withColumn("__hit", F.array_intersect(F.transform("__lines", lambda x: F.xxhash64(F.trim(x))), "__bad"))
-    left = F.filter("__lines", lambda x: ~F.coalesce(F.array_contains("__hit", F.xxhash64(F.trim(x))), F.lit(False)) | (F.trim(x) == ""))
-    d = d.withColumn("__kept", F.when(F.size("__hit") > 0, left).otherwise(F.col("__lines")))
-    out = d.withColumn(text_col, F.array_join("__kept", "\n"))
-    n = F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).cast("long")
-    left = F.when(F.col("__kept").isNull(), 0).otherwise(F.size("__kept")).cast("long")
-    return out.withColumn("n_lines", n).withColumn("n_dropped", n - left).drop("__site", "__bad", "__lines", "__hit", "__kept")
+    d = d.withColumn(hit, F.array_intersect(F.transform(all_lines, lambda x: F.xxhash64(F.trim(x))), gone))
+    left = F.filter(all_lines, lambda x: ~F.coalesce(F.array_contains(hit, F.xxhash64(F.trim(x))), F.lit(False)) | (F.trim(x) == ""))
+    d = d.withColumn(kept, F.when(F.size(hit) > 0, left).otherwise(F.col(all_lines)))
+    out = d.withColumn(text_col, F.array_join(kept, "\n"))
+    n = F.when(F.col(all_lines).isNull(), 0).otherwise(F.size(all_lines)).cast("long")
+    left = F.when(F.col(kept).isNull(), 0).otherwise(F.size(kept)).cast("long")
+    return out.withColumn("n_lines", n).withColumn("n_dropped", n - left).drop(site, gone, all_lines, hit, kept)
