@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes hashed at once, and bytes of documents looked at together.
 BLOCK, TOGETHER = 1 << 17, 1 << 21
+#: Bytes up to which spans are hashed side by side.
+SHORT = 24
 #: Largest share of a text's word characters that may lie in word n-grams found twice or more in it.
 MAX_NGRAM = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
 #: The same for lines found twice or more.
@@ -18,8 +21,6 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15
-_POW = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(BLOCK, _P, np.uint64)]))
-_INV = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(BLOCK, pow(_P, -1, 2**64), np.uint64)]))
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _HEAD = (np.arange(256) & 0xC0) != 0x80
 _LETTER = _HEAD & ~_SPACE  # a character of a word, by its first byte
@@ -44,19 +45,20 @@ def _before(data: np.ndarray, kind: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of each data[start:end] (ascending, disjoint), from prefix sums over the bytes taken in blocks."""
-    out, scales = np.zeros(len(starts), np.uint64), []
-    carry, scale, lo, low = np.uint64(0), 1, 0, 0
-    for start in range(0, len(data) + 1, BLOCK):
-        local = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data[start : start + BLOCK]] * _POW[: len(data) - start][:BLOCK])])
-        hi, high = np.searchsorted(starts, start + BLOCK), np.searchsorted(ends, start + BLOCK)
-        out[lo:hi] -= carry + local[starts[lo:hi] - start] * np.uint64(scale)
-        out[low:high] += carry + local[ends[low:high] - start] * np.uint64(scale)
-        scales.append((lo, hi, start, pow(scale, -1, 2**64)))
-        carry, scale, lo, low = carry + local[-1] * np.uint64(scale), scale * pow(_P, BLOCK, 2**64) % 2**64, hi, high
-    for lo, hi, start, back in scales:
-        out[lo:hi] *= _INV[starts[lo:hi] - start] * np.uint64(back)
-        out[lo:hi] = _mixed(out[lo:hi])
+    """Hash of each data[start:end]: of up to SHORT bytes by a mixing step a byte, all spans of a block at once; longer ones by XXH3.
+
+    A plain polynomial modulo 2^64 would not do: its values collide on texts such as Thue and Morse's, whatever the base.
+    """
+    out, view = np.empty(len(starts), np.uint64), memoryview(data)
+    for at in range(0, len(starts), BLOCK):
+        begin, size = starts[at : at + BLOCK], (ends[at : at + BLOCK] - starts[at : at + BLOCK]).astype(np.int32)
+        h = _mixed(size.astype(np.uint64) + np.uint64(_P))
+        for k in range(min(int(size.max()), SHORT)):
+            live = np.flatnonzero((size > k) & (size <= SHORT)) if k else np.flatnonzero(size <= SHORT)
+            h[live] = _mixed((h[live] ^ _BYTE[data[begin[live] + k]]) * np.uint64(_P))
+        for k in np.flatnonzero(size > SHORT).tolist():
+            h[k] = xxhash.xxh3_64_intdigest(view[begin[k] : begin[k] + size[k]])
+        out[at : at + BLOCK] = h
     return out
 
 
