@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import struct
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -120,7 +121,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     Payloads are compared by digest: one partial aggregation of digests, and only the ids of revisits are
     joined back (broadcast where Spark finds their table small enough), so payloads don't pile up with their copies.
     A payload is held whole by its task, as is a frame of at least one record. Each task writes bundles of its own to the
-    folder, which all executors must share (default: a new one in the shared folder).
+    folder, which all executors must share (default: a new one in the shared folder); what else is there stays, also archives of earlier calls.
     """
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
@@ -132,13 +133,15 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     revisits, _ = materialise(revisits, "revisits")  # so that its size is known: payloads move only if it is too large to broadcast
     rows = rows.join(revisits, rows.id.eqNullSafe(revisits.rid) & (rows.sha1 == revisits.rsha), "left").select(F.col("id").cast("string").alias("id"), "url", "payload", "sha1", F.col("refers_to").cast("string").alias("refers_to"))
 
+    run = uuid.uuid4().hex[:16]  # in the names of this call's files, so that no others are taken for its leftovers
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, bundle, n = TaskContext.get(), None, 0
         for b in batches:
             index = []
             for page, url, body, sha1, refers_to in zip(*(b.column(c) for c in ("id", "url", "payload", "sha1", "refers_to"))):
                 if bundle is None:
-                    bundle = Bundle(f"{folder}/{task.partitionId():06d}-{task.taskAttemptId():06d}-{n:04d}.warc.zst", frame_bytes, level)
+                    bundle = Bundle(f"{folder}/{run}-{task.partitionId():06d}-{task.taskAttemptId():06d}-{n:04d}.warc.zst", frame_bytes, level)
                 digest = base64.b32encode(bytes.fromhex(sha1.as_py())).decode()
                 record = make_record(page.as_py(), url.as_py(), body.as_py(), digest, refers_to.as_py(), date)
                 index.append((page.as_py(), bundle.uri, *bundle.add(record), len(record)))
@@ -157,7 +160,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     index, _ = materialise(rows.mapInArrow(write, "id string, file string, frame long, offset long, length long"), "warc-index")
     named = {r.file.rsplit("/", 1)[1] for r in index.select("file").distinct().collect()}  # one name for each bundle_bytes of archive
     for left in fs.get_file_info(pa.fs.FileSelector(path)):  # by attempts that failed or lost a race
-        if left.base_name not in named and left.is_file:
+        if left.is_file and left.base_name.startswith(f"{run}-") and left.base_name not in named:
             fs.delete_file(left.path)
     return index.select(F.col("id").cast(pages.schema[id_col].dataType).alias(id_col), "file", "frame", "offset", "length")
 

@@ -34,7 +34,7 @@ def edge_docs(spark):
 
 
 def clashing(df):
-    for c in ("id", "size", "kept", "h", "fp", "t", "key", "grp", "score", "lang_pred", "pii_found", "n_lines", "target", "bucket", "m"):
+    for c in ("id", "size", "kept", "h", "fp", "t", "key", "grp", "score", "lang_pred", "pii_found", "n_lines", "target", "bucket", "m", "__m", "__to", "__kept", "__lines", "__hit", "__found", "held_out_", "__k"):
         df = df.withColumn(c, F.lit("clash"))
     return df
 
@@ -241,6 +241,19 @@ def test_pii_long_matches_and_keys(spark):
         pii.pseudonymise(d, "")
 
 
+def test_pii_survives_long_matches_of_every_alphabet(spark):
+    """A MB of what each pattern repeats: no stack overflow in the regular expressions, no work beyond linear."""
+    n = 1_000_000
+    unit = ["a.", "a@", "a@b.", "x.com.", "1.", "1.1.1.1.", "1-", "12 ", "+1 ", "(555) ", "AB12 ", "A", "f1", "2001-09-", "sk-", "password=", "é", "AKIA", "0", "a..", "-", "%+"]
+    rows = [(k, f"x a@{u * (n // len(u))}com y") for k, u in enumerate(unit)] + [(100 + k, u * (n // len(u))) for k, u in enumerate(unit)]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), "k").collect()}
+    assert got[0].pii_kinds == ["email"] and got[0].text.endswith(".com y") and not got[0].text.startswith("x a@a") or got[0].text[2] == "a"
+    assert all(len(got[i].text) == len(t) for i, t in rows)
+    some = [(0, "u@a.b.c1 v@10.0.0.1 w@x.y2.zz.1.2 q@h..com r@h.com..x s@h.c"), (1, "mail bob.lee@mail.example.org. Thanks")]
+    two = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(some, "doc_id long, text string"), "k").collect()}
+    assert two[0].pii_kinds == ["ip", "email", "email"] and two[1].pii_kinds == ["email"] and two[1].text.endswith("@mail.example.org. Thanks")
+
+
 def test_pii_phone_notations_are_linked(spark):
     forms = ["+1 555-123-4567", "+15551234567", "+1 (555) 123-4567", "555-123-4567", "(555) 123-4567", "+353 1 234 5678", "+35312345678"]
     got = [re.sub(r"\D", "", r.text) for r in pii.pseudonymise(docs_of(spark, [(k, f, None, None) for k, f in enumerate(forms)]), "k").orderBy("doc_id").collect()]
@@ -612,6 +625,15 @@ def test_hashes_over_block_edges(monkeypatch):
     assert all((whole[m] == parts[m]).all() for m in whole)
 
 
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_thue_morse_texts_are_not_equal(n):
+    """Texts whose polynomial hashes modulo 2^64 collide for every base, as lines and as words."""
+    line = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    other = line.translate(str.maketrans("ab", "ba"))
+    found = repetition.measure([f"{line}\n{other}".encode(), f"{line} x y {other} x y".encode(), f"{line}\n{line}".encode()])
+    assert found["n_dup_lines"].tolist() == [0, 0, 1] and found["n_repeat_words"].tolist() == [0, 0, 0]
+
+
 def test_memory_of_a_long_text():
     """Less than 8 bytes for each byte of a text of some MB."""
     import tracemalloc
@@ -660,9 +682,12 @@ def test_warc_round_trip(spark, sf, tmp_path):
 
 
 def test_warc_leaves_no_other_files(spark, sf, tmp_path):
-    (tmp_path / "x.warc.zst.part").write_bytes(b"of a lost attempt")
-    index = warc.write_archives(spark.read.parquet(f"{sf}/pages.parquet"), f"file://{tmp_path}")
-    assert {f.name for f in tmp_path.iterdir()} == {r.file.rsplit("/", 1)[1] for r in index.select("file").distinct().collect()}
+    """A call deletes nothing that it hasn't written, and leaves no file of its own beside those of the index."""
+    (tmp_path / "notes.txt").write_bytes(b"not ours")
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    names = lambda index: {r.file.rsplit("/", 1)[1] for r in index.select("file").distinct().collect()}
+    one, two = (names(warc.write_archives(pages, f"file://{tmp_path}")) for _ in range(2))
+    assert {f.name for f in tmp_path.iterdir()} == one | two | {"notes.txt"} and not one & two
 
 
 def test_bundle_is_plain_zstandard(tmp_path):
