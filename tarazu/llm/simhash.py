@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations, islice
 
@@ -89,10 +90,10 @@ class BKTree:
         return found
 
 
-def shard_links(left: list[tuple], right: list[tuple] | None, radius: int, least: float = 0.0) -> list[tuple[int, int]]:
-    """Forest of the links inside one block of a shard (right None) or between two, closest first: fewer edges than rows.
+def shard_links(left: list[tuple], right: list[tuple] | None, radius: int, least: float = 0.0, nearest: int = 0) -> list[tuple[int, int]]:
+    """Forest of the links inside one block of a shard (right None) or between two, closest first: fewer edges than rows. Beside it each row's `nearest` closest links.
 
-    Rows are (id, fingerprint, size); rows whose sizes have a ratio below `least` don't link.
+    Rows are (id, fingerprint, size), in an order that doesn't depend on ids where results shouldn't; rows whose sizes have a ratio below `least` don't link.
     """
     parent: dict[int, int] = {}
 
@@ -111,12 +112,16 @@ def shard_links(left: list[tuple], right: list[tuple] | None, radius: int, least
             tree.insert(v)
     found.sort()
     edges, other = [], left if right is None else right
+    near: dict[tuple, int] = defaultdict(int)  # links taken so far of a row: (side, place)
     for _, at, k in found:
         a, b = rows[at][0], other[k][0]
         x, y = root(a), root(b)
-        if x != y:
+        ends = (0, at), (int(right is not None), k)
+        if x != y or min(near[e] for e in ends) < nearest:
             parent[max(x, y)] = min(x, y)
             edges.append((b, a))
+            for e in ends:
+                near[e] += 1
     return edges
 
 
@@ -156,16 +161,20 @@ def fingerprint_links(prints: DataFrame, radius: int = 2, bands: int = 3, block:
     return in_blocks(keyed, block, rows).mapInArrow(links_map(radius), "a long, b long").distinct()
 
 
-def links_map(radius: int, least: float = 0.0):
-    """Rows (t, key, lo, hi, own, uid, code, size) sorted by BY to the edges of each group: one block becomes a BK-tree, the other is searched in it."""
+def links_map(radius: int, least: float = 0.0, nearest: int = 0):
+    """Rows (t, key, lo, hi, own, uid, code, size) sorted by BY to the edges of each group: one block becomes a BK-tree, the other is searched in it.
+
+    A group's rows are taken in the order of their codes and sizes, or by the column `tie` if there is one, so that no order of tasks or ids shows in the edges.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, now = [], None
 
         def done() -> list[tuple[int, int]]:
             lo, hi = now[2:] if now else (0, 0)
-            mine = [row for own, row in group if own == lo]
-            return shard_links(mine, None if lo == hi else [row for own, row in group if own == hi], radius, least)
+            rows = [(own, row) for own, _, row in sorted(group, key=lambda g: g[1])]
+            mine = [row for own, row in rows if own == lo]
+            return shard_links(mine, None if lo == hi else [row for own, row in rows if own == hi], radius, least, nearest if lo == hi else min(nearest, 1))
 
         def out(edges: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -173,11 +182,12 @@ def links_map(radius: int, least: float = 0.0):
         for batch in batches:
             edges = []
             t, key, lo, hi, own, uid, code, size = (batch.column(c).to_pylist() for c in (*BY, "own", "uid", "code", "size"))
-            for at, o, row in zip(zip(t, key, lo, hi), own, zip(uid, map(int.from_bytes, code), size)):
+            tie = batch.column("tie").to_pylist() if "tie" in batch.schema.names else uid
+            for at, o, place, row in zip(zip(t, key, lo, hi), own, zip(code, size, tie), zip(uid, map(int.from_bytes, code), size)):
                 if at != now:
                     edges += done()
                     group, now = [], at
-                group.append((o, row))
+                group.append((o, place, row))
             yield out(edges)
         yield out(done())
 
@@ -303,15 +313,16 @@ def shards_map(bits: int, tables: int):
     return keys
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.97, bucket: int = 32, block: int = 192) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.97, bucket: int = 32, block: int = 192, nearest: int = 8) -> DataFrame:
     """One row per input row: id and component_id, the least id reachable by links.
 
     Texts link when the Jaccard similarity of their sets of word shingles is at least `similarity`. SimHash
     fingerprints of WIDE bits over these sets find such pairs: a shard holds the fingerprints that agree on a
     choice of bits, and in a shard BK-trees give those within a radius that a pair at the similarity stays
     in (see shard_plan; more documents mean more bits and more tables). Of these, closest first, a forest leaves
-    the shard, so a group of near copies costs no list of pairs; its edges are held against the sets themselves, and
-    only those at the similarity join. A hot shard is cut into blocks that meet pairwise in tasks of their own.
+    the shard, and each row's `nearest` closest pairs (one where two blocks meet), so a group of near copies costs no list of pairs; these are held against
+    the sets themselves, and only pairs at the similarity join. The forest alone would lose links: an edge that fails takes
+    the one with it whose place it took. All orders and blocks follow from the contents, so reruns agree. A hot shard is cut into blocks that meet pairwise in tasks of their own.
 
     Texts with equal sets are one class, whatever their number. Null, empty and blank texts have the same empty
     set; texts under `width` words have their whole sequence as one shingle. Rows with a null id are kept and
@@ -322,11 +333,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     prints = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("h"), wide_udf(width)(F.col(text_col).cast("binary")).alias("p"))
     prints, _ = materialise(prints.select("id", "h", "p.*"), "prints")
-    classes = prints.groupBy("same").agg(F.min("id").alias("least"), F.min("h").alias("h"), F.first("code").alias("code"), F.first("size").alias("size"))
+    classes = prints.groupBy("same").agg(F.min("id").alias("least"), F.min("h").alias("h"), F.min("code").alias("code"), F.min("size").alias("size"))
     classes, _ = materialise(classes.withColumn("uid", F.monotonically_increasing_id()), "classes")
     bits, tables, radius = shard_plan(classes.count(), similarity, bucket, recall)
     keyed = classes.select("uid", "code").mapInArrow(shards_map(bits, tables), "uid long, t int, key long")
-    near, _ = materialise(in_blocks(keyed, block, classes.select("uid", "code", "size")).mapInArrow(links_map(radius, similarity), "a long, b long").distinct(), "near")
+    near, _ = materialise(in_blocks(keyed, block, classes.select("uid", "code", "size", F.xxhash64("same").alias("tie")), "tie").mapInArrow(links_map(radius, similarity, nearest), "a long, b long").distinct(), "near")
 
     members = near.select(F.col("a").alias("uid")).union(near.select("b")).distinct().join(classes, "uid").select("uid", F.col("h").alias("of"))
     members, _ = materialise(members, "members")
