@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarazu.functions.seeded import h32
 from tarazu.functions.text import numbers, script_share, words
-from tarazu.operators.prep import sample_fixed
+from tarazu.operators.prep import glossary_hits, sample_fixed
 
 #: Standard normal quantile of a 95 % interval. Fixed value.
 Z95 = 1.959963984540054
@@ -53,9 +53,10 @@ def looping(pairs: DataFrame, n: int = 3, share: float = 0.3, times: int = 4) ->
 
 
 def glossary_match(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
-    """(source_id, en_term, ok): each glossary term in a case's source, ok where every field that has it has its rendering in the target."""
-    terms = glossary.select("en_term", "fa_term")
-    hit = pairs.select("source_id", F.explode(F.array_distinct(words(F.col("source_text")))).alias("en_term"), F.lower(F.coalesce("target_text", F.lit(""))).alias("t")).join(terms, "en_term")
+    """(source_id, en_term, ok): each glossary term, of one word or more, in a case's source, ok where every field that has it has its rendering in the target."""
+    named = pairs.withColumn("t", F.lower(F.coalesce("target_text", F.lit(""))))
+    hit = glossary_hits(named, glossary, "source_text", ["source_id", "t"]).select("source_id", "t", F.explode(F.array_distinct("terms")).alias("en_term"))
+    hit = hit.join(glossary.select("en_term", "fa_term"), "en_term")
     return hit.groupBy("source_id", "en_term").agg(F.bool_and(F.contains("t", F.lower("fa_term"))).alias("ok"))
 
 

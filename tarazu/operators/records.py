@@ -70,11 +70,41 @@ def dataset_profile(records: DataFrame) -> DataFrame:
     )
 
 
+#: A prime below 2^61: versions are sums of row numbers modulo it.
+PRIME = (1 << 61) - 1
+
+
+def row_number(columns: list[str]) -> Column:
+    """60 bits of the MD5 of a row: each field as `-` if null, else its length in bytes, `:` and the field, so that no two rows read alike."""
+    texts = [F.col(c).cast("string") for c in columns]
+    said = F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
+    return F.conv(F.substring(F.md5(said), 1, 15), 16, 10).cast("bigint")
+
+
+def _total(number: Column) -> Column:
+    return (F.coalesce(F.sum(number.cast("decimal(20,0)")), F.lit(0)) % F.lit(PRIME)).cast("bigint")
+
+
 def dataset_version_hash(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row (n, version): a content hash that doesn't depend on the order of rows."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
-    return df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(number), F.lit(0)).alias("version"))
+    """One row (n, version): a hash of the rows as a multiset, a sum that depends on no order and in which equal rows don't cancel."""
+    return df.select(row_number(columns).alias("number")).agg(F.count("*").alias("n"), _total(F.col("number")).alias("version"))
+
+
+def version_buckets(df: DataFrame, columns: list[str], id_col: str = "id", buckets: int = 1024) -> DataFrame:
+    """(bucket, n, version): the same for each bucket of ids. The version of the whole is the sum of these modulo PRIME, so stored buckets merge and are compared without the rows."""
+    b = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
+    return df.select(b.alias("bucket"), row_number(columns).alias("number")).groupBy("bucket").agg(F.count("*").alias("n"), _total(F.col("number")).alias("version"))
+
+
+def version_diff(old: DataFrame, new: DataFrame, columns: list[str], id_col: str = "id", buckets: int = 1024) -> DataFrame:
+    """(id, change): ids whose rows were `added`, `removed` or `changed` between two versions; only rows of buckets whose versions differ are compared."""
+    both = version_buckets(old, columns, id_col, buckets).withColumn("side", F.lit(0)).union(version_buckets(new, columns, id_col, buckets).withColumn("side", F.lit(1)))
+    differ = both.groupBy("bucket", "n", "version").agg(F.count("*").alias("sides")).where("sides = 1").select("bucket").distinct()
+    b = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
+    rows = [df.select(F.col(id_col).alias("id"), b.alias("bucket"), row_number(columns).alias("number"), F.lit(k).alias("side")).join(F.broadcast(differ), "bucket", "left_semi") for k, df in enumerate((old, new))]
+    per = rows[0].union(rows[1]).groupBy("id").agg(*[F.count_if(F.col("side") == k).alias(f"n{k}") for k in (0, 1)], *[_total(F.when(F.col("side") == k, F.col("number"))).alias(f"v{k}") for k in (0, 1)])
+    change = F.when(F.col("n0") == 0, "added").when(F.col("n1") == 0, "removed").otherwise("changed")
+    return per.where("n0 <> n1 or v0 <> v1").select("id", change.alias("change"))
 
 
 def license_release_filter(records: DataFrame, policy: DataFrame, purpose: str) -> DataFrame:
@@ -90,9 +120,13 @@ def license_audit(records: DataFrame, policy: DataFrame) -> DataFrame:
 
 
 def dedup_exact(df: DataFrame, key: Column, id_col: str = "id") -> DataFrame:
-    """The row with the lowest id of each key: one partial aggregation of keys, then a join of the survivors."""
-    keep = df.select(key.alias("__k"), F.col(id_col).alias("__id")).groupBy("__k").agg(F.min("__id").alias("__id")).select("__id")
-    return df.join(keep, df[id_col] == F.col("__id"), "left_semi")
+    """One row of each key: that with the lowest id, a null one last; of equal ids the one whose other fields hash lowest.
+
+    A row number that is cut at 1: each task sends one row of a key at most, so a key that holds most rows is no burden.
+    """
+    plain = [F.col(f"`{f.name}`") for f in df.schema if "map" not in f.dataType.simpleString()]
+    first = W.partitionBy(key).orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(*plain))
+    return df.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn")
 
 
 def ranked(df: DataFrame, by: list[str], order: list, name: str = "rn") -> DataFrame:

@@ -2,32 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarazu.functions import text as TX
 from tarazu.functions.seeded import h32
 from tarazu.operators import generate as G
+from tarazu.operators import groups as GR
 from tarazu.operators import mix as M
 from tarazu.operators import prep as P
 from tarazu.operators import qa as Q
 from tarazu.operators import records as R
 from tarazu.plans.registry import Data, query
 from tarazu.sources import io
+from tarazu.sources.shared import shared_path
 from tarazu.streaming.resume import process_available
 
 
 def folder(d: Data, what: str) -> str:
-    """A new folder that driver and executors share."""
-    base = d.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not d.spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, dropped when the session ends."""
+    return shared_path(d.spark, what)
 
 
 def values(d: Data, columns: str, *rows: tuple) -> DataFrame:
@@ -126,9 +120,9 @@ def resume_stream(d: Data):
     docs = d.documents.select("doc_id", "lang", "n_chars")
     docs.where("doc_id % 2 = 0").write.mode("append").parquet(src)
     step = lambda b: b.withColumn("done", F.lit(True))
-    process_available(d.spark, src, out, ckpt, docs.schema, step)
-    docs.where("doc_id % 2 = 1").write.mode("append").parquet(src)
-    process_available(d.spark, src, out, ckpt, docs.schema, step)
+    process_available(d.spark, src, out, ckpt, docs.schema, step, case=["doc_id"])
+    docs.write.mode("append").parquet(src)  # the even ones come again
+    process_available(d.spark, src, out, ckpt, docs.schema, step, case=["doc_id"])
     return d.spark.read.parquet(out).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
@@ -172,9 +166,20 @@ def dataset_profile(d: Data):
     return R.dataset_profile(records(d))
 
 
-@query("SELECT count(*) AS n, bit_xor(cast('0x' || substr(md5(concat_ws('|', id, label, split)), 1, 15) AS bigint)) AS version FROM fx_docs")
+_ROW = "cast('0x' || substr(md5(concat(" + ", ".join(f"coalesce(concat(strlen({c}::VARCHAR), ':', {c}::VARCHAR), '-')" for c in ("doc_id", "lang", "text")) + ")), 1, 15) AS bigint)"
+
+
+@query(f"SELECT count(*) AS n, cast(sum({_ROW}::HUGEINT) % {R.PRIME} AS bigint) AS version FROM documents")
 def dataset_version_hash(d: Data):
-    return R.dataset_version_hash(d.fx_docs, ["id", "label", "split"])
+    return R.dataset_version_hash(d.documents, ["doc_id", "lang", "text"])
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 31 = 1 THEN 'removed' WHEN doc_id % 31 = 2 THEN 'added' ELSE 'changed' END AS change FROM documents WHERE doc_id % 31 IN (1, 2, 3)")
+def dataset_version_diff(d: Data):
+    """Documents against a version without some, with others new and others' texts changed."""
+    old = d.documents.where("doc_id % 31 <> 2")
+    new = d.documents.where("doc_id % 31 <> 1").withColumn("text", F.when(F.col("doc_id") % 31 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return R.version_diff(old, new, ["doc_id", "lang", "text"], "doc_id")
 
 
 @query("SELECT id FROM fx_docs WHERE sn IN (0, 1)")
@@ -226,14 +231,25 @@ def flag_numeric_cases(d: Data):
 
 
 _WORDS = "list_filter(string_split(regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
-_GLOSSARY = "(VALUES ('the', 'der'), ('and', 'und'), ('of', 'von')) g(en_term, fa_term)"
+def _tokens(table: str, keys: str, text: str) -> str:
+    return f"SELECT {keys}, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT {keys}, {_WORDS.format(text)} AS w FROM {table})"
+
+
+_GLOSSARY = "(VALUES ('the', 'der'), ('and', 'und'), ('of', 'von'), ('of the', 'von der')) g(en_term, fa_term)"
 
 
 def glossary(d: Data) -> DataFrame:
-    return values(d, "en_term, fa_term", ("the", "der"), ("and", "und"), ("of", "von"))
+    return values(d, "en_term, fa_term", ("the", "der"), ("and", "und"), ("of", "von"), ("of the", "von der"))
 
 
-@query(f"SELECT doc_id, w AS en_term, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS w FROM documents) WHERE w IN ('the', 'and', 'of') GROUP BY 1, 2")
+def _terms(table: str, keys: str, text: str) -> str:
+    """A row for each term of the glossary that occurs: the phrase, or a word outside it."""
+    near = f"SELECT *, lead(w) OVER o AS after, lag(w) OVER o AS before FROM ({_tokens(table, 'row, ' + keys, text)}) WINDOW o AS (PARTITION BY row ORDER BY i)"
+    term = "CASE WHEN w = 'of' AND after = 'the' THEN 'of the' WHEN w = 'the' AND before = 'of' THEN NULL WHEN w IN ('the', 'and', 'of') THEN w END"
+    return f"SELECT row, {keys}, {term} AS en_term FROM ({near})"
+
+
+@query(f"SELECT doc_id, en_term, count(*) AS n FROM ({_terms('(SELECT *, row_number() OVER () AS row FROM documents)', 'doc_id', 'text')}) WHERE en_term IS NOT NULL GROUP BY 1, 2")
 def glossary_terms(d: Data):
     return P.glossary_terms(d.documents, glossary(d), "text", "doc_id")
 
@@ -260,10 +276,6 @@ def leak_exact(d: Data):
     return P.leak_exact(f.where("split = 'train'"), f.where("split = 'test'")).select("id")
 
 
-def _tokens(table: str, keys: str, text: str) -> str:
-    return f"SELECT {keys}, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT {keys}, {_WORDS.format(text)} AS w FROM {table})"
-
-
 def _shingles(table: str, key: str) -> str:
     gram = "concat_ws(' ', w, " + ", ".join(f"lead(w, {k}) OVER o" for k in range(1, 5)) + ")"
     every = f"SELECT {key}, CASE WHEN z IS NOT NULL THEN g WHEN i = 1 THEN concat(' ', g) END AS g FROM (SELECT {key}, i, {gram} AS g, lead(w, 4) OVER o AS z FROM ({_tokens(table, key, 'text')}) WINDOW o AS (PARTITION BY {key} ORDER BY i))"
@@ -283,9 +295,37 @@ def leak_near_dup(d: Data):
     return P.leak_near_dup(*leaks(d)).withColumn("jaccard", F.round("jaccard", 6)).withColumn("containment", F.round("containment", 6))
 
 
-@query(_SIM + "SELECT test_id, train_id, round(jaccard, 6) AS jaccard FROM s WHERE jaccard >= 0.8")
+@query(_SIM.replace(_shingles('benchmark', 'item_id'), _shingles('fx_tests', 'id')) + "SELECT test_id, train_id, round(jaccard, 6) AS jaccard FROM s WHERE jaccard >= 0.8")
 def leak_minhash(d: Data):
-    return P.leak_minhash(*leaks(d)).withColumn("jaccard", F.round("jaccard", 6))
+    """Benchmark items and every twentieth document, with words added, against all documents."""
+    return P.leak_minhash(leaks(d)[0], d.fx_tests.withColumnRenamed("text", "state")).withColumn("jaccard", F.round("jaccard", 6))
+
+
+_LINKED = f"""WITH RECURSIVE s AS ({_shingles("(SELECT DISTINCT source_id, text FROM fx_docs)", "source_id")}), z AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+    e AS (SELECT x.id AS a, y.id AS b FROM (SELECT s.*, n FROM s JOIN z ON s.id = z.id) x JOIN (SELECT s.*, n FROM s JOIN z ON s.id = z.id) y ON x.sh = y.sh AND x.id <> y.id GROUP BY 1, 2 HAVING count(*) >= 0.8::DOUBLE * (max(x.n) + max(y.n) - count(*)) - 1e-9),
+    r AS (SELECT DISTINCT source_id AS a, source_id AS b FROM fx_docs UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), g AS (SELECT a, min(b) AS root FROM r GROUP BY 1) """
+
+
+@query(_LINKED + """SELECT id, root AS "group", CASE WHEN h < 80 THEN 'train' WHEN h < 88 THEN 'validation' WHEN h < 92 THEN 'calibration' ELSE 'test' END AS split FROM (SELECT f.id, g.root, H32(concat('0:', g.root)) % 100 AS h FROM fx_docs f JOIN g ON f.source_id = g.a)""")
+def split_by_group(d: Data):
+    """The split with near copies on one side."""
+    f = d.fx_docs.withColumnRenamed("text", "state")
+    return GR.split_by_group(f, GR.near_copy_links(f)).select("id", "group", "split")
+
+
+_KEPT = "list_distinct(regexp_extract_all(translate(coalesce({}, ''), '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789'), '" + P.KEPT + "'))"
+
+
+@query(f"""WITH a AS (SELECT row, id, unnest(k) AS t FROM (SELECT row_number() OVER () AS row, source_id AS id, {_KEPT.format('target_text')} AS k FROM fx_pairs WHERE rule = 'translate') WHERE len(k) >= 2), b AS (SELECT row, id, unnest(k) AS t FROM (SELECT row_number() OVER () AS row, doc_id AS id, {_KEPT.format('text')} AS k FROM documents WHERE doc_id % 20 = 0) WHERE len(k) >= 2),
+    n AS (SELECT (SELECT count(DISTINCT row) FROM a) + (SELECT count(DISTINCT row) FROM b) AS n), w AS (SELECT t, ln(1 + any_value(n)::DOUBLE / count(*)) AS w FROM (SELECT t FROM a UNION ALL SELECT t FROM b), n GROUP BY 1),
+    wa AS (SELECT a.*, w FROM a JOIN w USING (t)), wb AS (SELECT b.*, w FROM b JOIN w USING (t)), sa AS (SELECT row, sum(w) AS s FROM wa GROUP BY 1), sb AS (SELECT row, sum(w) AS s FROM wb GROUP BY 1),
+    x AS (SELECT wb.row AS br, wa.row AS ar, any_value(wb.id) AS test_id, any_value(wa.id) AS train_id, count(*) AS shared, sum(wa.w) AS w FROM wa JOIN wb USING (t) GROUP BY 1, 2)
+    SELECT DISTINCT test_id, train_id, shared, round(x.w / (sa.s + sb.s - x.w), 6) AS overlap FROM x JOIN sa ON ar = sa.row JOIN sb ON br = sb.row WHERE shared >= 2 AND x.w / (sa.s + sb.s - x.w) >= 0.8 - 1e-9""")
+def leak_translated(d: Data):
+    """Every twentieth document searched among the translations of all."""
+    train = d.fx_pairs.where("rule = 'translate'").select(F.col("source_id").alias("id"), F.col("target_text").alias("state"))
+    test = d.documents.where("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), F.col("text").alias("state"))
+    return P.leak_translated(train, test).withColumn("overlap", F.round("overlap", 6))
 
 
 # generators: facts come from the tables' dates, amounts and times
@@ -413,7 +453,7 @@ def qa_looping(d: Data):
     return Q.looping(d.fx_pairs)
 
 
-@query(f"SELECT source_id, en_term, bool_and(contains(lower(coalesce(target_text, '')), fa_term)) AS ok FROM (SELECT source_id, target_text, unnest(list_distinct({_WORDS.format('source_text')})) AS w FROM fx_pairs) JOIN {_GLOSSARY} ON w = en_term GROUP BY 1, 2")
+@query(f"SELECT source_id, en_term, bool_and(contains(lower(coalesce(target_text, '')), fa_term)) AS ok FROM (SELECT DISTINCT row, source_id, target_text, en_term FROM ({_terms('(SELECT *, row_number() OVER () AS row FROM fx_pairs)', 'source_id, target_text', 'source_text')})) JOIN {_GLOSSARY} USING (en_term) GROUP BY 1, 2")
 def qa_glossary_match(d: Data):
     return Q.glossary_match(d.fx_pairs, glossary(d))
 

@@ -39,6 +39,8 @@ FIXTURES: dict[str, str] = {
         CASE WHEN doc_id % 13 = 1 THEN translate(text, '0123456789', '۰۱۲۳۴۵۶۷۸۹') WHEN doc_id % 13 = 2 THEN regexp_replace(text, '[0-9]', 'x') WHEN doc_id % 13 = 3 THEN ''
         WHEN doc_id % 13 = 4 THEN 'again and again and again and again and again and again' WHEN doc_id % 13 = 5 THEN substr(text, 1, 40) ELSE text END AS target_text, 'translate' AS rule FROM documents
         UNION ALL SELECT cast(doc_id AS string), 'source', source, CASE WHEN doc_id % 13 = 6 THEN upper(source) ELSE source END, 'keep' FROM documents""",
+    # benchmark items, and every twentieth document with words added, as a test side
+    "fx_tests": """SELECT item_id AS id, text FROM benchmark UNION ALL SELECT -1 - doc_id AS id, concat(text, ' and so on') AS text FROM documents WHERE doc_id % 20 = 0""",
     "fx_verdicts": """SELECT cast(doc_id AS string) AS source_id, k.kind AS flag_kind, H32(concat(k.kind, cast(doc_id AS string))) % 20 = 0 AS flagged FROM documents
         CROSS JOIN (SELECT 'meaning' AS kind UNION ALL SELECT 'urgency' AS kind UNION ALL SELECT 'negation' AS kind UNION ALL SELECT 'actor' AS kind) k""",
     "fx_flags": """SELECT source_id, max(CASE WHEN flagged THEN 1 ELSE 0 END) = 1 AS flagged FROM fx_verdicts GROUP BY source_id""",
@@ -100,7 +102,8 @@ def duck(body: str) -> str:
     ctes = [f"{n} AS ({FIXTURES[n].replace(chr(39) + '[0-9]' + chr(39) + ', ' + chr(39) + 'x' + chr(39), chr(39) + '[0-9]' + chr(39) + ', ' + chr(39) + 'x' + chr(39) + ', ' + chr(39) + 'g' + chr(39))})" for n in order]
     body = body.strip()
     if ctes:
-        body = f"WITH {', '.join(ctes)}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {', '.join(ctes)} {body}"
+        start = "WITH RECURSIVE " if body.upper().startswith("WITH RECURSIVE ") else "WITH "
+        body = f"{start}{', '.join(ctes)}, {body[len(start):]}" if body.upper().startswith("WITH ") else f"WITH {', '.join(ctes)} {body}"
     return _spelled(body, "cast('0x' || substr(md5({}), 1, 8) AS bigint)")
 
 
