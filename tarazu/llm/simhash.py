@@ -174,7 +174,8 @@ def links_map(radius: int, least: float = 0.0, nearest: int = 0):
             lo, hi = now[2:] if now else (0, 0)
             rows = [(own, row) for own, _, row in sorted(group, key=lambda g: g[1])]
             mine = [row for own, row in rows if own == lo]
-            return shard_links(mine, None if lo == hi else [row for own, row in rows if own == hi], radius, least, nearest if lo == hi else min(nearest, 1))
+            few = max(nearest * SMALL // max(len(mine), SMALL), min(nearest, 1)) if lo == hi else 0
+            return shard_links(mine, None if lo == hi else [row for own, row in rows if own == hi], radius, least, few)
 
         def out(edges: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -220,6 +221,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 #: Bits of a wide fingerprint, made of so many numbers of 64 bits for each shingle; odd numbers that tell these apart.
 WIDE = 256
 _LANES = np.random.default_rng(1729).integers(1, 2**63, WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Rows of a block up to which each gives all its closest pairs beside the forest.
+SMALL = 64
 #: Bytes of a text split at once, up to the next white space.
 SLICE = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -320,7 +323,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fingerprints of WIDE bits over these sets find such pairs: a shard holds the fingerprints that agree on a
     choice of bits, and in a shard BK-trees give those within a radius that a pair at the similarity stays
     in (see shard_plan; more documents mean more bits and more tables). Of these, closest first, a forest leaves
-    the shard, and each row's `nearest` closest pairs (one where two blocks meet), so a group of near copies costs no list of pairs; these are held against
+    the shard, and each row's `nearest` closest pairs (fewer in a block of over SMALL rows, none where two blocks meet: rows
+    of a cut shard meet in many forests), so a group of near copies costs no list of pairs; these are held against
     the sets themselves, and only pairs at the similarity join. The forest alone would lose links: an edge that fails takes
     the one with it whose place it took. All orders and blocks follow from the contents, so reruns agree. A hot shard is cut into blocks that meet pairwise in tasks of their own.
 
