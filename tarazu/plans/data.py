@@ -316,15 +316,15 @@ def split_by_group(d: Data):
 _KEPT = "list_distinct(regexp_extract_all(translate(coalesce({}, ''), '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789'), '" + P.KEPT + "'))"
 
 
-@query(f"""WITH a AS (SELECT row, id, unnest(k) AS t FROM (SELECT row_number() OVER () AS row, source_id AS id, {_KEPT.format('target_text')} AS k FROM fx_pairs WHERE rule = 'translate') WHERE len(k) >= 2), b AS (SELECT row, id, unnest(k) AS t FROM (SELECT row_number() OVER () AS row, doc_id AS id, {_KEPT.format('text')} AS k FROM documents WHERE doc_id % 20 = 0) WHERE len(k) >= 2),
+@query(f"""WITH a AS (SELECT row, id, unnest(k) AS t FROM (SELECT row_number() OVER () AS row, source_id AS id, {_KEPT.format('target_text')} AS k FROM fx_pairs WHERE rule = 'translate') WHERE len(k) >= 2), b AS (SELECT row, id, unnest(k) AS t FROM (SELECT row_number() OVER () AS row, doc_id AS id, {_KEPT.format('text')} AS k FROM documents) WHERE len(k) >= 2),
     n AS (SELECT (SELECT count(DISTINCT row) FROM a) + (SELECT count(DISTINCT row) FROM b) AS n), w AS (SELECT t, ln(1 + any_value(n)::DOUBLE / count(*)) AS w FROM (SELECT t FROM a UNION ALL SELECT t FROM b), n GROUP BY 1),
     wa AS (SELECT a.*, w FROM a JOIN w USING (t)), wb AS (SELECT b.*, w FROM b JOIN w USING (t)), sa AS (SELECT row, sum(w) AS s FROM wa GROUP BY 1), sb AS (SELECT row, sum(w) AS s FROM wb GROUP BY 1),
     x AS (SELECT wb.row AS br, wa.row AS ar, any_value(wb.id) AS test_id, any_value(wa.id) AS train_id, count(*) AS shared, sum(wa.w) AS w FROM wa JOIN wb USING (t) GROUP BY 1, 2)
     SELECT DISTINCT test_id, train_id, shared, round(x.w / (sa.s + sb.s - x.w), 6) AS overlap FROM x JOIN sa ON ar = sa.row JOIN sb ON br = sb.row WHERE shared >= 2 AND x.w / (sa.s + sb.s - x.w) >= 0.8 - 1e-9""")
 def leak_translated(d: Data):
-    """Every twentieth document searched among the translations of all."""
+    """Each document searched among the translations of all."""
     train = d.fx_pairs.where("rule = 'translate'").select(F.col("source_id").alias("id"), F.col("target_text").alias("state"))
-    test = d.documents.where("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), F.col("text").alias("state"))
+    test = d.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("state"))
     return P.leak_translated(train, test).withColumn("overlap", F.round("overlap", 6))
 
 
