@@ -174,7 +174,7 @@ def links_map(radius: int, least: float = 0.0, nearest: int = 0):
             lo, hi = now[2:] if now else (0, 0)
             rows = [(own, row) for own, _, row in sorted(group, key=lambda g: g[1])]
             mine = [row for own, row in rows if own == lo]
-            few = max(nearest * SMALL // max(len(mine), SMALL), min(nearest, 1)) if lo == hi else 0
+            few = nearest * SMALL // max(len(mine), SMALL) if lo == hi else 0
             return shard_links(mine, None if lo == hi else [row for own, row in rows if own == hi], radius, least, few)
 
         def out(edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -221,8 +221,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 #: Bits of a wide fingerprint, made of so many numbers of 64 bits for each shingle; odd numbers that tell these apart.
 WIDE = 256
 _LANES = np.random.default_rng(1729).integers(1, 2**63, WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Rows of a block up to which each gives all its closest pairs beside the forest.
-SMALL = 64
+#: Rows of a block up to which each gives all its closest pairs beside the forest: what shards hold on average.
+SMALL = 32
 #: Bytes of a text split at once, up to the next white space.
 SLICE = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
