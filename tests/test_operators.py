@@ -285,3 +285,151 @@ def test_token_lengths_by_a_function(spark):
 
     d = spark.createDataFrame([("a", "abc"), ("a", "abcde"), ("b", None)], "source string, text string")
     assert {(r.source, r.n, r.p50, r.longest) for r in M.len_profile(d, "text", ["source"], pieces).collect()} == {("a", 2, 4.0, 5), ("b", 1, 0.0, 0)}
+
+
+# identity, groups, leaks across languages, glossary, versions, cases once
+
+
+def test_dedup_and_leaks_by_content(spark):
+    """Null and repeated ids lose no row, report no other one, and repeated rows count once."""
+    from tarazu.functions.text import text_key
+    from tarazu.operators import prep, records
+
+    long = " ".join(f"w{k}" for k in range(40))
+    d = spark.createDataFrame([(None, "only"), (None, "Twice"), (2, "twice!"), (1, "twice"), (3, "x"), (3, "y"), (4, "z"), (4, "z"), (None, None), (9, "")], "id long, state string")
+    got = records.dedup_exact(d, text_key(F.col("state"))).collect()
+    assert sorted((r.id or 0, r.state or "") for r in got) == [(0, "only"), (1, "twice"), (3, "x"), (3, "y"), (4, "z"), (9, "")]
+    train = spark.createDataFrame([(None, "a", "same"), (7, "b", "same"), (7, "c", "clean"), (8, "t", "other"), (8, None, "else")], "id long, source_id string, state string")
+    test = spark.createDataFrame([(1, "t", "Same!"), (2, None, "no")], "id long, source_id string, state string")
+    assert sorted((r.source_id, r.state) for r in prep.leak_exact(train, test).collect()) == [("a", "same"), ("b", "same"), ("t", "other")]
+    train = spark.createDataFrame([(1, long), (1, long), (1, long), (None, long), (2, long + " and more")], "id long, state string")
+    test = spark.createDataFrame([(5, long), (5, long), (None, long)], "id long, state string")
+    near = sorted((r.test_id or 0, r.train_id or 0, r.shared, round(r.jaccard, 3), r.containment) for r in prep.leak_near_dup(train, test).collect())
+    assert near == sorted((t, i, 36, j, 1.0) for t in (0, 5) for i, j in ((0, 1.0), (1, 1.0), (2, round(36 / 38, 3))))
+    assert sorted((r.test_id or 0, r.train_id or 0) for r in prep.leak_minhash(train, test).collect()) == [(t, i) for t in (0, 5) for i in (0, 1, 2)]
+
+
+def test_no_link_crosses_the_split(spark):
+    """Near copies over several steps are on one side; exact links against all pairs, components against union-find, also of a long chain."""
+    import random
+
+    from tarazu.operators import groups
+
+    rng, rows = random.Random(8), []
+    for g in range(12):
+        w = [f"g{g}w{rng.randrange(300)}" for _ in range(rng.randrange(30, 120))]
+        for _ in range(8):
+            rows.append((f"c{len(rows)}", " ".join(w)))
+            w[rng.randrange(len(w))] = f"new{len(rows)}"
+    rows += [("c1", "the second field of a case"), ("c90x", "The second field, of a case"), ("empty", ""), ("none", None), (None, rows[0][1]), ("few", "two words"), ("few2", "Two words")]
+    d = spark.createDataFrame(rows, "source_id string, state string")
+    sets = [(i, slow_shingles(t)) for i, t in rows if i and slow_shingles(t)]
+    want = {tuple(sorted((a, b))) for a, x in sets for b, y in sets if a != b and len(x & y) >= 0.8 * len(x | y)}
+    parent = {}
+
+    def root(v):
+        while parent.setdefault(v, v) != v:
+            v = parent[v]
+        return v
+
+    for a, b in want:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    out = groups.split_by_group(d, groups.near_copy_links(d)).collect()
+    assert len(out) == len(rows) and len(want) > 60
+    assert all(r.group == (r.source_id and root(r.source_id)) for r in out)
+    side = {r.source_id: r.split for r in out}
+    assert all(side[a] == side[b] for a, b in want)
+    chain = spark.range(10_000).select((F.col("id") * 7919 % 10_007).alias("a"), ((F.col("id") + 1) * 7919 % 10_007).alias("b"))
+    found = groups.connected(chain)
+    assert found.count() == 10_001 and {r.root for r in found.select("root").distinct().collect()} == {0}
+    assert groups.connected(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).count() == 0
+
+
+def test_leaks_across_languages(spark):
+    from tarazu.operators import prep
+
+    test = spark.createDataFrame([(1, "Pay 1,200 to a@b.com by 2024-05-01, order ZX-991"), (2, "In 2024 we met 3 times"), (3, None), (None, "call 555 and 777 at x@y.org")], "id long, state string")
+    train = spark.createDataFrame([(10, "سفارش ZX-991: تا ۲۰۲۴-۰۵-۰۱ مبلغ ۱,۲۰۰ به a@b.com"), (11, "2024: 3 and 4"), (12, "only 2024"), (13, "777 x@y.org 555"), (13, "777 x@y.org 555"), (None, "555 777 x@y.org")] + [(100 + k, f"in 2024, {k + 50} and 3") for k in range(30)], "id long, state string")
+    got = {(r.test_id, r.train_id): (r.shared, round(r.overlap, 6)) for r in prep.leak_translated(train, test).collect()}
+    tokens = {k: v for k, v in got.items() if k[1] in (10, 13, None)}
+    assert set(tokens) == {(1, 10), (None, 13), (None, None)} and all(v[1] == 1.0 for v in tokens.values())
+    assert (2, 11) not in got and all(i != 12 for _, i in got)
+
+
+def test_glossary_phrases(spark):
+    """Leftmost and longest terms, against a walk over the words."""
+    import random
+
+    from tarazu.operators import prep, qa
+
+    terms = ["a", "a b", "b a b", "c", "c  A", "b b b b", "Ünï d"]
+    glossary = spark.createDataFrame([(t, t.upper()) for t in terms], "en_term string, fa_term string")
+    known = {tuple(t.lower().split()): t for t in terms}
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["a", "b", "c", "A,", "ünï", "d", "x"]) for _ in range(rng.randrange(0, 25)))) for k in range(150)] + [(900, None), (901, ""), (3, "a b a"), (None, "a b")]
+    want = []
+    for i, t in rows:
+        w, k = [x.strip(",").lower() for x in (t or "").split()], 0
+        while k < len(w):
+            n = next((n for n in range(min(5, len(w) - k), 0, -1) if tuple(w[k : k + n]) in known), 0)
+            if n:
+                want.append((i, known[tuple(w[k : k + n])]))
+            k += n or 1
+    d = spark.createDataFrame(rows, "id long, state string")
+    got = [(r.id, r.en_term) for r in prep.glossary_terms(d, glossary).collect() for _ in range(r.n)]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(got, key=key) == sorted(want, key=key) and len(want) > 400
+    pairs = spark.createDataFrame([("p", "x a b x", "say A B"), ("p", "b a b", "no"), ("q", "c a", "C  A")], "source_id string, source_text string, target_text string")
+    assert sorted((r.source_id, r.en_term, r.ok) for r in qa.glossary_match(pairs, glossary).collect()) == [("p", "a b", True), ("p", "b a b", False), ("q", "c  A", True)]
+    assert prep.glossary_terms(d, glossary.limit(0)).count() == 0
+
+
+def test_versions_tell_tables_apart(spark):
+    from tarazu.operators import records
+
+    frame = lambda rows: spark.createDataFrame(rows, "id long, t string, u string")
+    version = lambda rows: tuple(records.dataset_version_hash(frame(rows), ["id", "t", "u"]).first())
+    a, b = (1, "a", "b"), (2, "c", None)
+    assert version([a, a]) != version([b, b]) and version([a, b]) == version([b, a]) and version([a]) != version([a, a, a])
+    assert version([(1, "a|b", "")]) != version([(1, "a", "b|")]) and version([(1, None, "")]) != version([(1, "", None)])
+    old = [(k, f"t{k}", "u") for k in range(500)] + [(7, "t7", "u"), (None, "n", "u")]
+    new = [(k, f"t{k}", "u") for k in range(1, 503)] + [(None, "m", "u")]
+    diff = {(r.id, r.change) for r in records.version_diff(frame(old), frame(new), ["id", "t", "u"], buckets=64).collect()}
+    assert diff == {(0, "removed"), (7, "changed"), (500, "added"), (501, "added"), (502, "added"), (None, "changed")}
+    whole = version(old)[1]
+    assert sum(r.version for r in records.version_buckets(frame(old), ["id", "t", "u"]).collect()) % records.PRIME == whole
+
+
+def test_each_case_is_resumed_once(spark, tmp_path):
+    """A case in two files, a batch killed half-way, a restart: each case once."""
+    from tarazu.streaming.resume import process_available
+
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    schema = "case string, n long"
+    write = lambda *ids: spark.createDataFrame([(c, 1) for c in ids], schema).coalesce(1).write.mode("append").parquet(src)
+    write("a", "b", "b")
+    write("b", "c")
+
+    def dies(batch):
+        batch.limit(1).write.mode("overwrite").parquet(str(tmp_path / "half"))
+        raise RuntimeError("killed")
+
+    with pytest.raises(Exception, match="killed"):
+        process_available(spark, src, out, ckpt, spark.read.parquet(src).schema, dies, case=["case"])
+    for more in ((), ("a", "d"), ("d", "c")):
+        if more:
+            write(*more)
+        process_available(spark, src, out, ckpt, spark.read.parquet(src).schema, lambda b: b, max_files=1, case=["case"])
+    assert sorted(r.case for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "d"]
+
+
+def test_transcripts_take_linear_time(spark):
+    import time
+
+    from tarazu.operators.mix import scrub
+
+    t = time.time()
+    text = spark.createDataFrame([("a" * 400_000,), ("a@b-" * 50_000,), ("mail a.b@c.de now +1 555 123 4567",)], "t string")
+    got = [r.t for r in text.select(scrub(F.col("t")).alias("t")).collect()]
+    assert got[2] == "mail <email> now <phone>" and time.time() - t < 20
