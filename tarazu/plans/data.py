@@ -424,6 +424,23 @@ def text_normalize(d: Data):
     return d.pages.select("page_id", TX.normalize(F.col("url")).alias("url"))
 
 
+#: Phrases as people type them, and as they are spelled right, `|` for a zero-width non-joiner.
+PERSIAN_TYPED = ("کتاب ها", "خانه های", "كتابهايش", "تنها", "بزرگ تر", "رفته ام", "شهر | ما", "میوهها"), ("می رود", "نمی خواهد", "می را خورد", "رفت", "می  گویند")
+PERSIAN_RIGHT = ("کتاب|ها", "خانه|های", "کتاب|هایش", "تنها", "بزرگ|تر", "رفته|ام", "شهر ما", "میوه|ها"), ("می|رود", "نمی|خواهد", "می را خورد", "رفت", "می|گویند")
+
+
+def _sentence(phrases: tuple[tuple[str, ...], ...], digits: str) -> str:
+    """SQL of a sentence about an event: phrases by its id, its user and its value's whole part in digits of one kind."""
+    pick = lambda ps, n: f"CASE {n} % {len(ps)} " + " ".join(f"WHEN {i} THEN '{p.replace('|', TX.ZWNJ)}'" for i, p in enumerate(ps)) + " END"
+    number = f"translate(cast(cast(floor(value) AS bigint) AS string), '0123456789', '{digits}')"
+    return f"concat({pick(phrases[0], 'event_id')}, ' ', {number}, ' ', {pick(phrases[1], 'user_id')})"
+
+
+@query(f"SELECT event_id, {_sentence(PERSIAN_RIGHT, TX.LATIN)} AS text FROM events")
+def zwnj_placed(d: Data):
+    return d.events.select("event_id", TX.normalize(F.expr(_sentence(PERSIAN_TYPED, TX.PERSIAN))).alias("text"))
+
+
 @query("SELECT source_id, field, source_text = target_text AS ok FROM fx_pairs WHERE rule = 'keep'")
 def qa_keep_identical(d: Data):
     return Q.keep_identical(d.fx_pairs)

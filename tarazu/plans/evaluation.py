@@ -36,14 +36,24 @@ _FIT = """SELECT run, {by} min_by(t, round(loss, 9) * 1000000 + t / 1000000) AS
         SELECT run, id, {by} t, g, exp(score / t) / sum(exp(score / t)) OVER (PARTITION BY run, id, t) AS q FROM fx_long CROSS JOIN (SELECT cast(i AS double) / 20 AS t FROM range(5, 81) r(i)) WHERE split = 'calibration') WHERE g > 0 GROUP BY run, {by} t) GROUP BY run{last}"""
 
 
-@query(_FIT.format(by="task,", last=", task"))
+# the root of the loss's slope in b = 1 / t, by 40 sections of the bracket, six times; d is how far the gold option's score is ahead of the other's
+_SLOPE = "SELECT run, task, coalesce(max(b) FILTER (slope < 0), min(lo)) AS lo, coalesce(min(b) FILTER (slope >= 0), max(hi)) AS hi FROM (SELECT run, task, lo, hi, lo * pow(hi / lo, i / 40.0::DOUBLE) AS b, avg(-d / (1 + exp(lo * pow(hi / lo, i / 40.0::DOUBLE) * d))) AS slope FROM {} JOIN c USING (run, task) CROSS JOIN range(41) r(i) GROUP BY run, task, lo, hi, i) GROUP BY run, task"
+_ROOT = "WITH c AS (SELECT run, task, id, sum(CASE WHEN g > 0 THEN score ELSE -score END) AS d FROM fx_long WHERE split = 'calibration' GROUP BY ALL), l0 AS (SELECT DISTINCT run, task, 0.01::DOUBLE AS lo, 100::DOUBLE AS hi FROM c), " + ", ".join(f"l{k + 1} AS ({_SLOPE.format(f'l{k}')})" for k in range(6))
+
+
+@query(f"{_ROOT} SELECT run, task, round(1 / sqrt(lo * hi), 6) AS t, round(avg(ln(1 + exp(-sqrt(lo * hi) * d))), 6) AS loss FROM l6 JOIN c USING (run, task) GROUP BY run, task, lo, hi")
 def temperature_fit(d: Data):
     return S.temperature_fit(d.fx_long.where("split = 'calibration'"), RT)
 
 
+@query(_FIT.format(by="task,", last=", task"))
+def temperature_grid(d: Data):
+    return S.temperature_grid(d.fx_long.where("split = 'calibration'"), RT)
+
+
 @query(f"""WITH t AS ({_FIT.format(by="", last="")}) SELECT l.run, l.id, l.idx, round(exp(l.score / t.t) / sum(exp(l.score / t.t)) OVER (PARTITION BY l.run, l.id), 6) AS p FROM fx_long l JOIN t ON l.run = t.run""")
 def temperature_apply(d: Data):
-    t = S.temperature_fit(d.fx_long.where("split = 'calibration'"), ["run"])
+    t = S.temperature_grid(d.fx_long.where("split = 'calibration'"), ["run"])
     return S.temperature_apply(d.fx_long, t, ["run"]).select("run", "id", "idx", F.round("p", 6).alias("p"))
 
 
@@ -56,7 +66,7 @@ _METRICS = """SELECT run, lang, count(*) AS n, round(avg(cast(correct AS double)
 def flagship_calibration(d: Data):
     """How well calibrated is each run on the test split by language, once its temperature is fitted on the calibration split?"""
     long = d.fx_long
-    t = S.temperature_fit(long.where("split = 'calibration'"), ["run"])
+    t = S.temperature_grid(long.where("split = 'calibration'"), ["run"])
     p = S.temperature_apply(long.where("split = 'test'"), t, ["run"])
     top = S.top1(p, ["run", "id", "lang"])
     return S.m_accuracy(top, ["run", "lang"]).join(S.m_log_loss(p, ["run", "lang"]), ["run", "lang"])
@@ -174,6 +184,16 @@ def m_latency(d: Data):
     return S.m_latency(d.events, ["event_type"], "value")
 
 
+@query("SELECT event_type, count(value) AS n, true AS p50_near, true AS p95_near FROM events GROUP BY 1")
+def latency_sketch(d: Data):
+    """Quantiles from sketches per day and event type, merged: is each one's true rank within the sketch's error of 2 %?"""
+    e = d.events.select("event_type", "value", F.to_date("ts").alias("day"))
+    q = S.latency_quantiles(S.latency_sketch(e, ["event_type", "day"], "value"), ["event_type"], {"p50": 0.5, "p95": 0.95})
+    r = e.join(q, "event_type").groupBy("event_type").agg(F.first("n").alias("n"), *[F.avg((F.col("value") <= F.col(c)).cast("double")).alias(f"{c}_upto") for c in ("p50", "p95")], *[F.avg((F.col("value") < F.col(c)).cast("double")).alias(f"{c}_below") for c in ("p50", "p95")])
+    near = lambda c, x: ((F.col(f"{c}_upto") >= x - 0.02) & (F.col(f"{c}_below") <= x + 0.02)).alias(f"{c}_near")
+    return r.select("event_type", "n", near("p50", 0.5), near("p95", 0.95))
+
+
 @query("SELECT run_id, round(max(value), 6) AS peak FROM fx_events GROUP BY 1")
 def m_memory(d: Data):
     return S.m_memory(d.fx_events, ["run_id"], "value")
