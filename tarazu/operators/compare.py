@@ -1,10 +1,9 @@
 """Run logs, paired comparison, robustness, gates, monitors and report tables."""
 
-from __future__ import annotations
-
 import math
 from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -183,7 +182,7 @@ def pert_distractor(records: DataFrame, seed: int = 0, group_rows: int = 1024) -
 
     Only ids and first options are numbered, in groups of about `group_rows`.
     """
-    r = records.select("id", F.col("options")[0]["text"].alias("__first"))
+    r = records.select("id", F.get("options", F.lit(0))["text"].alias("__first"))
     r = r.withColumn("__g", h32(F.lit("g"), F.lit(seed), F.col("id")) % max(1, records.count() // group_rows))
     w = W.partitionBy("__g").orderBy(h32(F.lit(seed), F.col("id")), "id")
     t = r.select(F.col("id").alias("__id"), F.coalesce(F.lead("__first").over(w), F.first("__first").over(w)).alias("__t"))
@@ -205,6 +204,80 @@ def robust_flip(base: DataFrame, changed: DataFrame, by: list[str]) -> DataFrame
     return d.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg((~F.col("pred").eqNullSafe(F.col("was"))).cast("double")), 6).alias("flips"))
 
 
+def perturbed(records: DataFrame, colloquial: DataFrame | None = None, asked: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """(id, kind, state, question_text, options, back): a row per record and kind of change, worked out in one pass over the records; back maps each option id shown to the one it was.
+
+    Kinds: shuffle (options in a seeded order), rename (other option ids), distractor (a wrong option of another record, which
+    maps back to nothing), digits (Latin and Persian ones swapped in state and question), register (the state in its
+    other wording, from colloquial: id, state), english (the question from asked: question_type, question_text, where it
+    isn't in English). A kind that changes nothing in a record has no row: no digits, one option, no other wording.
+    records: one row per id. asked is one row per question type; where a type repeats, the first text in order counts.
+    """
+    r = pert_distractor(records, seed).select("id", F.col("options").alias("__more"))
+    d = records.select("id", "state", "question_text", "question_type", "question_lang", "options").join(r, "id")
+    if colloquial is None:
+        d = d.withColumn("__said", F.lit(None).cast("string"))
+    else:
+        d = d.join(colloquial.groupBy("id").agg(F.min("state").alias("__said")), "id", "left")
+    if asked is None:
+        d = d.withColumn("__ask", F.lit(None).cast("string"))
+    else:
+        d = d.join(asked.groupBy("question_type").agg(F.min("question_text").alias("__ask")), "question_type", "left")
+    ids = F.transform("options", lambda o: o["id"])
+    same, none = F.map_from_arrays(ids, ids), F.lit(None).cast("string")
+    tagged = F.transform("options", lambda o: F.struct(h32(F.lit(seed), F.col("id"), o["id"]).alias("h"), o["id"].alias("id"), o.alias("o")))
+    renamed = F.transform("options", lambda o, i: F.struct(F.concat(F.lit("opt_"), (i + 1).cast("string")).alias("id"), o["text"].alias("text")))
+
+    def change(kind: str, when: Column, state: Column | str = "state", question: Column | str = "question_text", options: Column | str = "options", back: Column = same) -> Column:
+        cols = [(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in ((state, "state"), (question, "question_text"), (options, "options"))]
+        return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(kind).alias("kind"), *cols, back.alias("back")))
+
+    kinds = F.array(
+        change("shuffle", F.size("options") > 1, options=F.transform(F.array_sort(tagged), lambda x: x["o"])),
+        change("rename", F.size("options") > 0, options=renamed, back=F.map_from_arrays(F.transform(renamed, lambda o: o["id"]), ids)),
+        change("distractor", F.size("__more") > F.size("options"), options="__more", back=F.map_concat(same, F.create_map(F.lit("distractor"), none))),
+        change("digits", ~swap_digits(F.col("state")).eqNullSafe(F.col("state")) | ~swap_digits(F.col("question_text")).eqNullSafe(F.col("question_text")), swap_digits(F.col("state")), swap_digits(F.col("question_text"))),
+        change("register", F.col("__said") != F.col("state"), state=F.col("__said")),
+        change("english", (F.col("question_lang") != "en") & F.col("__ask").isNotNull(), question=F.col("__ask")),
+    )
+    return d.select("id", F.explode(F.array_compact(kinds)).alias("__c")).select("id", "__c.*")
+
+
+def answers_back(answers: DataFrame, changed: DataFrame) -> DataFrame:
+    """answers (run, id, kind, pred as shown) with pred as the original option's id, null for a distractor or an unknown id."""
+    d = answers.join(changed.select("id", "kind", "back"), ["id", "kind"])
+    return d.withColumn("pred", F.try_element_at("back", F.col("pred"))).select("run", "id", "kind", "pred")
+
+
+def mcnemar_p(lost: int, won: int) -> float:
+    """Two-sided exact McNemar test: how likely lost and won would differ so far if each were as likely as the other. About the root of their sum in steps."""
+    n, k = lost + won, min(lost, won)
+    top = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+    total = term = 1.0
+    for i in range(k, 0, -1):
+        term *= i / (n - i + 1)
+        total += term
+        if term < total * 1e-17:
+            break
+    return min(1.0, 2 * math.exp(top) * total)
+
+
+def flip_tests(base: DataFrame, changed: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, flips, lost, won, p): share of answers that became another option; answers right before and wrong after and the reverse; the exact McNemar test of these two.
+
+    base: (run, id, pred, gold); changed: (run, id, pred as original option id, and what `by` names besides). A null answer equals a null answer only, and is never right.
+    """
+    d = base.select("run", "id", F.col("pred").alias("was"), "gold").join(changed, ["run", "id"])
+    before, after = F.coalesce(F.col("was") == F.col("gold"), F.lit(False)), F.coalesce(F.col("pred") == F.col("gold"), F.lit(False))
+    n = d.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg((~F.col("pred").eqNullSafe(F.col("was"))).cast("double")), 6).alias("flips"), F.sum((before & ~after).cast("long")).alias("lost"), F.sum((~before & after).cast("long")).alias("won"))
+
+    @F.pandas_udf("double")
+    def p(lost: pd.Series, won: pd.Series) -> pd.Series:
+        return pd.Series([mcnemar_p(int(a), int(b)) for a, b in zip(lost, won)], dtype="float64")
+
+    return n.withColumn("p", F.round(p("lost", "won"), 6))
+
+
 # Gates and monitors
 
 

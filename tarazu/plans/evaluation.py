@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarazu.functions.seeded import h32
 from tarazu.operators import compare as C
 from tarazu.operators import score as S
 from tarazu.plans.registry import Data, query
@@ -329,6 +330,37 @@ def robust_flip(d: Data):
     return C.robust_flip(top.where("run = 0").select("run", "id", "pred"), top.where("run = 1").select(F.lit(0).alias("run"), "id", "task", "pred"), ["task"])
 
 
+# Questions about parts: which of brand and type is it? Run 0 answers by the place of an option and what it reads, run 1 by the options' texts.
+_ROBUST = r"""WITH g AS (SELECT *, H32(concat('g:0:', cast(p_partkey AS varchar))) % greatest(1, (SELECT count(*) FROM part) // 1024) AS grp FROM part),
+    x AS (SELECT p_partkey AS k, concat(p_name, ' ', cast(p_size AS varchar)) AS s, p_brand AS o0, p_type AS o1, coalesce(lead(p_brand) OVER o, first_value(p_brand) OVER o) AS t FROM g WINDOW o AS (PARTITION BY grp ORDER BY H32(concat('0:', cast(p_partkey AS varchar))), p_partkey)),
+    q AS (SELECT *, concat(s, '|kodam') AS b, H32(concat('0:', cast(k AS varchar), ':1')) < H32(concat('0:', cast(k AS varchar), ':0')) AS turned, CASE WHEN H32(o0) < H32(o1) OR (H32(o0) = H32(o1) AND o0 <= o1) THEN 0 ELSE 1 END AS by_text FROM x),
+    a AS (SELECT 0 AS run, k, H32(b) % 2 AS was, 'shuffle' AS kind, CASE WHEN turned THEN 1 - H32(b) % 2 ELSE H32(b) % 2 END AS pred FROM q UNION ALL SELECT 0, k, H32(b) % 2, 'rename', H32(b) % 2 FROM q
+        UNION ALL SELECT 0, k, H32(b) % 2, 'distractor', CASE WHEN H32(b) % 3 < 2 THEN H32(b) % 3 END FROM q WHERE t NOT IN (o0, o1)
+        UNION ALL SELECT 0, k, H32(b) % 2, 'digits', H32(translate(b, '0123456789', '۰۱۲۳۴۵۶۷۸۹')) % 2 FROM q UNION ALL SELECT 0, k, H32(b) % 2, 'register', H32(concat('so ', b)) % 2 FROM q UNION ALL SELECT 0, k, H32(b) % 2, 'english', H32(concat(s, '|which')) % 2 FROM q
+        UNION ALL SELECT 1, k, by_text, unnest(['shuffle', 'rename', 'digits', 'register', 'english']), by_text FROM q
+        UNION ALL SELECT 1, k, by_text, 'distractor', CASE WHEN H32(t) < least(H32(o0), H32(o1)) THEN NULL ELSE by_text END FROM q WHERE t NOT IN (o0, o1)),
+    n AS (SELECT run, kind, count(*) AS n, round(avg(CASE WHEN pred IS DISTINCT FROM was THEN 1.0 ELSE 0 END), 6) AS flips, count(*) FILTER (was = 0 AND pred IS DISTINCT FROM 0) AS lost, count(*) FILTER (was <> 0 AND pred = 0) AS won FROM a GROUP BY 1, 2)
+    SELECT *, round(least(1, 2 * list_sum(list_transform(range(0, least(lost, won) + 1), lambda i: exp(lgamma(lost + won + 1) - lgamma(i + 1) - lgamma(lost + won - i + 1) - (lost + won) * ln(2))))), 6) AS p FROM n"""
+
+
+@query(_ROBUST)
+def robust_all(d: Data):
+    """Which of six changes to a question make which run answer otherwise, and does it cost right answers?"""
+    opts = F.array(*[F.struct(F.lit(i).alias("id"), F.col(c).alias("text")) for i, c in (("0", "p_brand"), ("1", "p_type"))])
+    state = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"))
+    r = d.part.select(F.col("p_partkey").alias("id"), state.alias("state"), F.lit("kodam").alias("question_text"), F.lit("which").alias("question_type"), F.lit("fa").alias("question_lang"), opts.alias("options"), F.create_map(F.lit("0"), F.lit(1.0), F.lit("1"), F.lit(0.0)).alias("gold"))
+    asked = d.spark.sql("SELECT 'which' AS question_type, 'which' AS question_text")
+    p = C.perturbed(r, r.select("id", F.concat(F.lit("so "), "state").alias("state")), asked)
+
+    def answers(x, *keep):
+        place = h32(F.concat("state", F.lit("|"), "question_text")) % F.size("options")
+        by_text = F.array_min(F.transform("options", lambda o: F.struct(h32(o["text"]).alias("h"), o["text"].alias("t"), o["id"].alias("id"))))["id"]
+        runs = F.array(F.struct(F.lit(0).alias("run"), F.element_at("options", place.cast("int") + 1)["id"].alias("pred")), F.struct(F.lit(1).alias("run"), by_text.alias("pred")))
+        return x.select("id", *keep, F.explode(runs).alias("a")).select("a.run", "id", *keep, "a.pred")
+
+    return C.flip_tests(answers(r).withColumn("gold", F.lit("0")), C.answers_back(answers(p, "kind"), p), ["run", "kind"])
+
+
 @query("SELECT x.source_id, x.text AS formal, y.text AS colloquial FROM fx_docs x JOIN (SELECT cast(doc_id AS varchar) AS source_id, lower(text) AS text FROM documents WHERE lang = 'en') y ON x.source_id = y.source_id WHERE x.task = 'toxic'")
 def pert_register(d: Data):
     low = d.documents.where("lang = 'en'").select(F.col("doc_id").cast("string").alias("source_id"), F.lower("text").alias("state"))
