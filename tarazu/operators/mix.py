@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tarazu.functions.seeded import h32, unit
 from tarazu.operators.records import one_hot, option_array
+from tarazu.sources.shared import written
 
 YES_NO = (("yes", "Yes"), ("no", "No"))
 
@@ -196,20 +197,24 @@ def share_caps(counts: DataFrame, share: float = 0.3, source: str = "source") ->
     return c.select(source, "n", F.col("cap").cast("long").alias("cap"))
 
 
-def mix_cap_share(df: DataFrame, share: float = 0.3, seed: int = 0, source: str = "source", id_col: str = "id") -> DataFrame:
-    """No source above the share (a null source is one too): each source keeps its rows with the least seeded hashes.
+def _bucketed(df: DataFrame, seed: int, source: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """df with its rows' seeded hash and one of 4096 buckets of it, and the rows of each source and bucket."""
+    d = df.withColumn("__h", h32(F.lit(seed), F.col(id_col))).withColumn("__b", (F.col("__h") / F.lit(1 << 20)).cast("int"))
+    return d, d.groupBy(source, "__b").agg(F.count("*").alias("__m"))
 
-    The rank within a source is that within one of 4096 hash buckets plus the rows of lower buckets,
-    so a source with a third of all rows is ranked by many tasks.
-    """
-    h = h32(F.lit(seed), F.col(id_col))
-    d = df.withColumn("__h", h).withColumn("__b", (F.col("__h") / F.lit(1 << 20)).cast("int"))
-    buckets = d.groupBy(source, "__b").agg(F.count("*").alias("__m"))
-    caps = share_caps(buckets.groupBy(source).agg(F.sum("__m").alias("n")), share, source)
+
+def _ranked(d: DataFrame, buckets: DataFrame, per_source: DataFrame, source: str, id_col: str, *columns: str) -> DataFrame:
+    """d with per_source's columns and __rn, the row's rank in its source: that within its bucket plus the rows of lower buckets, so that many tasks rank a source with a third of all rows."""
     below = buckets.withColumn("__below", F.coalesce(F.sum("__m").over(W.partitionBy(source).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    known = below.join(caps.select(F.col(source).alias("__s"), "cap"), F.col(source).eqNullSafe(F.col("__s"))).select("__s", F.col("__b").alias("__kb"), "__below", "cap")
-    ranked = d.join(known, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__kb"))).withColumn("__rn", F.row_number().over(W.partitionBy(source, "__b").orderBy("__h", id_col)) + F.col("__below"))
-    return ranked.where("__rn <= cap").select(*df.columns)
+    known = below.join(per_source.select(F.col(source).alias("__s"), *columns), F.col(source).eqNullSafe(F.col("__s"))).select("__s", F.col("__b").alias("__kb"), "__below", *columns)
+    return d.join(known, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__kb"))).withColumn("__rn", F.row_number().over(W.partitionBy(source, "__b").orderBy("__h", id_col)) + F.col("__below"))
+
+
+def mix_cap_share(df: DataFrame, share: float = 0.3, seed: int = 0, source: str = "source", id_col: str = "id") -> DataFrame:
+    """No source above the share (a null source is one too): each source keeps its rows with the least seeded hashes."""
+    d, buckets = _bucketed(df, seed, source, id_col)
+    caps = share_caps(buckets.groupBy(source).agg(F.sum("__m").alias("n")), share, source)
+    return _ranked(d, buckets, caps, source, id_col, "cap").where("__rn <= cap").select(*df.columns)
 
 
 def mix_upsample(df: DataFrame, floor: int, source: str = "source") -> DataFrame:
@@ -219,6 +224,46 @@ def mix_upsample(df: DataFrame, floor: int, source: str = "source") -> DataFrame
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.lit(floor) / F.greatest(F.col("__n"), F.lit(1))).cast("int")))).drop("__n", "__s")
 
 
+def balance_plan(counts: DataFrame, share: float = 0.3, floor: int = 1, least: int = 0, most: int | None = None, source: str = "source", ways: int = 32) -> DataFrame:
+    """(source, n, target) from (source, n): how many rows of each source make a mix that holds every bound at once. No source above `share` of the whole, none below `floor`, the whole between `least` and `most`.
+
+    A source counts as greatest(n, floor) rows and gets at most a common level, the highest that the share and `most` allow:
+    the whole is sum(least(rows, level)), which grows with the level but slower than it, so both bounds hold up to one
+    level and none above. Each pass sums at `ways` levels, and the driver sees these sums alone. A ValueError names the
+    bound that nothing can meet. A null source is one too; sources without rows get none; the whole may stay below `most` by less than one row a source.
+    """
+    if floor < 1:
+        raise ValueError("floor: at least 1")
+    c = written(counts.where("n > 0").select(source, F.col("n").cast("long").alias("n"), F.greatest(F.col("n"), F.lit(floor)).cast("long").alias("__w")), "sources")
+    top = c.agg(F.count("*").alias("k"), F.max("__w").alias("w")).first()
+    if not top.k:
+        return c.select(source, "n", F.lit(0).cast("long").alias("target"))
+    fits = lambda level, whole: level <= share * whole + 1e-9 and (most is None or whole <= most)
+    if top.k * floor > share * top.k * top.k * floor + 1e-9:
+        raise ValueError(f"share: {top.k} sources can't each be at most {share} of the whole")
+    if most is not None and top.k * floor > most:
+        raise ValueError(f"most: {top.k} sources of at least {floor} rows are over {most}")
+    level, whole, above = floor, top.k * floor, top.w + 1
+    while above - level > 1:
+        tried = sorted({level + max(1, (above - level) * i // ways) for i in range(1, ways)} - {above})
+        sums = c.agg(*[F.sum(F.least("__w", F.lit(t))).alias(f"s{i}") for i, t in enumerate(tried)]).first()
+        good = [(t, x) for t, x in zip(tried, sums) if fits(t, x)]
+        bad = [t for t, x in zip(tried, sums) if not fits(t, x)]
+        (level, whole), above = good[-1] if good else (level, whole), bad[0] if bad else above
+    if whole < least:
+        raise ValueError(f"least: the whole is {whole} rows at most, under {least}")
+    return c.select(source, "n", F.least("__w", F.lit(level)).cast("long").alias("target"))
+
+
+def mix_balance(df: DataFrame, share: float = 0.3, floor: int = 1, least: int = 0, most: int | None = None, seed: int = 0, source: str = "source", id_col: str = "id") -> DataFrame:
+    """df with copy (1 up): each source's rows as often as balance_plan says, all of them equally often but for those with the least seeded hashes, which come once more. Ranks are taken in buckets, as in mix_cap_share."""
+    d, buckets = _bucketed(df, seed, source, id_col)
+    plan = balance_plan(buckets.groupBy(source).agg(F.sum("__m").alias("n")), share, floor, least, most, source)
+    ranked = _ranked(d, buckets, plan.select(source, F.col("n").alias("__n"), F.col("target").alias("__target")), source, id_col, "__n", "__target")
+    times = F.floor(F.col("__target") / F.col("__n")).cast("int") + (F.col("__rn") <= F.col("__target") % F.col("__n")).cast("int")
+    return ranked.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*df.columns, "copy")
+
+
 def mix_ablate(df: DataFrame, without: str) -> DataFrame:
     """The mix without an origin, or without a language of states or questions."""
     gone = F.coalesce(F.col("origin") == without, F.lit(False)) | F.coalesce(F.col("state_lang") == without, F.lit(False)) | F.coalesce(F.col("question_lang") == without, F.lit(False))

@@ -662,6 +662,19 @@ def mix_upsample(d: Data):
     return M.mix_upsample(d.documents.select("doc_id", "source"), 60).select("doc_id", "copy")
 
 
+_UNEVEN = "SELECT doc_id, CASE WHEN cast(substr(source, 4) AS int) < 12 THEN 'big' ELSE source END AS source FROM documents"
+
+
+@query(f"""WITH e AS ({_UNEVEN}), b AS (SELECT count(*) // 15 AS floor, count(*) * 7 // 10 AS most FROM e), n AS (SELECT source, count(*) AS n, greatest(count(*), any_value(floor)) AS w FROM e CROSS JOIN b GROUP BY 1),
+    l AS (SELECT c, sum(least(w, c)) AS whole FROM n CROSS JOIN range(1, (SELECT max(w) + 1 FROM n)) r(c) GROUP BY 1), t AS (SELECT source, n, least(w, (SELECT max(c) FROM l, b WHERE c <= 0.3 * whole + 1e-9 AND whole <= most)) AS target FROM n),
+    x AS (SELECT e.doc_id, t.target // t.n + CASE WHEN row_number() OVER (PARTITION BY e.source ORDER BY H32(concat('0:', cast(e.doc_id AS varchar))), e.doc_id) <= t.target % t.n THEN 1 ELSE 0 END AS times FROM e JOIN t ON e.source = t.source)
+    SELECT doc_id, unnest(range(1, cast(times AS bigint) + 1)) AS copy FROM x""")
+def mix_balance(d: Data):
+    """A mix of 70 % of the documents: no source above 30 %, none below a fifteenth of the documents."""
+    n = d.documents.count()
+    return M.mix_balance(d.sql(_UNEVEN), 0.3, n // 15, 0, n * 7 // 10, id_col="doc_id").select("doc_id", "copy")
+
+
 @query("SELECT id FROM fx_docs WHERE origin <> 'translated'")
 def mix_ablate(d: Data):
     return M.mix_ablate(records(d), "translated").select("id")
