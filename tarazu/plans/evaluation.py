@@ -174,10 +174,12 @@ def m_mae(d: Data):
     return S.m_mae(d.fx_score, ["event_type"])
 
 
-@query("SELECT a.task, count(*) AS n, round(avg(cast(b.correct AS int) - cast(a.correct AS int)), 6) AS gap FROM fx_top a JOIN fx_top b ON a.id = b.id AND a.run = 0 AND b.run = 2 GROUP BY 1")
+@query("""WITH t AS (SELECT run, id, task, asked, (max(CASE WHEN idx = 0 THEN score END) >= max(CASE WHEN idx = 1 THEN score END)) = (max(CASE WHEN idx = 0 THEN g END) > 0) AS correct FROM fx_asked GROUP BY ALL)
+    SELECT run, task, count(*) AS n, round(avg(cast(e.correct AS int) - cast(f.correct AS int)), 6) AS gap FROM (FROM t WHERE asked = 'en') e JOIN (FROM t WHERE asked = 'fa') f USING (run, id, task) GROUP BY run, task""")
 def m_language_gap(d: Data):
-    top = S.top1(d.fx_p.where("run in (0, 2)"), ["run", "id", "task"])
-    return S.m_language_gap(top.select("task", F.col("id").alias("qid"), F.when(F.col("run") == 2, "en").otherwise("fa").alias("lang"), "correct"), ["task"])
+    """How much more often is each run right when the same decision is asked in English?"""
+    top = S.top1(S.softmax_options(d.fx_asked, ["run", "id", "asked"]), ["run", "id", "task", "asked"])
+    return S.m_language_gap(top.select("run", "task", F.col("id").alias("qid"), F.col("asked").alias("lang"), "correct"), RT)
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
@@ -392,9 +394,10 @@ def mon_truncation(d: Data):
     return C.mon_truncation(d.documents, ["source"], token_length(F.col("text")), 256, F.col("n_chars") > 3000)
 
 
-@query("SELECT run, task, cast(sum(CASE WHEN NOT correct AND conf >= 0.9 THEN 1 ELSE 0 END) AS bigint) AS overconfident FROM fx_top GROUP BY 1, 2")
+@query("""SELECT run, task, cast(sum(CASE WHEN right_one < 0.5 AND 1 - right_one >= 0.99 THEN 1 ELSE 0 END) AS bigint) AS overconfident FROM (SELECT run, id, task, sum(CASE WHEN g > 0 THEN exp(2 * score) ELSE 0 END) / sum(exp(2 * score)) AS right_one FROM fx_long GROUP BY ALL) GROUP BY 1, 2""")
 def mon_overconfident(d: Data):
-    return C.mon_overconfident(S.top1(d.fx_p, ["run", "id", "task"]), RT, 0.9)
+    """Answers that are sure (0.99 and more) and wrong, at a temperature of one half."""
+    return C.mon_overconfident(S.top1(S.softmax_options(d.fx_long, temperature=F.lit(0.5)), ["run", "id", "task"]), RT)
 
 
 @query("SELECT *, without > \"full\" AS flag FROM (SELECT task AS test_set, round(avg(CASE WHEN run = 2 THEN cast(correct AS double) END), 6) AS \"full\", round(avg(CASE WHEN run = 1 THEN cast(correct AS double) END), 6) AS without FROM fx_top WHERE origin = 'native' GROUP BY 1)")

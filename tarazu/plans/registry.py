@@ -27,6 +27,9 @@ FIXTURES: dict[str, str] = {
         CASE WHEN (f.label = 'yes') = (o.idx = 0) THEN cast(1 AS double) ELSE cast(0 AS double) END AS g,
         cast((f.k * 7919 + o.idx * 104729 + r.run * 1299709) % 1000 AS double) / 250 - 2 + CASE WHEN (f.label = 'yes') = (o.idx = 0) THEN cast(r.run AS double) / 2 ELSE cast(0 AS double) END AS score
         FROM fx_docs f CROSS JOIN (SELECT 0 AS idx UNION ALL SELECT 1 AS idx) o CROSS JOIN (SELECT 0 AS run UNION ALL SELECT 1 AS run UNION ALL SELECT 2 AS run UNION ALL SELECT 3 AS run) r""",
+    # each decision asked in English and in Persian, where the scores are off by a hash
+    "fx_asked": """SELECT l.run, l.id, l.task, q.asked, l.idx, l.option_id, l.g, CASE WHEN q.asked = 'fa' THEN l.score + cast(H32(concat(cast(l.run AS string), ':', l.id, ':', cast(l.idx AS string))) % 1000 AS double) / 400 ELSE l.score END AS score
+        FROM fx_long l CROSS JOIN (SELECT 'en' AS asked UNION ALL SELECT 'fa' AS asked) q""",
     "fx_p": """SELECT *, exp(score) / sum(exp(score)) OVER (PARTITION BY run, id) AS p FROM fx_long""",
     # the same with run 3 as a teacher whose probabilities are the gold
     "fx_soft": """SELECT a.run, a.id, a.task, a.lang, a.idx, a.option_id, a.p, t.p AS g FROM fx_p a JOIN fx_p t ON a.id = t.id AND a.idx = t.idx AND t.run = 3 WHERE a.run < 3""",
