@@ -62,7 +62,7 @@ def temperature_fit(long: DataFrame, by: list[str], key: list[str] = QUESTION, s
     """(by, t, loss): the temperature in `span` with the least mean log-loss in each group, by a safeguarded Newton search. temperature_grid is the coarse form in one pass.
 
     The loss is convex in b = 1 / t: its slope is the mean of E_p[score] - E_g[score], its curvature that of Var_p[score].
-    Questions are written once as arrays of their options. A first pass takes the slope at 17 points over the span, which
+    Questions are written once as arrays of their options. A first pass takes the slope at 65 points over the span, which
     brackets each group's root; each further pass gives slope and curvature at the group's own b, and a Newton step that
     leaves the bracket or is over half the last one becomes a bisection. A group rests behind a Newton step of less than `tol`
     of b, whose own error is of the order of its square, or a bisection of less than tol². A few passes do. The driver sees only the number of
@@ -89,7 +89,7 @@ def temperature_fit(long: DataFrame, by: list[str], key: list[str] = QUESTION, s
         return d.groupBy(*by, "__b").agg(F.avg(F.col("__e") - gold).alias("__slope"), F.avg(var).alias("__curve"), F.avg(F.ln("__z") - F.col("__b") * gold).alias("__loss"))
 
     low, high = 1.0 / span[1], 1.0 / span[0]
-    points = F.explode(F.array(*[F.lit(low * (high / low) ** (i / 16)) for i in range(16)], F.lit(high)))
+    points = F.explode(F.array(*[F.lit(low * (high / low) ** (i / 64)) for i in range(64)], F.lit(high)))
     first = slopes(q.select(*by).distinct().select(*by, points.alias("__b")))
     lo, hi = F.max(F.when(F.col("__slope") < 0, F.struct("__b", "__slope"))), F.min(F.when(F.col("__slope") >= 0, F.struct("__b", "__slope")))
     state = first.groupBy(*by).agg(lo.alias("__lo"), hi.alias("__hi"), F.max(F.abs("__slope")).alias("__most"))
