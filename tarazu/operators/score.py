@@ -66,7 +66,7 @@ def temperature_fit(long: DataFrame, by: list[str], key: list[str] = QUESTION, s
     brackets each group's root; each further pass gives slope and curvature at the group's own b, and a Newton step that
     leaves the bracket or is over half the last one becomes a bisection. A group rests behind a Newton step of less than `tol`
     of b, whose own error is of the order of its square, or a bisection of less than tol². A few passes do. The driver sees only the number of
-    groups still moving; states are written after each pass.
+    groups still moving; states are written after each pass but the first two.
 
     Null scores or gold values leave their option out; questions without gold count for nothing; gold is rescaled to sum to
     1. A group whose loss falls up to an end of the span gets that end, one whose scores say nothing 1.
@@ -77,16 +77,24 @@ def temperature_fit(long: DataFrame, by: list[str], key: list[str] = QUESTION, s
     add = lambda f: F.aggregate("__o", F.lit(0.0), lambda a, x: a + f(x))
     e = lambda x: F.exp(x["s"] * F.col("__b"))
 
-    def joined(a: DataFrame, b: DataFrame, *columns) -> DataFrame:
-        """a with b's columns by null-safe equality of `by`."""
-        d = a.alias("a").join(b.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)], *columns), [F.col(f"a.{k}").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(by)])
-        return d.drop(*[f"__k{i}" for i in range(len(by))])
-
-    def slopes(points: DataFrame) -> DataFrame:
-        d = joined(q, points, "__b").withColumn("__z", add(e)).withColumn("__e", add(lambda x: x["s"] * e(x)) / F.col("__z"))
+    def slopes(at: DataFrame) -> DataFrame:
+        """at, whose rows have each a group and a __b, with the loss there, its slope and its curvature."""
+        names = {k: f"__k{i}" for i, k in enumerate(by)}
+        d = q.join(at.withColumnsRenamed(names), [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]).withColumn("__z", add(e)).withColumn("__e", add(lambda x: x["s"] * e(x)) / F.col("__z"))
         var = add(lambda x: (x["s"] - F.col("__e")) * (x["s"] - F.col("__e")) * e(x)) / F.col("__z")
         gold = add(lambda x: x["s"] * x["g"])
-        return d.groupBy(*by, "__b").agg(F.avg(F.col("__e") - gold).alias("__slope"), F.avg(var).alias("__curve"), F.avg(F.ln("__z") - F.col("__b") * gold).alias("__loss"))
+        return d.groupBy(*at.columns).agg(F.avg(F.col("__e") - gold).alias("__slope"), F.avg(var).alias("__curve"), F.avg(F.ln("__z") - F.col("__b") * gold).alias("__loss"))
+
+    def step(state: DataFrame) -> DataFrame:
+        s = slopes(state)
+        s = s.withColumn("__lo", F.when(F.col("__slope") < 0, F.col("__b")).otherwise(F.col("__lo"))).withColumn("__hi", F.when(F.col("__slope") >= 0, F.col("__b")).otherwise(F.col("__hi")))
+        newton = F.col("__b") - F.try_divide(F.col("__slope"), F.col("__curve"))
+        good = newton.between(F.col("__lo"), F.col("__hi")) & (F.abs(newton - F.col("__b")) <= F.col("__step") / 2)
+        s = s.withColumn("__good", F.coalesce(good, F.lit(False)))
+        n = F.when(F.col("__done"), F.col("__b")).when(F.col("__good"), newton).otherwise((F.col("__lo") + F.col("__hi")) / 2)
+        s = s.withColumn("__n", n).withColumn("__step", F.abs(F.col("__n") - F.col("__b")))
+        rests = F.col("__done") | (F.col("__step") <= F.col("__n") * F.when(F.col("__good"), tol).otherwise(tol * tol))
+        return s.select(*by, "__lo", "__hi", F.col("__n").alias("__b"), "__step", rests.alias("__done"))
 
     low, high = 1.0 / span[1], 1.0 / span[0]
     points = F.explode(F.array(*[F.lit(low * (high / low) ** (i / 64)) for i in range(64)], F.lit(high)))
@@ -97,18 +105,13 @@ def temperature_fit(long: DataFrame, by: list[str], key: list[str] = QUESTION, s
     lo, hi = F.col("__lo"), F.col("__hi")
     chord = lo["__b"] - lo["__slope"] * (hi["__b"] - lo["__b"]) / (hi["__slope"] - lo["__slope"])
     b = F.coalesce(settled, chord)
-    state = written(state.select(*by, F.coalesce(lo["__b"], b).alias("__lo"), F.coalesce(hi["__b"], b).alias("__hi"), b.alias("__b"), F.coalesce(hi["__b"] - lo["__b"], F.lit(0.0)).alias("__step"), settled.isNotNull().alias("__done")), "temperatures")
+    state = state.select(*by, F.coalesce(lo["__b"], b).alias("__lo"), F.coalesce(hi["__b"], b).alias("__hi"), b.alias("__b"), F.coalesce(hi["__b"] - lo["__b"], F.lit(0.0)).alias("__step"), settled.isNotNull().alias("__done"))
+    state = written(step(step(state)), "temperatures")
     for _ in range(passes):
         if not state.where("not __done").count():
             break
-        s = joined(state, slopes(state.where("not __done")), "__slope", "__curve")
-        s = s.withColumn("__lo", F.when(F.col("__slope") < 0, F.col("__b")).otherwise(F.col("__lo"))).withColumn("__hi", F.when(F.col("__slope") >= 0, F.col("__b")).otherwise(F.col("__hi")))
-        newton = F.col("__b") - F.try_divide(F.col("__slope"), F.col("__curve"))
-        good = newton.between(F.col("__lo"), F.col("__hi")) & (F.abs(newton - F.col("__b")) <= F.col("__step") / 2)
-        s = s.withColumn("__good", F.coalesce(good, F.lit(False))).withColumn("__n", F.when(F.col("__good"), newton).otherwise((F.col("__lo") + F.col("__hi")) / 2)).withColumn("__step", F.abs(F.col("__n") - F.col("__b")))
-        s = s.select(*by, "__lo", "__hi", F.col("__n").alias("__b"), "__step", (F.col("__step") <= F.col("__n") * F.when(F.col("__good"), tol).otherwise(tol * tol)).alias("__done"))
-        state = written(state.where("__done").unionByName(s), "temperatures")
-    return joined(state, slopes(state), "__loss").select(*by, F.round(1.0 / F.col("__b"), 6).alias("t"), F.round("__loss", 6).alias("loss"))
+        state = written(state.where("__done").unionByName(step(state.where("not __done"))), "temperatures")
+    return slopes(state).select(*by, F.round(1.0 / F.col("__b"), 6).alias("t"), F.round("__loss", 6).alias("loss"))
 
 
 def temperature_apply(long: DataFrame, temperatures: DataFrame, by: list[str]) -> DataFrame:
