@@ -288,6 +288,64 @@ def gate_criteria(metrics: DataFrame, thresholds: DataFrame, runs: DataFrame) ->
     return d.select("run_id", "criterion", "value", "threshold", passed.alias("passed"), (F.col("set_on") < F.col("date")).alias("fair"))
 
 
+def gate_values(top: DataFrame, run: str, unit: str, first: Column, second: Column, bins: int = 10) -> DataFrame:
+    """(run, unit, n1, c1, n2, c2, gap0 …): what accuracy, language gap and calibration error need of each case: answers and right ones where `first` and where `second` holds, and by bin of confidence the sum of right less confidence where `second` does.
+
+    One row per run and case, so that replicates weigh cases and not answers. A null condition holds nowhere; a null answer is wrong.
+    """
+    c, at = F.coalesce(F.col("correct").cast("double"), F.lit(0.0)), F.least(F.floor(F.col("conf") * bins), F.lit(bins - 1))
+    put = lambda when, what, name: F.sum(F.when(when, what).otherwise(0.0)).alias(name)
+    gaps = [put(second & (at == k), c - F.col("conf"), f"gap{k}") for k in range(bins)]
+    return top.groupBy(F.col(run).alias("run"), F.col(unit).alias("unit")).agg(put(first, F.lit(1.0), "n1"), put(first, c, "c1"), put(second, F.lit(1.0), "n2"), put(second, c, "c2"), *gaps)
+
+
+#: Criteria over gate_values, each the better the larger: accuracy, calibration error and language gap.
+CRITERIA = {
+    "accuracy": "try_divide(c2, n2)",
+    "ece": "-try_divide(" + " + ".join(f"abs(gap{k})" for k in range(10)) + ", n2)",
+    "language_gap": "try_divide(c2, n2) - try_divide(c1, n1)",
+}
+
+
+def boot_leads(items: DataFrame, values: list[str], stats: dict[str, str], baselines: list, by: tuple[str, ...] = (), replicates: int = 1000, unit: str = "id", level: float = 0.95) -> DataFrame:
+    """(by, run, baseline, metric, lead, low, high, verdict): how far each run is ahead of every baseline in every metric, with intervals that hold for all of a run's leads at once.
+
+    stats: SQL over the weighted sums for each metric, the better the larger. A case has the same weight in every run, so leads
+    are paired. In each replicate the largest distance of a lead from its mean, in standard deviations, is taken over all
+    baselines and metrics of the run; every interval is as wide as that maximum's quantile at `level`. So a run that is no
+    better than its baselines is called better in any of them with a chance of 1 - level at most, however many there are
+    (approximately: as near as the bootstrap comes), where single intervals would err more with each comparison.
+
+    The sums are worked out once; what follows are runs × baselines × metrics × replicates numbers, and one row gathers the
+    runs of a replicate. A metric that is undefined (no items of a slice) has a null lead and verdict and widens nothing; one
+    that never varies has the interval of its lead alone. Rows with a null run, and a family without a baseline, give none.
+    """
+    by, names = list(by), list(stats)
+    each = F.struct("run", *[F.expr(x).cast("double").alias(f"m{i}") for i, x in enumerate(stats.values())])
+    held = boot_sums(items, [*by, "run"], values, replicates, unit).groupBy(*by, "r").agg(F.collect_list(each).alias("__all"))
+    known = lambda x: x["run"].isin(baselines)
+    d = held.select(*by, "r", F.filter("__all", known).alias("__b"), F.explode(F.filter("__all", lambda x: ~known(x))).alias("__x"))
+    d = d.select(*by, "r", "__x", F.explode("__b").alias("__y"))
+    leads = F.array(*[F.struct(F.lit(m).alias("metric"), (F.col("__x")[f"m{i}"] - F.col("__y")[f"m{i}"]).alias("lead")) for i, m in enumerate(names)])
+    d = d.select(*by, "r", F.col("__x.run").alias("run"), F.col("__y.run").alias("baseline"), F.explode(leads).alias("__l")).select(*by, "r", "run", "baseline", "__l.*")
+    w, drawn = W.partitionBy(*by, "run", "baseline", "metric"), F.when(F.col("r") > 0, F.col("lead"))
+    d = d.withColumn("__mean", F.avg(drawn).over(w)).withColumn("__sd", F.stddev_pop(drawn).over(w))
+    far = F.when((F.col("r") > 0) & (F.col("__sd") > 1e-9), F.abs(F.col("lead") - F.col("__mean")) / F.col("__sd"))
+    whole = F.when(F.col("r") == 0, F.struct("baseline", "metric", "lead", F.when(F.col("__sd") > 1e-9, F.col("__sd")).otherwise(F.when(F.col("__sd").isNotNull(), 0.0)).alias("sd")))
+    m = d.groupBy(*by, "run", "r").agg(F.max(far).alias("__far"), F.collect_list(whole).alias("__whole"))
+    m = m.groupBy(*by, "run").agg(F.coalesce(F.percentile("__far", F.lit(level)), F.lit(0.0)).alias("__q"), F.flatten(F.collect_list("__whole")).alias("__whole"))
+    m = m.select(*by, "run", "__q", F.explode("__whole").alias("__w")).select(*by, "run", "__w.*", (F.col("__q") * F.col("__w.sd")).alias("__half"))
+    m = m.select(*by, "run", "baseline", "metric", *[F.round(x, 6).alias(n) for n, x in (("lead", F.col("lead")), ("low", F.col("lead") - F.col("__half")), ("high", F.col("lead") + F.col("__half")))])
+    return m.withColumn("verdict", F.when(F.col("low") > 0, "better").when(F.col("high") < 0, "worse").when(F.col("low").isNotNull(), "tie"))
+
+
+def gate_leads(leads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, run, metric, baselines, beaten, nearest, passed) of boot_leads: a criterion is met where a run is better than every baseline; nearest is the least lower end, null where a lead is undefined, which also fails."""
+    n, beaten = F.count("*"), F.coalesce(F.sum((F.col("verdict") == "better").cast("long")), F.lit(0))
+    d = leads.groupBy(*by, "run", "metric").agg(n.alias("baselines"), beaten.alias("beaten"), F.when(F.count("low") == n, F.min("low")).alias("nearest"))
+    return d.withColumn("passed", F.col("beaten") == F.col("baselines"))
+
+
 def slice_gap(top: DataFrame, by: list[str], first: Column, second: Column, name: str) -> DataFrame:
     """(by, gap): accuracy where `first` holds less that where `second` does."""
     c = F.col("correct").cast("double")

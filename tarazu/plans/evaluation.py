@@ -377,6 +377,38 @@ def gate_criteria(d: Data):
     return C.gate_criteria(m, t, runs)
 
 
+# Runs 2 and 3 against runs 0 and 1 as baselines, in Persian; every lead by the maximum over a run's six.
+_LEADS = f"""WITH t AS (SELECT run, id, cast(split_part(id, '-', 1) AS bigint) AS doc_id, asked, max(score) FILTER (idx = 0) - max(score) FILTER (idx = 1) AS ahead, max(g) FILTER (idx = 0) > 0 AS yes FROM fx_asked GROUP BY ALL),
+    c AS (SELECT run, doc_id, asked, cast((ahead >= 0) = yes AS int)::DOUBLE AS hit, 1 / (1 + exp(-abs(ahead))) AS conf FROM t),
+    v AS (SELECT run, doc_id, count(*) FILTER (asked = 'en')::DOUBLE AS n1, coalesce(sum(hit) FILTER (asked = 'en'), 0) AS c1, count(*) FILTER (asked = 'fa')::DOUBLE AS n2, coalesce(sum(hit) FILTER (asked = 'fa'), 0) AS c2, {", ".join(f"coalesce(sum(hit - conf) FILTER (asked = 'fa' AND least(floor(conf * 10), 9) = {k}), 0) AS g{k}" for k in range(5, 10))} FROM c GROUP BY 1, 2),
+    w AS ({_WEIGHTS} UNION ALL SELECT DISTINCT doc_id, 0, 1 FROM fx_top),
+    s AS (SELECT run, r, {", ".join(f"sum(w * {x}) AS {x}" for x in ("n1", "c1", "n2", "c2", *[f"g{k}" for k in range(5, 10)]))} FROM v JOIN w USING (doc_id) GROUP BY 1, 2),
+    m AS (SELECT run, r, unnest(['accuracy', 'ece', 'language_gap']) AS metric, unnest([c2 / n2, -({" + ".join(f"abs(g{k})" for k in range(5, 10))}) / n2, c2 / n2 - c1 / n1]) AS s FROM s),
+    d AS (SELECT x.run, y.run AS baseline, x.metric, x.r, x.s - y.s AS lead FROM m x JOIN m y ON x.metric = y.metric AND x.r = y.r AND x.run > 1 AND y.run < 2),
+    e AS (SELECT run, baseline, metric, avg(lead) AS mean, stddev_pop(lead) AS sd FROM d WHERE r > 0 GROUP BY 1, 2, 3),
+    q AS (SELECT run, quantile_cont(far, 0.95) AS q FROM (SELECT run, r, max(abs(lead - mean) / sd) AS far FROM d JOIN e USING (run, baseline, metric) WHERE r > 0 GROUP BY 1, 2) GROUP BY 1),
+    l AS (SELECT run, baseline, metric, round(lead, 6) AS lead, round(lead - q * sd, 6) AS low, round(lead + q * sd, 6) AS high FROM d JOIN e USING (run, baseline, metric) JOIN q USING (run) WHERE r = 0),
+    z AS (SELECT *, CASE WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'tie' END AS verdict FROM l)"""
+
+
+def leads(d: Data):
+    asked = S.top1(S.softmax_options(d.fx_asked, ["run", "id", "asked"]), ["run", "id", "asked"]).withColumn("doc_id", F.substring_index("id", "-", 1))
+    v = C.gate_values(asked, "run", "doc_id", F.col("asked") == "en", F.col("asked") == "fa")
+    return C.boot_leads(v, [c for c in v.columns if c not in ("run", "unit")], C.CRITERIA, [0, 1], unit="unit")
+
+
+@query(f"{_LEADS} SELECT * FROM z")
+def boot_leads(d: Data):
+    """Which of runs 2 and 3 is ahead of which baseline, in accuracy, calibration and language gap, all intervals holding at once?"""
+    return leads(d)
+
+
+@query(f"{_LEADS} SELECT run, metric, count(*) AS baselines, count(*) FILTER (verdict = 'better') AS beaten, min(low) AS nearest, count(*) FILTER (verdict = 'better') = count(*) AS passed FROM z GROUP BY 1, 2")
+def gate_leads(d: Data):
+    """Which success criteria does each run meet: better than every baseline, outside simultaneous intervals?"""
+    return C.gate_leads(leads(d))
+
+
 @query("SELECT run, round(avg(CASE WHEN task = 'quality' THEN cast(correct AS double) END) - avg(CASE WHEN task = 'toxic' THEN cast(correct AS double) END), 6) AS transfer_gap FROM fx_top GROUP BY 1")
 def mon_transfer_gap(d: Data):
     return C.slice_gap(S.top1(d.fx_p, ["run", "id", "task"]), ["run"], F.col("task") == "quality", F.col("task") == "toxic", "transfer_gap")
