@@ -352,6 +352,34 @@ def slice_gap(top: DataFrame, by: list[str], first: Column, second: Column, name
     return top.groupBy(*by).agg(F.round(F.avg(F.when(first, c)) - F.avg(F.when(second, c)), 6).alias(name))
 
 
+def scenario_gap(top: DataFrame, options: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, intent, scenario, scenario_gap): accuracy over options, accuracy over the scenarios that the options belong to, and how far the first falls behind the second.
+
+    top: (by, pred, gold) as option ids; options: (option_id, scenario), one row per option. A null or unlisted answer is wrong in both.
+    """
+    side = lambda name: options.select(F.col("option_id").alias(name), F.col("scenario").alias(f"__{name}"))
+    d = top.join(side("pred"), "pred", "left").join(side("gold"), "gold", "left")
+    share = lambda a, b: F.avg(F.coalesce(F.col(a) == F.col(b), F.lit(False)).cast("double"))
+    i, s = share("pred", "gold"), share("__pred", "__gold")
+    return d.groupBy(*by).agg(F.count("*").alias("n"), F.round(i, 6).alias("intent"), F.round(s, 6).alias("scenario"), F.round(s - i, 6).alias("scenario_gap"))
+
+
+def transfer_gap(top: DataFrame, by: list[str], held_out: Column, chance: Column) -> DataFrame:
+    """(by, n_learned, n_held_out, learned, held_out, transfer_gap, templates_only): accuracy on learned tasks or templates and on those held out, and the first less the second.
+
+    templates_only flags a classifier in disguise: above chance by over 1.96 standard errors where it has learned, not so where it hasn't.
+    chance: what guessing gets in each row. A null condition counts as learned, a null `correct` as wrong; a side without rows has null figures and no flag.
+    """
+    out = F.coalesce(held_out, F.lit(False))
+    d = top.select(*by, out.alias("__out"), F.coalesce(F.col("correct").cast("double"), F.lit(0.0)).alias("__c"), chance.alias("__chance"))
+    on = lambda side, what: F.when(F.col("__out") == side, F.col(what))
+    sides = [x for side, k in ((False, "i"), (True, "o")) for x in (F.count(on(side, "__c")).alias(f"__n{k}"), F.avg(on(side, "__c")).alias(f"__a{k}"), F.avg(on(side, "__chance")).alias(f"__e{k}"))]
+    d = d.groupBy(*by).agg(*sides)
+    above = lambda k: F.col(f"__a{k}") - F.col(f"__e{k}") > 1.96 * F.sqrt(F.col(f"__e{k}") * (1 - F.col(f"__e{k}")) / F.col(f"__n{k}"))
+    figures = [F.round(x, 6).alias(n) for n, x in (("learned", F.col("__ai")), ("held_out", F.col("__ao")), ("transfer_gap", F.col("__ai") - F.col("__ao")))]
+    return d.select(*by, F.col("__ni").alias("n_learned"), F.col("__no").alias("n_held_out"), *figures, (above("i") & ~above("o")).alias("templates_only"))
+
+
 def mon_truncation(df: DataFrame, by: list[str], tokens: Column, most: int, cut: Column) -> DataFrame:
     """(by, n, at_max, answers_cut): share of records at the maximal length, and of answers cut off."""
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg((tokens >= most).cast("double")), 6).alias("at_max"), F.round(F.avg(cut.cast("double")), 6).alias("answers_cut"))

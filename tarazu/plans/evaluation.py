@@ -419,6 +419,36 @@ def mon_scenario_gap(d: Data):
     return C.slice_gap(S.top1(d.fx_p, ["run", "id", "lang"]), ["run"], F.col("lang") == "en", F.col("lang") != "en", "scenario_gap")
 
 
+# Which nation (an intent) of which region (a scenario)? Run 1 sees the region, run 0 sees nothing.
+_INTENTS = "SELECT r.run, c.c_custkey, c.c_nationkey, n.n_nationkey, cast((c.c_custkey * 7919 + n.n_nationkey * 104729) % 1000 AS double) / 250 + CASE WHEN r.run = 1 AND n.n_regionkey = g.n_regionkey THEN 3.0 ELSE 0.0 END AS score FROM customer c JOIN nation g ON c.c_nationkey = g.n_nationkey CROSS JOIN nation n CROSS JOIN (SELECT 0 AS run UNION ALL SELECT 1 AS run) r"
+
+
+@query(f"""WITH t AS (SELECT run, c_custkey, any_value(c_nationkey) AS gold, arg_max(n_nationkey, score - n_nationkey * 1e-9) AS pred FROM ({_INTENTS}) GROUP BY 1, 2)
+    SELECT run, count(*) AS n, round(avg((gold = pred)::int), 6) AS intent, round(avg((a.n_regionkey = b.n_regionkey)::int), 6) AS scenario, round(avg((a.n_regionkey = b.n_regionkey)::int - (gold = pred)::int), 6) AS scenario_gap FROM t JOIN nation a ON gold = a.n_nationkey JOIN nation b ON pred = b.n_nationkey GROUP BY 1""")
+def mon_intents_behind(d: Data):
+    """How far does the choice among all nations fall behind the choice of their region?"""
+    x = d.sql(_INTENTS).select("run", F.col("c_custkey").alias("id"), F.col("n_nationkey").alias("idx"), F.col("n_nationkey").alias("option_id"), F.col("score").alias("p"), (F.col("c_nationkey") == F.col("n_nationkey")).cast("double").alias("g"))
+    return C.scenario_gap(S.top1(x), d.nation.select(F.col("n_nationkey").alias("option_id"), F.col("n_regionkey").alias("scenario")), ["run"])
+
+
+# Answers learned by rote: the label that a source's training cases mostly have; sources with a small hash are held out and get the task's.
+_HELD = "H32(concat('held:', source)) % 5 = 0"
+_ROTE = f"""WITH f AS (SELECT *, {_HELD} AS held FROM fx_docs), b AS (SELECT task, source, count(*) FILTER (label = 'yes') * 2 > count(*) AS yes FROM f WHERE split = 'train' AND NOT held GROUP BY 1, 2), a AS (SELECT task, count(*) FILTER (label = 'yes') * 2 > count(*) AS yes FROM f WHERE split = 'train' AND NOT held GROUP BY 1),
+    t AS (SELECT f.task, f.held, (coalesce(b.yes, a.yes) = (f.label = 'yes'))::int::DOUBLE AS c FROM f JOIN a ON f.task = a.task LEFT JOIN b ON f.task = b.task AND f.source = b.source AND NOT f.held WHERE f.split <> 'train'),
+    s AS (SELECT task, count(*) FILTER (NOT held) AS n_learned, count(*) FILTER (held) AS n_held_out, avg(c) FILTER (NOT held) AS i, avg(c) FILTER (held) AS o FROM t GROUP BY 1)
+    SELECT task, n_learned, n_held_out, round(i, 6) AS learned, round(o, 6) AS held_out, round(i - o, 6) AS transfer_gap, i - 0.5 > 1.96 * sqrt(0.25 / n_learned) AND NOT o - 0.5 > 1.96 * sqrt(0.25 / n_held_out) AS templates_only FROM s"""
+
+
+@query(_ROTE)
+def mon_held_out(d: Data):
+    """Do answers learned by rote from training sources hold on sources that were held out?"""
+    f = d.fx_docs.withColumn("held", h32(F.lit("held"), F.col("source")) % 5 == 0)
+    mostly = (F.sum((F.col("label") == "yes").cast("long")) * 2 > F.count("*")).alias
+    train = f.where("split = 'train' and not held")
+    t = f.where("split <> 'train'").join(train.groupBy("task").agg(mostly("any")), "task").join(train.groupBy("task", "source").agg(mostly("own")), ["task", "source"], "left")
+    return C.transfer_gap(t.withColumn("correct", F.coalesce("own", "any") == (F.col("label") == "yes")), ["task"], F.col("held"), F.lit(0.5))
+
+
 @query(r"SELECT source, count(*) AS n, round(avg(CASE WHEN len(regexp_extract_all(text, '\S+')) >= 256 THEN 1.0 ELSE 0 END), 6) AS at_max, round(avg(CASE WHEN n_chars > 3000 THEN 1.0 ELSE 0 END), 6) AS answers_cut FROM documents GROUP BY 1")
 def mon_truncation(d: Data):
     from tarazu.operators.mix import token_length
