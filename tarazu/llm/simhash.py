@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations, islice
 
@@ -90,11 +89,19 @@ class BKTree:
         return found
 
 
-def shard_links(left: list[tuple], right: list[tuple] | None, radius: int, least: float = 0.0, nearest: int = 0) -> list[tuple[int, int]]:
-    """Forest of the links inside one block of a shard (right None) or between two, closest first: fewer edges than rows. Beside it each row's `nearest` closest links.
+def shard_pairs(left: list[tuple], right: list[tuple] | None, radius: int, fits=None) -> Iterator[tuple[int, tuple, tuple]]:
+    """(distance, row, row) of all pairs within the radius inside one block of a shard (right None) or between two. Rows are (id, fingerprint, …); `fits` may rule out pairs of rows."""
+    tree, rows = BKTree(row[1] for row in (left if right is not None else ())), left
+    for row in left if right is None else right:
+        for d, at in tree.search(row[1], radius):
+            if fits is None or fits(rows[at], row):
+                yield d, rows[at], row
+        if right is None:
+            tree.insert(row[1])
 
-    Rows are (id, fingerprint, size), in an order that doesn't depend on ids where results shouldn't; rows whose sizes have a ratio below `least` don't link.
-    """
+
+def shard_links(left: list[tuple], right: list[tuple] | None, radius: int, fits=None) -> list[tuple[int, int]]:
+    """Forest of the pairs that shard_pairs finds, closest first: fewer edges than rows, and as long as all of them are links a path between the ends of each pair."""
     parent: dict[int, int] = {}
 
     def root(v: int) -> int:
@@ -102,26 +109,12 @@ def shard_links(left: list[tuple], right: list[tuple] | None, radius: int, least
             parent[v] = v = parent.get(up, up)
         return v
 
-    tree, rows, found = BKTree(v for _, v, _ in (left if right is not None else ())), left, []
-    for k, (_, v, n) in enumerate(left if right is None else right):
-        for d, at in tree.search(v, radius):
-            m = rows[at][2]
-            if min(m, n) >= least * max(m, n):
-                found.append((d, at, k))
-        if right is None:
-            tree.insert(v)
-    found.sort()
-    edges, other = [], left if right is None else right
-    near: dict[tuple, int] = defaultdict(int)  # links taken so far of a row: (side, place)
-    for _, at, k in found:
-        a, b = rows[at][0], other[k][0]
+    edges = []
+    for _, a, b in sorted((d, a[0], b[0]) for d, a, b in shard_pairs(left, right, radius, fits)):
         x, y = root(a), root(b)
-        ends = (0, at), (int(right is not None), k)
-        if x != y or min(near[e] for e in ends) < nearest:
+        if x != y:
             parent[max(x, y)] = min(x, y)
-            edges.append((b, a))
-            for e in ends:
-                near[e] += 1
+            edges.append((a, b))
     return edges
 
 
@@ -157,38 +150,40 @@ def fingerprint_links(prints: DataFrame, radius: int = 2, bands: int = 3, block:
     """
     masks = [signed(m) for m in band_masks(bands, radius)]
     keyed = prints.select(F.col("fp").alias("uid"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
-    rows = prints.select(F.col("fp").alias("uid"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("code"), F.lit(0).alias("size"))
-    return in_blocks(keyed, block, rows).mapInArrow(links_map(radius), "a long, b long").distinct()
+    rows = prints.select(F.col("fp").alias("uid"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("code"))
+    return in_blocks(keyed, block, rows).mapInArrow(links_map(radius), LINKS).select("a", "b").distinct()
 
 
-def links_map(radius: int, least: float = 0.0, nearest: int = 0):
-    """Rows (t, key, lo, hi, own, uid, code, size) sorted by BY to the edges of each group: one block becomes a BK-tree, the other is searched in it.
+#: What links_map gives: the ends of an edge, the smaller id first, and the shard where it was found.
+LINKS = "a long, b long, t int, key long"
 
-    A group's rows are taken in the order of their codes and sizes, or by the column `tie` if there is one, so that no order of tasks or ids shows in the edges.
-    """
+
+def links_map(radius: int, fits=None, links=shard_links):
+    """Rows (t, key, lo, hi, own, uid, code, …) sorted by BY to the edges of each group, LINKS: one block becomes a BK-tree, the other is searched in it. `links` sees rows (uid, code as a number, …)."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, now = [], None
 
-        def done() -> list[tuple[int, int]]:
-            lo, hi = now[2:] if now else (0, 0)
-            rows = [(own, row) for own, _, row in sorted(group, key=lambda g: g[1])]
-            mine = [row for own, row in rows if own == lo]
-            few = nearest * SMALL // max(len(mine), SMALL) if lo == hi else 0
-            return shard_links(mine, None if lo == hi else [row for own, row in rows if own == hi], radius, least, few)
+        def done() -> list[tuple]:
+            if not now:
+                return []
+            t, key, lo, hi = now
+            mine, other = [row for own, row in group if own == lo], None if lo == hi else [row for own, row in group if own == hi]
+            return [(min(e), max(e), t, key) for e in links(mine, other, radius, fits)]
 
-        def out(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+        def out(edges: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], kind) for k, kind in enumerate(kinds)], ["a", "b", "t", "key"])
 
         for batch in batches:
             edges = []
-            t, key, lo, hi, own, uid, code, size = (batch.column(c).to_pylist() for c in (*BY, "own", "uid", "code", "size"))
-            tie = batch.column("tie").to_pylist() if "tie" in batch.schema.names else uid
-            for at, o, place, row in zip(zip(t, key, lo, hi), own, zip(code, size, tie), zip(uid, map(int.from_bytes, code), size)):
+            more = [batch.column(c).to_pylist() for c in batch.schema.names if c not in (*BY, "own", "uid", "code")]
+            t, key, lo, hi, own, uid, code = (batch.column(c).to_pylist() for c in (*BY, "own", "uid", "code"))
+            for at, o, row in zip(zip(t, key, lo, hi), own, zip(uid, map(int.from_bytes, code), *more)):
                 if at != now:
                     edges += done()
                     group, now = [], at
-                group.append((o, place, row))
+                group.append((o, row))
             yield out(edges)
         yield out(done())
 
@@ -221,8 +216,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 #: Bits of a wide fingerprint, made of so many numbers of 64 bits for each shingle; odd numbers that tell these apart.
 WIDE = 256
 _LANES = np.random.default_rng(1729).integers(1, 2**63, WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Rows of a block up to which each gives all its closest pairs beside the forest: what shards hold on average.
-SMALL = 32
+#: Bits of a parity sketch.
+PARITY = 512
 #: Bytes of a text split at once, up to the next white space.
 SLICE = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -263,14 +258,40 @@ def wide_fingerprint(shingles: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(shingles)).tobytes()
 
 
+def parity_sketch(shingles: np.ndarray) -> bytes:
+    """Whether an odd number of the shingle hashes falls to each of PARITY places. Two sets' sketches differ in no more bits than the sets in shingles."""
+    odd = np.zeros(PARITY, bool)
+    for at in range(0, len(shingles), CHUNK):
+        odd ^= np.bincount((shingles[at : at + CHUNK] % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) % 2 == 1
+    return np.packbits(odd).tobytes()
+
+
+def may_be_similar(similarity: float):
+    """Of two rows (id, fingerprint, size, parity sketch, …): false only where their sets can't have the Jaccard similarity, by their sizes or as the sketches show more differing shingles than it leaves."""
+
+    def fits(a: tuple, b: tuple) -> bool:
+        n, m = a[2], b[2]
+        if min(n, m) < similarity * max(n, m):
+            return False
+        return (int.from_bytes(a[3]) ^ int.from_bytes(b[3])).bit_count() <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
+
+    return fits
+
+
+def apart_links(left: list[tuple], right: list[tuple] | None, radius: int, fits) -> list[tuple[int, int]]:
+    """All pairs that shard_pairs finds of rows whose last fields, their components so far, differ."""
+    return [(a[0], b[0]) for _, a, b in shard_pairs(left, right, radius, lambda a, b: a[-1] != b[-1] and fits(a, b))]
+
+
 def wide_udf(width: int):
-    """(code, same, size): wide fingerprint, a 128-bit name of the set of shingles, and their number."""
+    """(code, same, size, odd): wide fingerprint, a 128-bit name of the set of shingles, their number, and their parity sketch."""
 
-    @F.arrow_udf("code binary, same binary, size int")
+    @F.arrow_udf("code binary, same binary, size int, odd binary")
     def of(texts: pa.Array) -> pa.Array:
         sets = (shingle_set(t.as_py() or b"", width) for t in texts)
-        rows = [(wide_fingerprint(s), xxhash.xxh3_128_digest(s.tobytes()), len(s)) for s in sets]
-        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int32())], ["code", "same", "size"])
+        rows = [(wide_fingerprint(s), xxhash.xxh3_128_digest(s.tobytes()), len(s), parity_sketch(s)) for s in sets]
+        kinds = (pa.binary(), pa.binary(), pa.int32(), pa.binary())
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["code", "same", "size", "odd"])
 
     return of
 
@@ -316,17 +337,19 @@ def shards_map(bits: int, tables: int):
     return keys
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.97, bucket: int = 32, block: int = 192, nearest: int = 8) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.97, bucket: int = 32, block: int = 192) -> DataFrame:
     """One row per input row: id and component_id, the least id reachable by links.
 
     Texts link when the Jaccard similarity of their sets of word shingles is at least `similarity`. SimHash
     fingerprints of WIDE bits over these sets find such pairs: a shard holds the fingerprints that agree on a
     choice of bits, and in a shard BK-trees give those within a radius that a pair at the similarity stays
-    in (see shard_plan; more documents mean more bits and more tables). Of these, closest first, a forest leaves
-    the shard, and each row's `nearest` closest pairs (fewer in a block of over SMALL rows, none where two blocks meet: rows
-    of a cut shard meet in many forests), so a group of near copies costs no list of pairs; these are held against
-    the sets themselves, and only pairs at the similarity join. The forest alone would lose links: an edge that fails takes
-    the one with it whose place it took. All orders and blocks follow from the contents, so reruns agree. A hot shard is cut into blocks that meet pairwise in tasks of their own.
+    in (see shard_plan; more documents mean more bits and more tables); sizes and parity sketches rule out pairs that can't have it.
+
+    All pairs found this way are settled. First a forest of them, closest first, leaves each shard, so a group of near copies costs no
+    list of pairs; its edges are held against the sets themselves. Where all of a shard's edges are links, each of its pairs has a path
+    of links between its ends. An edge that isn't one may have taken the place of links: such shards are searched again, and
+    every pair whose ends no links join by then is held against the sets too. So groups don't depend on orders or blocks,
+    and reruns agree. A hot shard is cut into blocks that meet pairwise in tasks of their own.
 
     Texts with equal sets are one class, whatever their number. Null, empty and blank texts have the same empty
     set; texts under `width` words have their whole sequence as one shingle. Rows with a null id are kept and
@@ -337,22 +360,35 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     prints = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("h"), wide_udf(width)(F.col(text_col).cast("binary")).alias("p"))
     prints, _ = materialise(prints.select("id", "h", "p.*"), "prints")
-    classes = prints.groupBy("same").agg(F.min("id").alias("least"), F.min("h").alias("h"), F.min("code").alias("code"), F.min("size").alias("size"))
+    classes = prints.groupBy("same").agg(F.min("id").alias("least"), *[F.min(c).alias(c) for c in ("h", "code", "size", "odd")])
     classes, _ = materialise(classes.withColumn("uid", F.monotonically_increasing_id()), "classes")
     bits, tables, radius = shard_plan(classes.count(), similarity, bucket, recall)
     keyed = classes.select("uid", "code").mapInArrow(shards_map(bits, tables), "uid long, t int, key long")
-    near, _ = materialise(in_blocks(keyed, block, classes.select("uid", "code", "size", F.xxhash64("same").alias("tie")), "tie").mapInArrow(links_map(radius, similarity, nearest), "a long, b long").distinct(), "near")
-
-    members = near.select(F.col("a").alias("uid")).union(near.select("b")).distinct().join(classes, "uid").select("uid", F.col("h").alias("of"))
-    members, _ = materialise(members, "members")
-    hashed = may_match(docs.select(F.md5(text).alias("h"), F.col(text_col).alias("text")), F.xxhash64("h"), members.select(F.xxhash64("of")))
-    texts = hashed.where("__may").groupBy("h").agg(F.first("text").alias("text"))  # before the shuffle a task keeps one of its copies
-    sets = texts.join(members, F.col("h") == F.col("of"))
-    sets, _ = materialise(sets.select("uid", sets_udf(width)(F.col("text").cast("binary")).alias("s")), "sets")
-    pairs = near.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("s").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    linked = pairs.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum")).where(F.col("both") >= similarity * (F.col("sum") - F.col("both")))
-    found = components(linked)
-    of = classes.join(found, classes.uid == found.node, "left").select("same", "least", F.coalesce("root", "uid").alias("root"))
+    rows, fits = classes.select("uid", "code", "size", "odd"), may_be_similar(similarity)
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with `linked`: whether their sets have the similarity."""
+        members = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct().join(classes, "uid").select("uid", F.col("h").alias("of"))
+        members, _ = materialise(members, "members")
+        hashed = may_match(docs.select(F.md5(text).alias("h"), F.col(text_col).alias("text")), F.xxhash64("h"), members.select(F.xxhash64("of")))
+        texts = hashed.where("__may").groupBy("h").agg(F.first("text").alias("text"))  # before the shuffle a task keeps one of its copies
+        sets = texts.join(members, F.col("h") == F.col("of"))
+        sets, _ = materialise(sets.select("uid", sets_udf(width)(F.col("text").cast("binary")).alias("s")), "sets")
+        both = F.size(F.array_intersect("x", "y"))
+        held = pairs.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("s").alias("y")), "b")
+        held = held.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+        return materialise(held.select("a", "b", (F.col("both") >= similarity * (F.col("sum") - F.col("both"))).alias("linked")), "judged")[0]
+
+    near, _ = materialise(in_blocks(keyed, block, rows).mapInArrow(links_map(radius, fits), LINKS), "near")
+    first = judged(near.select("a", "b").distinct())
+    links = components(first.where("linked").select("a", "b"))
+    failed, _ = materialise(near.join(first.where("not linked"), ["a", "b"]).select("t", "key").distinct(), "failed")
+    if not failed.isEmpty():
+        links, _ = materialise(links, "links")
+        rows = rows.join(links, rows.uid == links.node, "left").select(*rows.columns, F.coalesce("root", "uid").alias("root"))
+        again = in_blocks(keyed.join(failed, ["t", "key"], "left_semi"), block, rows).mapInArrow(links_map(radius, fits, apart_links), LINKS)
+        second = judged(materialise(again.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "again")[0])
+        links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second.where("linked").select("a", "b")))
+    of = classes.join(links, classes.uid == links.node, "left").select("same", "least", F.coalesce("root", "uid").alias("root"))
     smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(of.join(smallest, "root").select("same", "component_id"), "same").select(F.col("id").alias(id_col), "component_id")

@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,35 @@ def test_groups_at_the_threshold_and_reruns(spark):
     assert len(rows) - len(set(one.values())) >= 0.97 * (len(rows) - len(set(whole)))
 
 
+def test_no_found_pair_is_left_out(spark):
+    """Groups are exactly those of the links among all pairs that share a shard and lie within the radius, whatever pairs below the similarity lie closer."""
+    rng, rows = np.random.default_rng(5), []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        for _ in range(40):
+            words = list(base)
+            for k in rng.choice(120, int(rng.integers(1, 4)), replace=False):
+                words[k] = f"n{rng.integers(10**9)}"
+            rows.append(" ".join(words))
+    sets = [simhash.shingle_set(t.encode()) for t in rows]
+    codes = [simhash.wide_fingerprint(s) for s in sets]
+    bits, tables, radius = simhash.shard_plan(len(rows), 0.8, 32, 0.97)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(codes, pa.binary())], ["uid", "code"])
+    keys = next(iter(simhash.shards_map(bits, tables)([batch]))).column("key").to_numpy().reshape(len(rows), tables)
+    near = lambda a, b: (keys[a] == keys[b]).any() and (int.from_bytes(codes[a]) ^ int.from_bytes(codes[b])).bit_count() <= radius
+    both = lambda a, b: len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+    similar = lambda a, b: (n := both(a, b)) >= 0.8 * (len(sets[a]) + len(sets[b]) - n)
+    pairs = {(a, b): similar(a, b) for a in range(len(rows)) for b in range(a) if near(a, b)}
+    links = np.zeros((len(rows), len(rows)), bool)
+    for (a, b), linked in pairs.items():
+        links[a, b] = links[b, a] = linked
+    assert sum(pairs.values()) > 500 < len(pairs) - sum(pairs.values())
+    odd = [int.from_bytes(simhash.parity_sketch(s)) for s in sets]
+    assert all((odd[a] ^ odd[b]).bit_count() <= len(np.setxor1d(sets[a], sets[b])) for a, b in pairs)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), block=24).collect()}
+    assert got == dict(enumerate(least_reachable(list(range(len(rows))), links)))
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and "sequence_id" in out.columns and corpus_pipeline.ORACLE_SQL is None
