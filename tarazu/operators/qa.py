@@ -53,9 +53,13 @@ def looping(pairs: DataFrame, n: int = 3, share: float = 0.3, times: int = 4) ->
 
 
 def glossary_match(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
-    """(source_id, en_term, ok): each glossary term, of one word or more, in a case's source, ok where every field that has it has its rendering in the target."""
-    named = pairs.withColumn("t", F.lower(F.coalesce("target_text", F.lit(""))))
-    hit = glossary_hits(named, glossary, "source_text", ["source_id", "t"]).select("source_id", "t", F.explode(F.array_distinct("terms")).alias("en_term"))
+    """(source_id, en_term, ok): each glossary term, of one word or more, in a case's source, ok where every field that has it has its rendering in the target.
+
+    Terms are found by the source texts alone and meet the targets by the sources' MD5, so a target moves once and not with each place of a term.
+    """
+    named = pairs.select("source_id", "source_text", F.md5("source_text").alias("k"), F.lower(F.coalesce("target_text", F.lit(""))).alias("t"))
+    hits = glossary_hits(named, glossary, "source_text", ["k"]).select("k", F.array_distinct("terms").alias("terms")).groupBy("k").agg(F.first("terms").alias("terms"))
+    hit = named.select("source_id", "k", "t").join(hits, "k").select("source_id", "t", F.explode("terms").alias("en_term"))
     hit = hit.join(glossary.select("en_term", "fa_term"), "en_term")
     return hit.groupBy("source_id", "en_term").agg(F.bool_and(F.contains("t", F.lower("fa_term"))).alias("ok"))
 
