@@ -139,7 +139,8 @@ def opt_none_of_these(records: DataFrame, share: float = 0.2, drop_share: float
 
 def _first_options(long: DataFrame, n: int, seed: int) -> DataFrame:
     order = W.partitionBy("id").orderBy(F.desc(F.col("g") > 0), h32(F.lit(seed), F.col("id"), F.col("option_id")), "idx")
-    return long.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= n).drop("rk")
+    # dealt by question first: otherwise Spark sorts all that a task has before it is dealt, to drop what is over n early, and hardly any is
+    return long.repartition("id").withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= n).drop("rk")
 
 
 def opt_sample_negatives(long: DataFrame, over: int = 8, wrong: int = 7, seed: int = 0) -> DataFrame:

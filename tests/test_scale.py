@@ -17,3 +17,12 @@ def test_glossary_texts_move_once(spark):
     out = qa.glossary_match(pairs, glossary)
     assert sorted(map(tuple, out.collect())) == [("a", "one", True), ("a", "two", False), ("b", "one", True), ("b", "two", False), ("c", "one", False)]
     assert not [x for x in plan(out).splitlines() if "keys=[row#" in x and " t#" in x]
+
+
+def test_options_are_sorted_once_dealt(spark, sf):
+    out = QUERIES["opt_cap"](spark, sf)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text.rfind("Exchange hashpartitioning") > text.rfind("Sort [") > 0
+    long = spark.createDataFrame([(q, str(o), o, float(o == 7)) for q in range(5) for o in range(9)], "id int, option_id string, idx int, g double")
+    kept = mix.opt_cap(long, 4).groupBy("id").agg(F.count("*").alias("n"), F.max("g").alias("g")).collect()
+    assert len(kept) == 5 and all(r.n == 4 and r.g == 1 for r in kept)
