@@ -13,9 +13,18 @@ from tarazu.sources.shared import written
 
 
 def sample_balanced(df: DataFrame, by: list[str], n: int, seed: int, id_col: str = "id") -> DataFrame:
-    """The n rows of each stratum with the least seeded hash."""
-    order = [h32(F.lit(seed), F.col(id_col)), F.col(id_col)]
-    return ranked(df, by, order, "__rn").where(F.col("__rn") <= n).drop("__rn")
+    """The n rows of each stratum with the least seeded hash.
+
+    Rows are counted by stratum and 2^16 ranges of the hash first; only ranges that start within the n least are sorted, so no task
+    sorts all its rows. A null stratum is one too.
+    """
+    d = df.withColumn("__h", h32(F.lit(seed), F.col(id_col))).withColumn("__b", F.shiftright("__h", 16))
+    counts = d.groupBy(*by, "__b").agg(F.count("*").alias("__m"))
+    before = F.sum("__m").over(W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
+    low = counts.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < n).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("__b").alias("__low"))
+    on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)]
+    few = d.join(low, [*on, F.col("__b") == F.col("__low")], "left_semi")
+    return ranked(few, by, [F.col("__h"), F.col(id_col)], "__rn").where(F.col("__rn") <= n).select(*df.columns)
 
 
 def sample_fixed(df: DataFrame, n: int, seed: int, id_col: str = "id") -> DataFrame:

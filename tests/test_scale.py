@@ -26,3 +26,13 @@ def test_options_are_sorted_once_dealt(spark, sf):
     long = spark.createDataFrame([(q, str(o), o, float(o == 7)) for q in range(5) for o in range(9)], "id int, option_id string, idx int, g double")
     kept = mix.opt_cap(long, 4).groupBy("id").agg(F.count("*").alias("n"), F.max("g").alias("g")).collect()
     assert len(kept) == 5 and all(r.n == 4 and r.g == 1 for r in kept)
+
+
+def test_balanced_sample_sorts_few_rows(spark):
+    d = spark.range(30000).select("id", F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("s"))
+    out = prep.sample_balanced(d, ["s"], 50, 7)
+    assert "LeftSemi" in plan(out) and out.columns == d.columns
+    rows = d.select("s", "id", prep.h32(F.lit(7), F.col("id")).alias("h")).collect()
+    want = {(s, r.id) for s in (None, "1", "2") for r in sorted((r for r in rows if r.s == s), key=lambda r: (r.h, r.id))[:50]}
+    assert {(r.s, r.id) for r in out.collect()} == want
+    assert prep.sample_balanced(d.limit(5), ["s"], 50, 7).count() == 5
