@@ -213,8 +213,8 @@ def perturbed(records: DataFrame, colloquial: DataFrame | None = None, asked: Da
     isn't in English). A kind that changes nothing in a record has no row: no digits, one option, no other wording.
     records: one row per id. asked is one row per question type; where a type repeats, the first text in order counts.
     """
-    r = pert_distractor(records, seed).select("id", F.col("options").alias("__more"))
-    d = records.select("id", "state", "question_text", "question_type", "question_lang", "options").join(r, "id")
+    d = records.select("id", "state", "question_text", "question_type", "question_lang", "options", "gold", F.col("options").alias("__was"))
+    d = pert_distractor(d, seed).withColumnRenamed("options", "__more").withColumnRenamed("__was", "options").drop("gold", "__own")
     if colloquial is None:
         d = d.withColumn("__said", F.lit(None).cast("string"))
     else:
@@ -243,9 +243,9 @@ def perturbed(records: DataFrame, colloquial: DataFrame | None = None, asked: Da
     return d.select("id", F.explode(F.array_compact(kinds)).alias("__c")).select("id", "__c.*")
 
 
-def answers_back(answers: DataFrame, changed: DataFrame) -> DataFrame:
-    """answers (run, id, kind, pred as shown) with pred as the original option's id, null for a distractor or an unknown id."""
-    d = answers.join(changed.select("id", "kind", "back"), ["id", "kind"])
+def answers_back(answers: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """answers (run, id, kind, pred as shown) with pred as the original option's id, null for a distractor or an unknown id. Answers that carry `back` need no changed questions, which are then not worked out again."""
+    d = answers if changed is None else answers.join(changed.select("id", "kind", "back"), ["id", "kind"])
     return d.withColumn("pred", F.try_element_at("back", F.col("pred"))).select("run", "id", "kind", "pred")
 
 

@@ -36,3 +36,9 @@ def test_balanced_sample_sorts_few_rows(spark):
     want = {(s, r.id) for s in (None, "1", "2") for r in sorted((r for r in rows if r.s == s), key=lambda r: (r.h, r.id))[:50]}
     assert {(r.s, r.id) for r in out.collect()} == want
     assert prep.sample_balanced(d.limit(5), ["s"], 50, 7).count() == 5
+
+
+def test_answers_carry_the_way_back(spark, sf):
+    answers = spark.createDataFrame([(0, 1, "rename", "opt_2", {"opt_1": "a", "opt_2": "b"}), (0, 1, "distractor", "distractor", {"a": "a", "distractor": None})], "run int, id int, kind string, pred string, back map<string,string>")
+    assert sorted(map(tuple, compare.answers_back(answers).collect())) == [(0, 1, "distractor", None), (0, 1, "rename", "b")]
+    assert QUERIES["robust_all"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 6
