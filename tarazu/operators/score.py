@@ -32,12 +32,23 @@ def letter_probs(offered: DataFrame, letters: DataFrame, key: list[str] = QUESTI
 
 
 def top1(long: DataFrame, keep: list[str] = QUESTION) -> DataFrame:
-    """A row per question: predicted and gold option, confidence, correct. Ties go to the lowest index. One aggregation, no window."""
+    """A row per question: predicted and gold option, confidence, correct. Ties go to the lowest index. One aggregation, no window.
+
+    A task sorts what it has by question. Where rows of one task make many options each, as in a cross join, top1_in_row needs no sort.
+    """
     best = lambda c, what: F.max_by(what, F.struct(F.col(c), -F.col("idx")))
     d = long.groupBy(*keep).agg(best("p", "option_id").alias("pred"), F.max("p").alias("conf"), best("g", "option_id").alias("gold"), best("p", "idx").alias("pred_idx"), best("g", "idx").alias("gold_idx"))
     return d.withColumn("correct", F.col("pred") == F.col("gold"))
 
 
+def top1_in_row(df: DataFrame, options: Column, keep: list[str] = QUESTION) -> DataFrame:
+    """top1 of rows that hold a question each, its options as an array of (idx, option_id, p, g): nothing is sorted or moved."""
+    best = lambda c: F.array_max(F.transform("__o", lambda o: F.struct(o[c].alias("v"), (-o["idx"]).alias("i"), o["option_id"].alias("option_id"))))
+    d = df.select(*keep, options.alias("__o")).select(*keep, best("p").alias("__p"), best("g").alias("__g"))
+    d = d.select(*keep, F.col("__p.option_id").alias("pred"), F.col("__p.v").alias("conf"), F.col("__g.option_id").alias("gold"), (-F.col("__p.i")).alias("pred_idx"), (-F.col("__g.i")).alias("gold_idx"))
+    return d.withColumn("correct", F.col("pred") == F.col("gold"))
+
+
 def nll(g: Column, p: Column) -> Column:
     return -F.sum(F.when(g > 0, g * F.ln(F.greatest(p, F.lit(1e-12)))).otherwise(0.0))
 

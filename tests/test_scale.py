@@ -19,6 +19,10 @@ def test_glossary_texts_move_once(spark):
     assert not [x for x in plan(out).splitlines() if "keys=[row#" in x and " t#" in x]
 
 
+def test_intents_without_a_sort(spark, sf):
+    assert "SortAggregate" not in plan(QUERIES["mon_intents_behind"](spark, sf))
+
+
 def test_options_are_sorted_once_dealt(spark, sf):
     out = QUERIES["opt_cap"](spark, sf)
     text = out._jdf.queryExecution().executedPlan().toString()
