@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -176,13 +178,28 @@ def leak_near_dup(train: DataFrame, test: DataFrame, text: str = "state", n: int
     return pairs.join(tests, "test_set").join(trains, "train_set").select("test_id", "train_id", "shared", "jaccard", "containment")
 
 
+def minhash_udf(hashes: int):
+    """The least of each of so many hashes over a set of 60-bit shingle hashes; hash k is an affine map of them modulo a prime."""
+    p, k = 2147483647, np.arange(hashes, dtype=np.int64)
+    times, plus = (k * 1103515245 + 12345) % (1 << 30) + 1, k * 97531 + 7
+
+    @F.arrow_udf("array<long>")
+    def of(sets: pa.Array) -> pa.Array:
+        least = np.full((len(sets), hashes), p, np.int64)
+        for i, s in enumerate(sets):
+            x = s.values.to_numpy(zero_copy_only=False) % p
+            for at in range(0, len(x), 4096):
+                np.minimum(least[i], ((x[at : at + 4096, None] * times + plus) % p).min(0), out=least[i])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * hashes), pa.array(least.ravel()))
+
+    return of
+
+
 def minhash_bands(sets: DataFrame, bands: int = 16, rows: int = 4) -> DataFrame:
-    """(set, band, key) of sets (set, s): banded MinHash signatures, made within the row; hash k of a shingle is an affine map of its 60-bit hash modulo a prime, k by k."""
-    p = 2147483647
-    least = lambda s, k: F.array_min(F.transform(s, lambda x: (x * ((k * 1103515245 + 12345) % (1 << 30) + 1) + (k * 97531 + 7)) % p))
-    small = sets.select("set", F.transform("s", lambda x: x % p).alias("s"))
-    keys = [F.struct(F.lit(b).alias("band"), F.md5(F.concat_ws(",", *[least(F.col("s"), b * rows + r).cast("string") for r in range(rows)])).alias("key")) for b in range(bands)]
-    return small.select("set", F.explode(F.array(*keys)).alias("x")).select("set", "x.band", "x.key")
+    """(set, band, key) of sets (set, s): banded MinHash signatures, made within the row."""
+    least = sets.select("set", minhash_udf(bands * rows)("s").alias("m"))
+    keys = [F.struct(F.lit(b).alias("band"), F.md5(F.array_join(F.slice("m", b * rows + 1, rows).cast("array<string>"), ",")).alias("key")) for b in range(bands)]
+    return least.select("set", F.explode(F.array(*keys)).alias("x")).select("set", "x.band", "x.key")
 
 
 def leak_minhash(train: DataFrame, test: DataFrame, text: str = "state", n: int = 5, jaccard: float = 0.8, bands: int = 16, rows: int = 4, id_col: str = "id") -> DataFrame:
@@ -194,9 +211,9 @@ def leak_minhash(train: DataFrame, test: DataFrame, text: str = "state", n: int
     for side, df in (("train", train), ("test", test)):
         d = df.select(F.col(id_col).alias(f"{side}_id"), shingle_array(F.col(text), n).alias("s")).where(F.size("s") > 0)
         made[side] = written(d.select(f"{side}_id", set_name(F.col("s")).alias("set"), "s"), f"{side}-sets")
-    sets = {side: d.groupBy("set").agg(F.first("s").alias("s")) for side, d in made.items()}
+    sets = {side: written(d.groupBy("set").agg(F.first("s").alias("s")), f"{side}-distinct") for side, d in made.items()}
     of = {side: minhash_bands(d, bands, rows).withColumnRenamed("set", f"{side}_set") for side, d in sets.items()}
-    found = of["test"].join(of["train"], ["band", "key"]).select("test_set", "train_set").distinct()
+    found = written(of["test"].join(of["train"], ["band", "key"]).select("test_set", "train_set").distinct(), "found")
     for side, d in sets.items():
         found = found.join(d.select(F.col("set").alias(f"{side}_set"), F.col("s").alias(f"s_{side}")), f"{side}_set")
     both = F.size(F.array_intersect("s_train", "s_test"))

@@ -1,5 +1,7 @@
 """What keeps tasks and shuffles small: held against plans, beside the results."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tarazu.operators import compare, mix, prep, qa
@@ -46,3 +48,11 @@ def test_answers_carry_the_way_back(spark, sf):
     answers = spark.createDataFrame([(0, 1, "rename", "opt_2", {"opt_1": "a", "opt_2": "b"}), (0, 1, "distractor", "distractor", {"a": "a", "distractor": None})], "run int, id int, kind string, pred string, back map<string,string>")
     assert sorted(map(tuple, compare.answers_back(answers).collect())) == [(0, 1, "distractor", None), (0, 1, "rename", "b")]
     assert QUERIES["robust_all"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 6
+
+
+def test_minhash_in_arrow(spark):
+    sets = [[5], [1 << 59, 7, 3], list(range(10**12, 10**12 + 9000))]
+    got = {(r.set, r.band): r.key for r in prep.minhash_bands(spark.createDataFrame(list(enumerate(sets)), "set int, s array<long>")).collect()}
+    p, key = 2147483647, lambda s, b: ",".join(str(min((x % p * ((k * 1103515245 + 12345) % (1 << 30) + 1) + k * 97531 + 7) % p for x in s)) for k in range(4 * b, 4 * b + 4))
+    assert got == {(i, b): hashlib.md5(key(s, b).encode()).hexdigest() for i, s in enumerate(sets) for b in range(16)}
+    assert "ArrowEvalPython" in plan(prep.minhash_bands(spark.createDataFrame([(1, [1])], "set int, s array<long>")))
