@@ -45,7 +45,7 @@ def near_copy_links(df: DataFrame, text: str = "state", key: str = "source_id",
     """
     made = df.where(F.col(key).isNotNull()).select(F.col(key).alias("case"), shingle_array(F.col(text), n).alias("s")).where(F.size("s") > 0)
     made = written(made.select("case", set_name(F.col("s")).alias("set"), "s"), "shingles")
-    sets = made.groupBy("set").agg(F.min("case").alias("case"), F.first("s").alias("s"))
+    sets = written(made.groupBy("set").agg(F.min("case").alias("case"), F.first("s").alias("s")), "sets")
     each = sets.select("set", F.size("s").alias("size"), F.explode("s").alias("sh"))
     times = each.groupBy("sh").agg(F.count("*").alias("times")).where("times > 1")
     rank = F.row_number().over(W.partitionBy("set").orderBy(F.coalesce("times", F.lit(1)), "sh"))
@@ -53,6 +53,7 @@ def near_copy_links(df: DataFrame, text: str = "state", key: str = "source_id",
     x, y = (rare.select("sh", F.col("set").alias(f"set_{p}"), F.col("size").alias(f"size_{p}")) for p in "ab")
     fits = F.least("size_a", "size_b") >= jaccard * F.greatest("size_a", "size_b") - 1e-9
     pairs = x.join(y, "sh").where((F.col("set_a") < F.col("set_b")) & fits).select("set_a", "set_b").distinct()
+    pairs = written(pairs, "pairs")
     of = lambda p: sets.select(F.col("set").alias(f"set_{p}"), F.col("s").alias(f"s_{p}"), F.col("case").alias(p))
     both = F.size(F.array_intersect("s_a", "s_b"))
     near = pairs.join(of("a"), "set_a").join(of("b"), "set_b").where(both >= jaccard * (F.size("s_a") + F.size("s_b") - both) - 1e-9)

@@ -56,3 +56,9 @@ def test_minhash_in_arrow(spark):
     p, key = 2147483647, lambda s, b: ",".join(str(min((x % p * ((k * 1103515245 + 12345) % (1 << 30) + 1) + k * 97531 + 7) % p for x in s)) for k in range(4 * b, 4 * b + 4))
     assert got == {(i, b): hashlib.md5(key(s, b).encode()).hexdigest() for i, s in enumerate(sets) for b in range(16)}
     assert "ArrowEvalPython" in plan(prep.minhash_bands(spark.createDataFrame([(1, [1])], "set int, s array<long>")))
+
+
+def test_a_case_is_read_once_for_its_links(spark, sf, monkeypatch):
+    seen, links = [], data.GR.near_copy_links
+    monkeypatch.setattr(data.GR, "near_copy_links", lambda d: (seen.append(d.groupBy("source_id").count().agg(F.max("count")).first()[0]), links(d))[1])
+    assert QUERIES["split_by_group"](spark, sf).count() > 0 and seen == [1]
